@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, packing
 
 QUERIES = {
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
