@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing
+from . import exact_dedup, packing, secrets, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op9_secret_scans": secrets.op9_secret_scans,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
