@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, secrets, toxicity
+from . import exact_dedup, line_dedup, packing, secrets, toxicity
 
 QUERIES = {
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op1_toxicity": toxicity.op1_toxicity,
     "op9_secret_scans": secrets.op9_secret_scans,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
@@ -12,5 +13,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_line_dedup": line_dedup.OP4_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
