@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, packing, secrets, toxicity
+from . import exact_dedup, line_dedup, near_dedup, packing, secrets, toxicity
 
 QUERIES = {
+    "op5_minmax_near_dedup": near_dedup.op5_minmax_near_dedup,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op1_toxicity": toxicity.op1_toxicity,
     "op9_secret_scans": secrets.op9_secret_scans,
