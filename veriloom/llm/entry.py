@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, near_dedup, packing, quality, secrets, toxicity
+from . import exact_dedup, line_dedup, near_dedup, packing, quality, secrets, toxicity, url_filters
 
 QUERIES = {
+    "op6_url_filters": url_filters.op6_url_filters,
     "op8_quality_rules": quality.op8_quality_rules,
     "op5_minmax_near_dedup": near_dedup.op5_minmax_near_dedup,
     "op4_line_dedup": line_dedup.op4_line_dedup,
