@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, near_dedup, packing, quality, secrets, toxicity, url_filters
+from . import chat_format, exact_dedup, line_dedup, near_dedup, packing, quality, secrets, toxicity, url_filters
 
 QUERIES = {
+    "op7_preference_format": chat_format.op7_preference_format,
     "op6_url_filters": url_filters.op6_url_filters,
     "op8_quality_rules": quality.op8_quality_rules,
     "op5_minmax_near_dedup": near_dedup.op5_minmax_near_dedup,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op7_preference_format": chat_format.OP7_SQL,
     "op4_line_dedup": line_dedup.OP4_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
