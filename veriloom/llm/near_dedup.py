@@ -9,15 +9,17 @@ no bucket with probability (1 - 0.75**ROWS)**BANDS, about one in a million.
 Equal word sequences are collapsed to their smallest document first. Then, without ever listing
 all pairs of a bucket:
 
-1. star: each bucket's members are paired with its smallest one; distinct pairs over all buckets
-   are pruned by set sizes (exactly) and by signature (more than four standard deviations below
-   the threshold), and the rest confirmed on full sets computed from whole texts;
+1. star: each bucket's members are paired with its hub, the member that meets most others over
+   all buckets (the original among its copies, as a rule); distinct pairs over all buckets are
+   pruned by set sizes (exactly) and by signature (4.5 standard deviations below the threshold),
+   and the rest confirmed on full sets computed from whole texts;
 2. confirmed links give components;
-3. rest: a bucket whose members still lie in different components is searched for pairs between
-   them, by signatures, in blocks; what passes is confirmed likewise, and components are final.
+3. rest: in a bucket whose members still lie in different components, pairs between components are
+   confirmed on full sets within blocks of the bucket, each pair in the first bucket that it
+   shares; a link joins its components at once, so a block yields fewer links than members.
 
-Members that the star has put in one component need no further comparison, as a component and not
-its single links is the outcome.
+Members of one component need no further comparison, as components and not single links are the
+outcome.
 
 Scale: texts move once, and only those of documents in a surviving pair move on. In confirmation
 a paired text is streamed past its star's set, in chunks of CHUNK members, so that a hub costs no
@@ -182,7 +184,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def confirmed(pairs: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
     """The pairs (hub a, member b) whose full sets are similar enough."""
     pairs = materialise(pairs, "pairs")
-    chunks = materialise(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("n")), "hubs")
+    chunks = materialise(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("n")), "chunks")
     needed = chunks.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     body = docs.select(F.col(key).cast("long").alias("doc_id"), whole(text).cast("binary").alias("body"))
     # equal doc_ids are copies of each other or else told apart by their text's hash: any one will do
@@ -194,33 +196,55 @@ def confirmed(pairs: DataFrame, docs: DataFrame, text: str, key: str) -> DataFra
 
 
 def _between(group: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a block whose components differ, that sizes and signatures leave possible."""
+    """Links that join components within a block of a bucket: a spanning set of them."""
     group = group.sort_values("doc_id", ignore_index=True)
     sig = np.frombuffer(b"".join(group["bytes"]), np.uint8).reshape(len(group), -1)
-    doc, label, n, part, hub = (group[c].to_numpy() for c in ("doc_id", "label", "n_shingles", "part", "hub"))
-    first, second = int(group["one"].iloc[0]), int(group["two"].iloc[0])
+    bands = np.stack(group["bands"].to_numpy())
+    doc, n, part, hub, label = (group[c].to_numpy() for c in ("doc_id", "n_shingles", "part", "hub", "label"))
+    apart = group["one"].iloc[0] != group["two"].iloc[0]
+    here = int(np.argmax(bands[0] == group["bucket"].iloc[0]))
+    sets: dict[int, np.ndarray] = {}
+    hashes = WordHashes()
+
+    def full(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = shingles(group["body"].iat[i].lower().split(), hashes)
+        return sets[i]
+
     a, b = [], []
     for i in range(len(group) - 1):
-        j = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
-        j = j[(doc[j] != hub[i]) & (doc[i] != hub[i])]  # the star has seen pairs with the hub
-        if first != second:
-            j = j[part[j] != part[i]]
-        j = j[np.minimum(n[j], n[i]) * WHOLE >= np.maximum(n[j], n[i]) * SIMILAR]
-        j = j[_alike(sig[j], sig[i]) >= ESTIMATE] if len(j) else j
-        a.append(np.full(len(j), doc[i]))
-        b.append(doc[j])
-    return pd.DataFrame({"a": np.concatenate(a) if a else [], "b": np.concatenate(b) if b else []}, dtype=np.int64)
-
-
-def _rest_pairs(shared: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs between components that still meet in a bucket. shared: (bucket, hub, size, doc_id)."""
+        rest = np.arange(i + 1, len(group))
+        rest = rest[(label[rest] != label[i]) & (np.minimum(n[rest], n[i]) * WHOLE >= np.maximum(n[rest], n[i]) * SIMILAR)]
+        rest = rest[(doc[rest] != hub[i]) & (doc[i] != hub[i])]  # the star has seen pairs with the hub
+        if apart:
+            rest = rest[part[rest] != part[i]]
+        if len(rest):
+            rest = rest[((bands[rest] == bands[i]).argmax(1) == here) & (_alike(sig[rest], sig[i]) >= ESTIMATE)]
+        for j in rest:
+            if label[j] == label[i]:
+                continue
+            both = len(np.intersect1d(full(i), full(j), assume_unique=True))
+            if WHOLE * both >= SIMILAR * (len(full(i)) + len(full(j)) - both):
+                a.append(doc[i])
+                b.append(doc[j])
+                label = np.where(label == label[j], label[i], label)
+    return pd.DataFrame({"a": a, "b": b}, dtype=np.int64)
+
+
+def _rest_links(shared: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame | None:
+    """Links between components that still meet in a bucket. shared: (bucket, hub, size, doc_id)."""
     known = labels.select(F.col("node").alias("doc_id"), "component")
     told = materialise(shared.filter(F.col("size") > 2).join(known, "doc_id", "left").select("bucket", "hub", "size", "doc_id", F.coalesce("component", "doc_id").alias("label")), "labelled")
     mixed = told.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter(F.col("x") != F.col("y")).select("bucket")
-    rows = told.join(materialise(mixed, "mixed"), "bucket").join(reps.select("doc_id", "n_shingles", "bytes"), "doc_id")
+    rows = materialise(told.join(materialise(mixed, "mixed"), "bucket"), "mixed-members")
+    needed = rows.select("doc_id").distinct()
+    if needed.isEmpty():
+        return None
+    body = docs.select(F.col(key).cast("long").alias("doc_id"), whole(text).cast("binary").alias("body"))
+    texts = materialise(body.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("body").alias("body")).join(reps.select("doc_id", "n_shingles", "bands", "bytes"), "doc_id"), "mixed-texts")
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), parts).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rows = rows.select("bucket", F.least("part", "with").alias("one"), F.greatest("part", "with").alias("two"), "hub", "doc_id", "label", "n_shingles", "bytes", "part")
+    rows = rows.select("bucket", F.least("part", "with").alias("one"), F.greatest("part", "with").alias("two"), "hub", "doc_id", "label", "part").join(texts, "doc_id")
     return rows.groupBy("bucket", "one", "two").applyInPandas(_between, "a long, b long").distinct()
 
 
@@ -230,14 +254,16 @@ def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     copies = materialise(rows.filter(F.col("copy_key").isNotNull()).groupBy("copy_key").agg(F.min("doc_id").alias("rep")), "copies")
     reps = materialise(rows.filter(F.col("copy_key").isNotNull()).join(copies.select(F.col("rep").alias("doc_id"), F.col("copy_key").alias("own")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "representatives")
     spread = reps.select("doc_id", F.explode("bands").alias("bucket"))
-    sizes = materialise(spread.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1), "buckets")
-    shared = materialise(spread.join(sizes, "bucket").select("bucket", "hub", "size", "doc_id"), "bucket-members")
+    sizes = materialise(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1), "buckets")
+    members = materialise(spread.join(sizes, "bucket").select("bucket", "size", "doc_id"), "bucket-members")
+    met = materialise(members.groupBy("doc_id").agg(F.sum("size").alias("met")), "meetings")
+    hubs = materialise(members.join(met, "doc_id").groupBy("bucket").agg(F.max_by("doc_id", F.struct("met", -F.col("doc_id"))).alias("hub")), "hubs")
+    shared = materialise(members.join(hubs, "bucket").select("bucket", "hub", "size", "doc_id"), "bucket-hubs")
     star = shared.filter(F.col("doc_id") != F.col("hub")).select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = materialise(confirmed(pruned(star, reps), docs, text, key), "links")
     labels = components(links)
-    rest = materialise(_rest_pairs(shared, labels, reps), "rest-pairs")
-    if not rest.isEmpty():
-        more = confirmed(rest, docs, text, key)
+    more = _rest_links(shared, labels, reps, docs, text, key)
+    if more is not None:
         labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = materialise(copies.join(labels, copies["rep"] == labels["node"], "left").select("copy_key", F.coalesce("component", "rep").alias("component")), "components")
     out = rows.join(named, "copy_key", "left")
