@@ -55,7 +55,12 @@ def suite_status(runs: DataFrame, suite: str = "suite_id") -> DataFrame:
 
 def merged_timings(parts: dict[str, str], total: str = "total") -> Column:
     """Timing maps (column to prefix) merged under their prefixes; total: the sum of all that are no totals."""
-    maps = [F.transform_keys(F.coalesce(c, F.expr("cast(map() as map<string,double>)")), lambda k, v, p=p: F.concat(F.lit(p), k)) for c, p in parts.items()]
+    none = F.expr("cast(map() as map<string,double>)")
+
+    def prefixed(column: str, prefix: str) -> Column:
+        return F.transform_keys(F.coalesce(column, none), lambda k, v: F.concat(F.lit(prefix), k))
+
+    maps = [prefixed(c, p) for c, p in parts.items()]
     merged = F.map_concat(*maps)
     plain = F.map_filter(merged, lambda k, v: ~F.endswith(k, F.lit(total)))
     return F.map_concat(plain, F.create_map(F.lit(total), F.aggregate(F.map_values(plain), F.lit(0.0), lambda a, x: a + x)))
