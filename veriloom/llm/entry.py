@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, line_dedup, near_dedup, packing, quality, secrets, toxicity, url_filters
+from . import chat_format, exact_dedup, line_dedup, near_dedup, packing, quality, secrets, subwords, toxicity, url_filters
 
 QUERIES = {
+    "op2_subword_samples": subwords.op2_subword_samples,
     "op7_preference_format": chat_format.op7_preference_format,
     "op6_url_filters": url_filters.op6_url_filters,
     "op8_quality_rules": quality.op8_quality_rules,

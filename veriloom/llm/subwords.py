@@ -49,7 +49,7 @@ MARK = "▁"
 ZIPF_SHIFT = 2.7
 #: Scores are taken to this power, which flattens the distribution so that samples differ.
 ALPHA = 0.3
-REMEMBERED = 150_000
+REMEMBERED = 120_000
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Siblings whose log mass lies further than this below the start cannot win in double precision.
 FAR = 80.0
@@ -67,13 +67,28 @@ class Pieces:
         plain = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
         rank = {i: r for r, i in enumerate(plain)}
         total = math.log(sum(1 / (r + ZIPF_SHIFT) for r in range(len(plain))))
-        self.known = {names[i]: ((i,), ALPHA * (-math.log(rank[i] + ZIPF_SHIFT) - total)) for i in plain}
-        self.longest = max(map(len, self.known))
+        self.score = np.zeros(n)
+        self.score[plain] = [ALPHA * (-math.log(rank[i] + ZIPF_SHIFT) - total) for i in plain]
+        self._trie({names[i]: i for i in plain})
         self.byte_ids = {int(names[i][3:5], 16): i for i in range(n) if model.is_byte(i)}
         self.byte_score = ALPHA * 2 * (-math.log(len(plain) + ZIPF_SHIFT) - total)
         self.spelled: dict[int, bytes] = {i: names[i].replace(MARK, " ").encode() for i in plain} | {i: bytes([b]) for b, i in self.byte_ids.items()}
 
 
+    def _trie(self, ids: dict[str, int]) -> None:
+        """The pieces' prefixes as states, with moves as sorted numbers (state and character)."""
+        states = {"": 0}
+        for name in ids:
+            for end in range(1, len(name) + 1):
+                states.setdefault(name[:end], len(states))
+        moves = sorted((states[x[:-1]] << 21 | ord(x[-1]), at) for x, at in states.items() if x)
+        self.moves, self.moved = (np.array(x, np.int64) for x in zip(*moves, strict=True))
+        self.piece_of = np.full(len(states), -1, np.int64)
+        for name, i in ids.items():
+            self.piece_of[states[name]] = i
+        self.longest = max(map(len, ids))
+
+
 class Lattices:
     """All lattices met so far, end to end.
 
@@ -83,7 +98,7 @@ class Lattices:
     the unit interval above the start's number, and where its ids begin.
     """
 
-    KINDS = {"first": np.int64, "last": np.int64, "owner": np.int64, "target": np.int64, "logp": np.float64, "upto": np.float64, "id_from": np.int64, "ids": np.int32}
+    KINDS = {"first": np.int64, "last": np.int64, "owner": np.int32, "target": np.int32, "logp": np.float64, "upto": np.float64, "id_from": np.int32, "ids": np.int32}
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
@@ -93,58 +108,80 @@ class Lattices:
         self.base: dict[str, tuple[int, int]] = {}  # chunk -> first node, nodes
         self.store = {name: np.zeros(1 << 12, kind) for name, kind in self.KINDS.items()}
         self.used = dict.fromkeys(self.KINDS, 0)
-        self.tail: dict[str, list] = {name: [] for name in self.KINDS}
-
-    def add(self, chunk: str) -> tuple[int, int]:
-        """Where a chunk's lattice lies; built if it is new."""
-        known, longest, tail, exp = self.pieces.known, self.pieces.longest, self.tail, math.exp
-        n = len(chunk)
-        node0 = self.used["first"] + len(tail["first"])
-        edge0 = self.used["target"] + len(tail["target"])
-        id0 = self.used["ids"] + len(tail["ids"])
-        back = [0.0] * (n + 1)
-        told = [None] * n
-        for i in range(n - 1, -1, -1):
-            out = [(j, hit) for j in range(i + 1, min(n, i + longest) + 1) if (hit := known.get(chunk[i:j])) is not None]
-            if not out or out[0][0] > i + 1:
-                raw = chunk[i].encode("utf-8", "replace")
-                out.append((i + 1, (tuple(self.pieces.byte_ids[b] for b in raw), self.pieces.byte_score * len(raw))))
-            scores = [hit[1] + back[j] for j, hit in out]
-            top = max(scores)
-            weights = [exp(x - top) for x in scores]
-            total = sum(weights)
-            back[i] = top + math.log(total)
-            told[i] = out, scores, weights, total
-        first, last, owner, target, logp, upto, id_from, ids = (tail[k] for k in self.KINDS)
-        for i, (out, scores, weights, total) in enumerate(told):
-            first.append(edge0)
-            so_far, node, base = 0.0, node0 + i, back[i]
-            for (j, (piece, _)), score, weight in zip(out, scores, weights, strict=True):
-                so_far += weight / total
-                owner.append(node)
-                target.append(node0 + j)
-                logp.append(min(0.0, score - base))
-                upto.append(node + so_far)
-                id_from.append(id0)
-                ids += piece
-                id0 += len(piece)
-            edge0 += len(out)
-            last.append(edge0 - 1)
-        first.append(-1)
-        last.append(-2)
-        found = self.base[chunk] = (node0, n + 1)
-        return found
-
-    def flush(self) -> None:
-        """Move what was added into the arrays."""
-        for name, values in self.tail.items():
-            if values:
-                n, held = self.used[name], self.store[name]
-                if n + len(values) > len(held):
-                    self.store[name] = held = np.concatenate([held[:n], np.zeros(max(len(values), n) + 1, held.dtype)])
-                held[n : n + len(values)] = values
-                self.used[name] = n + len(values)
-                values.clear()
+
+    def _put(self, **more: np.ndarray) -> None:
+        for name, values in more.items():
+            n, held = self.used[name], self.store[name]
+            if n + len(values) > len(held):
+                self.store[name] = held = np.concatenate([held[:n], np.zeros(max(len(values), n // 2) + 1, held.dtype)])
+            held[n : n + len(values)] = values
+            self.used[name] = n + len(values)
+
+    def _edges(self, codes: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, length, piece or -1) of every edge, by start and length. end: of each place's chunk."""
+        pieces, found = self.pieces, []
+        at, state = np.arange(len(codes)), np.zeros(len(codes), np.int64)
+        for length in range(1, pieces.longest + 1):
+            key = state << 21 | codes[at + length - 1]
+            place = np.minimum(np.searchsorted(pieces.moves, key), len(pieces.moves) - 1)
+            hit = pieces.moves[place] == key
+            state = np.where(hit, pieces.moved[place], 0)
+            piece = np.where(hit, pieces.piece_of[state], -1)
+            keep = piece >= 0 if length > 1 else np.ones(len(at), bool)  # else one edge of bytes
+            found.append((at[keep], np.full(int(keep.sum()), length), piece[keep]))
+            going = hit & (at + length < end[at])
+            at, state = at[going], state[going]
+            if not len(at):
+                break
+        start, length, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(start, kind="stable")
+        return start[order], length[order], piece[order]
+
+    def add(self, chunks: list[str]) -> None:
+        """Build the lattices of new chunks, all at once."""
+        if not chunks:
+            return
+        lengths = np.array([len(c) for c in chunks], np.int64)
+        codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        end = np.repeat(np.cumsum(lengths), lengths)
+        chunk = np.repeat(np.arange(len(chunks)), lengths)
+        start, length, piece = self._edges(codes, end)
+        raw = piece < 0
+        n_bytes = 1 + (codes[start] > 0x7F) + (codes[start] > 0x7FF) + (codes[start] > 0xFFFF)
+        score = np.where(raw, self.pieces.byte_score * n_bytes, self.pieces.score[np.maximum(piece, 0)])
+        node = np.arange(len(codes)) + chunk  # every chunk has a last node of its own
+        owner, target = node[start], node[start] + length
+        # backward sums, by the distance to a chunk's end and for all chunks at once
+        back = np.zeros(len(codes) + len(chunks))
+        away = (end - np.arange(len(codes)))[start]
+        order = np.argsort(away, kind="stable")
+        cuts = np.flatnonzero(np.r_[True, away[order][1:] != away[order][:-1]])
+        for lo, hi in zip(cuts, [*cuts[1:], len(order)], strict=True):
+            e = order[lo:hi]
+            value, own = score[e] + back[target[e]], owner[e]
+            heads = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            top = np.maximum.reduceat(value, heads)
+            spread = np.repeat(top, np.diff(np.r_[heads, len(e)]))
+            back[own[heads]] = top + np.log(np.add.reduceat(np.exp(value - spread), heads))
+        logp = np.minimum(0.0, score + back[target] - back[owner])
+        # within a node the likelier edges come first, so that a draw looks at few of them
+        order = np.lexsort((-logp, start))
+        logp, piece, raw, n_bytes, target = (x[order] for x in (logp, piece, raw, n_bytes, target))
+        heads = np.searchsorted(start, np.arange(len(codes)))
+        counts = np.diff(np.r_[heads, len(start)])
+        upto = np.cumsum(np.exp(logp))
+        upto -= np.repeat(np.r_[0.0, upto][heads], counts)
+        node0, edge0, id0 = self.used["first"], self.used["target"], self.used["ids"]
+        first, last = np.full(len(back), -1, np.int64), np.full(len(back), -2, np.int64)
+        first[node], last[node] = edge0 + heads, edge0 + heads + counts - 1
+        n_ids = np.where(raw, n_bytes, 1)
+        ids = np.repeat(piece, n_ids).astype(np.int32)
+        id_from = np.cumsum(n_ids) - n_ids
+        for e in np.flatnonzero(raw):
+            ids[id_from[e] : id_from[e] + n_ids[e]] = [self.pieces.byte_ids[b] for b in chr(codes[start[e]]).encode("utf-8", "surrogatepass")]
+        self._put(first=first, last=last, owner=node0 + owner, target=node0 + target, logp=logp, upto=node0 + owner + upto, id_from=id0 + id_from, ids=ids)
+        starts = np.cumsum(lengths + 1) - lengths - 1 + node0
+        self.base.update(zip(chunks, zip(starts.tolist(), (lengths + 1).tolist(), strict=True), strict=True))
 
     def __getattr__(self, name: str) -> np.ndarray:
         if name in Lattices.KINDS:
@@ -174,17 +211,14 @@ class Sampler:
         if len(held.base) > REMEMBERED:
             held.clear()
         chunks = [_CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        known, add = held.base, held.add
-        for x in chunks:
-            for c in x:
-                if c not in known:
-                    add(c)
-        held.flush()
+        known = held.base
+        held.add(sorted({c for x in chunks for c in x}.difference(known)))
         first, last_of, owner, target, logp, upto = held.first, held.last, held.owner, held.target, held.logp, held.upto
         counts = np.array([len(x) for x in chunks], np.int64)
         total = int(counts.sum())
-        where = np.array([known[c] for x in chunks for c in x], np.int64).reshape(total, 2)
-        start_of, nodes_of = where[:, 0], where[:, 1]
+        where = [known[c] for x in chunks for c in x]
+        start_of = np.fromiter((x[0] for x in where), np.int64, total)
+        nodes_of = np.fromiter((x[1] for x in where), np.int64, total)
 
         seeds = np.array([zlib.crc32(str(x).encode()) | zlib.crc32(b"#" + str(x).encode()) << 32 for x in keys], np.uint64)
         token_doc = np.repeat(np.arange(len(texts)), counts)
@@ -207,7 +241,10 @@ class Sampler:
             while len(who):
                 tok = tokens[who]
                 u = draw(token_doc[tok], place[tok] + node - start_of[tok], sample)
-                e = np.minimum(np.searchsorted(upto, node + u, side="right"), last_of[node])
+                e, aim, late = first[node], node + u, np.arange(len(node))
+                while len(late):
+                    late = late[(aim[late] >= upto[e[late]]) & (e[late] < last_of[node[late]])]
+                    e[late] += 1
                 rows.append(who)
                 edges.append(e)
                 steps.append(np.full(len(who), step))
@@ -323,8 +360,8 @@ def encode(docs: DataFrame, path: str | None = None, k: int = SAMPLES, text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sampler(path)
         for big in batches:
-            for at in range(0, big.num_rows, 128):
-                batch = big.slice(at, 128)
+            for at in range(0, big.num_rows, 256):
+                batch = big.slice(at, 256)
                 keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 rows = [(doc, i, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), lp, value, q, *([ids] if with_ids else [])) for doc, told in zip(keys, own(keys, texts, k), strict=True) for i, (ids, lp, value, q) in enumerate(told)]
                 columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema.fields]
