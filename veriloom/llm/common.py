@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 #: White space of the word and line rules: ASCII only.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -17,20 +18,6 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 MASK = (1 << 64) - 1
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is what the cluster names in spark.checkpoint.dir; only where that is unset (tests,
-    local runs) is a temporary folder made and set.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-veriloom-"))
-    return str(spark.sparkContext.getCheckpointDir()).rstrip("/")
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table once into the shared folder and read it from there.
 
