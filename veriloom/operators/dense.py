@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .lexical import ranked
 
@@ -25,7 +27,7 @@ def check_dimension(vectors: DataFrame, dimension: int, column: str = "embedding
     return vectors.filter(F.assert_true(F.size(column) == dimension, F.lit(f"vector size is not {dimension}")).isNull())
 
 
-def _local_best(ids: list, matrix: np.ndarray, k: int | None, min_digits: int | None):
+def _local_best(ids: list, id_type: pa.DataType, matrix: np.ndarray, k: int | None, min_digits: int | None):
     lengths = np.linalg.norm(matrix, axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,7 +55,7 @@ def _local_best(ids: list, matrix: np.ndarray, k: int | None, min_digits: int |
             if parts:
                 held = np.concatenate(parts, 1)
                 pick = np.lexsort((held[1].astype(np.int64), -held[2].astype(float)))[: k or held.shape[1]]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[q]] * len(pick)), pa.array(held[0, pick].tolist(), chunk_type), pa.array(held[1, pick].tolist(), pa.int64()), pa.array(held[2, pick].astype(float))], ["query_id", "chunk_id", "ordinal", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[q]] * len(pick), id_type), pa.array(held[0, pick].tolist(), chunk_type), pa.array(held[1, pick].tolist(), pa.int64()), pa.array(held[2, pick].astype(float))], ["query_id", "chunk_id", "ordinal", "score"])
 
     return run
 
@@ -64,8 +66,6 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int | None = 10, digits: in
     vectors: chunk_id, ordinal, embedding. queries: query_id, embedding. A query vector of another
     size raises. Negative scores are returned too.
     """
-    from pyspark.sql import types as T
-
     schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("chunk_id", vectors.schema["chunk_id"].dataType), T.StructField("ordinal", T.LongType()), T.StructField("score", T.DoubleType())])
     n, size, largest = queries.agg(F.count(F.lit(1)), F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
     if n and size != largest:
@@ -82,7 +82,7 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int | None = 10, digits: in
 
     def best(some: list) -> DataFrame:
         matrix = np.array([r["embedding"] for r in some], float)
-        return rows.mapInArrow(_local_best([r["query_id"] for r in some], matrix, k, digits), schema)
+        return rows.mapInArrow(_local_best([r["query_id"] for r in some], to_arrow_type(schema["query_id"].dataType), matrix, k, digits), schema)
 
     for row in held:
         part.append(row)

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from . import answers, evidence, fuse
 from .graph import graph_retrieve
 
@@ -75,6 +76,7 @@ def agentic(questions: DataFrame, retrieve: Retriever, act: Callable[[DataFrame,
         # earlier rounds win ties, so rounds are merged one after the other
         held = fuse.merge_best(found) if held is None else fuse.merge_best(held, found)
         if step + 1 < max_steps:
+            shared_folder(questions.sparkSession)
             live, held = live.checkpoint(), held.checkpoint()  # cuts the growing lineage
             if live.isEmpty():
                 break
@@ -87,7 +89,7 @@ def heuristic_action(questions: DataFrame, candidates: DataFrame | None, step: i
     if candidates is None:
         return none
     has = candidates.select("query_id").distinct().withColumn("has", F.lit(True))
-    return questions.select("query_id").join(has, "query_id", "left").select("query_id", F.when("has", "answer").otherwise("retrieve").alias("action"), F.lit(None).cast("string").alias("query"))
+    return questions.select("query_id").join(has, "query_id", "left").select("query_id", F.when(F.col("has"), "answer").otherwise("retrieve").alias("action"), F.lit(None).cast("string").alias("query"))
 
 
 def heuristic_assessment(questions: DataFrame, hits: DataFrame) -> DataFrame:
