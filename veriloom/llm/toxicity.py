@@ -163,8 +163,10 @@ def fit(texts: list[bytes], labels: np.ndarray, weight: np.ndarray | None = None
     if not types:
         return {"share": share}
     matrix = np.array([features(w.decode("utf-8", "replace")) for w in types], np.int32)
-    # a quarter of the sample is kept for the calibration
-    own = np.arange(len(texts)) % 4 != 3
+    # a quarter of each label's rows is kept for the calibration
+    own = np.ones(len(texts), bool)
+    for kind in (0, 1):
+        own[np.flatnonzero(labels == kind)[3::4]] = False
     trans, start = np.array([2.0, -2.0, 0.0, 0.0]), -3.0
     w = np.zeros(1 << BITS)
     bias = -4.0
