@@ -52,9 +52,13 @@ _EDGE = ".,;:!?\"'()[]{}<>|*#$%&+-=_/\\"
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def features(word: str) -> list[int]:
-    """Hashed features of a word: a fixed number, so that they form a matrix."""
-    w = word.lower().strip(_EDGE)
+def core(word: bytes) -> str:
+    """What of a word its features look at."""
+    return word.decode("utf-8", "replace").lower().strip(_EDGE)
+
+
+def features(w: str) -> list[int]:
+    """Hashed features of a word's core: a fixed number, so that they form a matrix."""
     n = min(len(w), 15)
     told = [f"w{w}", *(f"p{w[:k]}" for k in range(2, 8)), f"s{w[-3:]}", f"s{w[-4:]}", f"n{n}", f"q{w[:4]}|{n}", f"r{w[:6]}|{n}"]
     return [zlib.crc32(x.encode()) & ((1 << BITS) - 1) for x in told]
@@ -162,7 +166,7 @@ def fit(texts: list[bytes], labels: np.ndarray, weight: np.ndarray | None = None
     words = [np.array([types.setdefault(w, len(types)) for w in t.split()], np.int32) for t in texts]
     if not types:
         return {"share": share}
-    matrix = np.array([features(w.decode("utf-8", "replace")) for w in types], np.int32)
+    matrix = np.array([features(core(w)) for w in types], np.int32)
     # a quarter of each label's rows is kept for the calibration
     own = np.ones(len(texts), bool)
     for kind in (0, 1):
@@ -217,16 +221,19 @@ class Scorer:
     """Scores and spans of texts under a model; remembers emissions by word."""
 
     def __init__(self, model: dict):
-        self.model, self.known = model, {}
+        self.model, self.known, self.cores = model, {}, {}
 
     def emissions(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        for w in {*words}.difference(known):
-            known[w] = float(np.exp(np.clip(self.model["weights"][features(w.decode("utf-8", "replace"))].sum(dtype=np.float64) + self.model["bias"], -30, 30)))
-        out = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
+        known, cores = self.known, self.cores
         if len(known) > REMEMBERED:
             known.clear()
-        return out
+            cores.clear()
+        new = {w: core(w) for w in {*words}.difference(known)}
+        if unseen := [*{*new.values()}.difference(cores)]:
+            value = self.model["weights"][np.array([features(c) for c in unseen], np.int32)].sum(1, dtype=np.float64) + self.model["bias"]
+            cores.update(zip(unseen, np.exp(np.clip(value, -30, 30)).tolist(), strict=True))
+        known.update((w, cores[c]) for w, c in new.items())
+        return np.fromiter(map(known.__getitem__, words), np.float64, len(words))
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scores by text, marginals by token, and the number of tokens by text."""
