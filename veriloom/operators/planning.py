@@ -16,6 +16,13 @@ from ..functions import text as T
 
 STRATEGIES = ("single_query", "rrf", "multi_query")
 #: JSON keys under which a planner may answer, in the order they are asked for.
+#: What planners are asked, by processor; answers are JSON objects.
+PROMPTS = {
+    "rewrite": 'Rewrite the question as one precise search query. Answer as JSON: {{"query": "..."}}\n{question}',
+    "hyde": 'Write a short passage that would answer the question. Answer as JSON: {{"hypothetical_document": "..."}}\n{question}',
+    "multi_query": 'Write different search queries for the question. Answer as JSON: {{"queries": ["..."]}}\n{question}',
+    "decomposition": 'Split the question into sub-questions that can be searched alone. Answer as JSON: {{"queries": ["..."]}}\n{question}',
+}
 KEYS = {"rewrite": ("query", "rewrite", "rewritten_query"), "hyde": ("query", "hypothetical_document", "hyde")}
 
 

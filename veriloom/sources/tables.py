@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.filters import RetrievalFilters
+
 CHUNK = "chunk_id STRING, document_id STRING, manual_id STRING, manual_key STRING, manual_name STRING, manual_version STRING, snapshot_id STRING, vehicle_model STRING, topic_id STRING, title STRING, text STRING, section_path ARRAY<STRING>, source_url STRING, content_hash STRING, metadata MAP<STRING, STRING>"
 
 
@@ -61,6 +63,20 @@ class VectorTable:
     def delete(self, ids: DataFrame) -> None:
         self.replace(self.read().join(ids.select("chunk_id"), "chunk_id", "left_anti"))
 
+    def retrieve(self, ids: DataFrame) -> DataFrame:
+        return self.read().join(ids.select("chunk_id"), "chunk_id", "left_semi")
+
+    def scroll(self, filters: RetrievalFilters = RetrievalFilters()) -> DataFrame:
+        """All rows that a filter lets through, without vectors: they are not read."""
+        rows = self.read()
+        return rows.filter(filters.predicate()).select([c for c in rows.columns if c != "embedding"])
+
+    def search(self, queries: DataFrame, k: int = 10, filters: RetrievalFilters = RetrievalFilters()) -> DataFrame:
+        """The k nearest rows per query (query_id, embedding); the filter reaches the scan."""
+        from ..operators.dense import dense
+
+        return dense(self.read().filter(filters.predicate()), queries, k)
+
     def count(self) -> int:
         return self.read().count() if self.generation() else 0
 
