@@ -40,7 +40,9 @@ def tokens(text: Column) -> Column:
     low = F.lower(F.coalesce(text, F.lit("")))
     chars = F.regexp_extract_all(low, F.lit("([一-鿿])"), F.lit(1))
     pairs = F.zip_with(chars, F.slice(chars, 2, F.greatest(F.size(chars), F.lit(1))), lambda a, b: F.concat(a, b))
-    return F.concat(chars, F.filter(pairs, lambda x: x.isNotNull()), F.regexp_extract_all(low, F.lit("([a-z0-9]+)"), F.lit(1)))
+    words = F.regexp_extract_all(low, F.lit("([a-z0-9]+)"), F.lit(1))
+    # texts without CJK characters are read twice and not four times
+    return F.when(low.rlike("[一-鿿]"), F.concat(chars, F.filter(pairs, lambda x: x.isNotNull()), words)).otherwise(words)
 
 
 def body(text: Column) -> Column:
