@@ -21,7 +21,7 @@ all pairs of a bucket:
 Members of one component need no further comparison, as components and not single links are the
 outcome.
 
-Scale: texts move once, and only those of documents in a surviving pair move on. In confirmation
+Scale: texts move once, and only those of documents that share a bucket move on. In confirmation
 a paired text is streamed past its star's set, in chunks of CHUNK members, so that a hub costs no
 task more than that. All groups (copies, buckets, hubs) are counted before the shuffle, and joined
 by plain equi-joins that adaptive execution can split.
@@ -181,14 +181,10 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
-    """The pairs (hub a, member b) whose full sets are similar enough."""
+def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (hub a, member b) whose full sets are similar enough. texts: doc_id, body."""
     pairs = materialise(pairs, "pairs")
     chunks = materialise(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("n")), "chunks")
-    needed = chunks.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    body = docs.select(F.col(key).cast("long").alias("doc_id"), whole(text).cast("binary").alias("body"))
-    # equal doc_ids are copies of each other or else told apart by their text's hash: any one will do
-    texts = materialise(body.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("body").alias("body")), "paired-texts")
     hubs = chunks.join(texts, chunks["a"] == texts["doc_id"]).select("a", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("chunk"), F.lit(None).cast("long").alias("b"), "body")
     members = pairs.join(chunks, "a").join(texts, F.col("b") == F.col("doc_id")).select("a", F.pmod(F.xxhash64("b"), F.col("n")).cast("int").alias("chunk"), "b", "body")
     dealt = hubs.unionByName(members).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
@@ -231,7 +227,7 @@ def _between(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": a, "b": b}, dtype=np.int64)
 
 
-def _rest_links(shared: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame | None:
+def _rest_links(shared: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame | None:
     """Links between components that still meet in a bucket. shared: (bucket, hub, size, doc_id)."""
     known = labels.select(F.col("node").alias("doc_id"), "component")
     told = materialise(shared.filter(F.col("size") > 2).join(known, "doc_id", "left").select("bucket", "hub", "size", "doc_id", F.coalesce("component", "doc_id").alias("label")), "labelled")
@@ -240,11 +236,10 @@ def _rest_links(shared: DataFrame, labels: DataFrame, reps: DataFrame, docs: Dat
     needed = rows.select("doc_id").distinct()
     if needed.isEmpty():
         return None
-    body = docs.select(F.col(key).cast("long").alias("doc_id"), whole(text).cast("binary").alias("body"))
-    texts = materialise(body.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("body").alias("body")).join(reps.select("doc_id", "n_shingles", "bands", "bytes"), "doc_id"), "mixed-texts")
+    told = materialise(texts.join(needed, "doc_id", "left_semi").join(reps.select("doc_id", "n_shingles", "bands", "bytes"), "doc_id"), "mixed-texts")
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), parts).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rows = rows.select("bucket", F.least("part", "with").alias("one"), F.greatest("part", "with").alias("two"), "hub", "doc_id", "label", "part").join(texts, "doc_id")
+    rows = rows.select("bucket", F.least("part", "with").alias("one"), F.greatest("part", "with").alias("two"), "hub", "doc_id", "label", "part").join(told, "doc_id")
     return rows.groupBy("bucket", "one", "two").applyInPandas(_between, "a long, b long").distinct()
 
 
@@ -260,9 +255,12 @@ def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     hubs = materialise(members.join(met, "doc_id").groupBy("bucket").agg(F.max_by("doc_id", F.struct("met", -F.col("doc_id"))).alias("hub")), "hubs")
     shared = materialise(members.join(hubs, "bucket").select("bucket", "hub", "size", "doc_id"), "bucket-hubs")
     star = shared.filter(F.col("doc_id") != F.col("hub")).select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = materialise(confirmed(pruned(star, reps), docs, text, key), "links")
+    # the one shuffle of texts: of all documents, but only those that share a bucket go further
+    body = docs.select(F.col(key).cast("long").alias("doc_id"), whole(text).cast("binary").alias("body"))
+    texts = materialise(body.join(met.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("body").alias("body")), "paired-texts")
+    links = materialise(confirmed(pruned(star, reps), texts), "links")
     labels = components(links)
-    more = _rest_links(shared, labels, reps, docs, text, key)
+    more = _rest_links(shared, labels, reps, texts)
     if more is not None:
         labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = materialise(copies.join(labels, copies["rep"] == labels["node"], "left").select("copy_key", F.coalesce("component", "rep").alias("component")), "components")
