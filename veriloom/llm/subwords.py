@@ -32,6 +32,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,7 @@ MARK = "▁"
 ZIPF_SHIFT = 2.7
 #: Scores are taken to this power, which flattens the distribution so that samples differ.
 ALPHA = 0.3
-REMEMBERED = 120_000
+REMEMBERED = 250_000
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Siblings whose log mass lies further than this below the start cannot win in double precision.
 FAR = 80.0
@@ -105,7 +106,7 @@ class Lattices:
         self.clear()
 
     def clear(self) -> None:
-        self.base: dict[str, tuple[int, int]] = {}  # chunk -> first node, nodes
+        self.base: dict[str, int] = {}  # chunk -> first node and, in the lower 32 bits, nodes
         self.store = {name: np.zeros(1 << 12, kind) for name, kind in self.KINDS.items()}
         self.used = dict.fromkeys(self.KINDS, 0)
 
@@ -181,7 +182,7 @@ class Lattices:
             ids[id_from[e] : id_from[e] + n_ids[e]] = [self.pieces.byte_ids[b] for b in chr(codes[start[e]]).encode("utf-8", "surrogatepass")]
         self._put(first=first, last=last, owner=node0 + owner, target=node0 + target, logp=logp, upto=node0 + owner + upto, id_from=id0 + id_from, ids=ids)
         starts = np.cumsum(lengths + 1) - lengths - 1 + node0
-        self.base.update(zip(chunks, zip(starts.tolist(), (lengths + 1).tolist(), strict=True), strict=True))
+        self.base.update(zip(chunks, (starts << 32 | lengths + 1).tolist(), strict=True))
 
     def __getattr__(self, name: str) -> np.ndarray:
         if name in Lattices.KINDS:
@@ -212,13 +213,12 @@ class Sampler:
             held.clear()
         chunks = [_CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         known = held.base
-        held.add(sorted({c for x in chunks for c in x}.difference(known)))
+        held.add(sorted(set(chain.from_iterable(chunks)).difference(known)))
         first, last_of, owner, target, logp, upto = held.first, held.last, held.owner, held.target, held.logp, held.upto
         counts = np.array([len(x) for x in chunks], np.int64)
         total = int(counts.sum())
-        where = [known[c] for x in chunks for c in x]
-        start_of = np.fromiter((x[0] for x in where), np.int64, total)
-        nodes_of = np.fromiter((x[1] for x in where), np.int64, total)
+        where = np.fromiter(map(known.__getitem__, chain.from_iterable(chunks)), np.int64, total)
+        start_of, nodes_of = where >> 32, where & 0xFFFFFFFF
 
         seeds = np.array([zlib.crc32(str(x).encode()) | zlib.crc32(b"#" + str(x).encode()) << 32 for x in keys], np.uint64)
         token_doc = np.repeat(np.arange(len(texts)), counts)
