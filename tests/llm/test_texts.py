@@ -175,6 +175,22 @@ def test_secrets(spark):
     assert S.scan(docs.limit(0)).count() == 0
 
 
+def test_novelty_alone_decides_in_sensitive_windows():
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    draw = lambda n, of=letters + "0123456789+/": "".join(rng.choice(of) for _ in range(n))
+    novel = lambda t: [t.encode()[s:e].decode() for s, e, k in S.findings(t.encode()) if k == 3]
+    for n in (20, 24, 32):
+        only, one = draw(n, letters), draw(n - 1, letters) + "7"
+        assert novel(f"signing key: {only}") == [only] and novel(f"signing key: {one}") == [one]
+    body = [draw(64) for _ in range(6)]
+    assert novel("-----BEGIN PRIVATE KEY-----\n" + "\n".join(body) + "\n-----END PRIVATE KEY-----") == body
+    key, far = draw(40), draw(40)
+    assert novel(f"credential: |\n  {key}\n") == [key] and novel(f"{key}\nis the signature") == [key]
+    assert novel(f'{{"hmac":{{"rounds":10,{",".join(f"{c}:1" for c in letters)},"v":"{key}"}}}}') == [key]
+    assert novel(f"webhook{' .' * S.WINDOW}{far}") == []  # the word stands outside the window
+
+
 def test_base_findings_against_plain_patterns(spark):
     rng = random.Random(8)
     bits = ["token", "PASSWORD", "api_key", "apikey", '"', "'", " ", "  ", ":", "=", "abcdef", "0123456789abcdef", "AKIA", "QRSTUVWXYZ", "é", "\n", "/+.", "K", "ſ", "deadbeef"]

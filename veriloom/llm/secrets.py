@@ -1,9 +1,10 @@
 """Secrets in whole texts: plain patterns, and novelty against a primed zstandard dictionary.
 
 Base kinds are patterns: an assignment to a sensitive name (assign), an access key id (access), a
-long lower-case hex run (hex). The method adds kind `novel`: a long run of key characters that
-follows a sensitive word on its line is a candidate; it is measured by the bytes it adds to a
-zstandard frame whose dictionary holds common identifiers and the text around the candidate.
+long lower-case hex run (hex). The method adds kind `novel`: a long run of key characters with a
+sensitive word in it or within WINDOW bytes to either side, over line ends, is a candidate; it is
+measured by the bytes it adds to a zstandard frame whose dictionary holds common identifiers and the
+text around the candidate. That measure alone decides.
 Words, identifiers and what stands nearby cost few bytes; random key material costs about what
 its entropy says. Candidates that stay incompressible are reported. Base findings stay as they are.
 
@@ -20,8 +21,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,13 +41,11 @@ _NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _HEX_ONLY = bytes(49 if b in b"0123456789abcdef" else 48 for b in range(256))
 _HEX_RUN = b"1" * 24
 
-#: Words that make their line a sensitive context.
+#: Words that make the text around them a sensitive context.
 CONTEXT = (b"key", b"secret", b"token", b"passw", b"passphrase", b"pwd", b"auth", b"credential", b"bearer", b"private", b"signature", b"signing", b"session", b"cookie", b"salt", b"hmac", b"webhook", b"connection")
 _CONTEXT = re.compile(rb"(?:%s)" % b"|".join(CONTEXT), re.IGNORECASE)
 _CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
-#: Bytes before a candidate, on its line, in which the sensitive word has to stand.
-REACH = 48
-#: Bytes of surrounding text on either side that prime the dictionary.
+#: Bytes of surrounding text on either side that prime the dictionary and may hold the sensitive word.
 WINDOW = 1024
 #: Marginal compressed bytes per byte from which a candidate is novel.
 NOVELTY = 0.6
@@ -105,17 +106,19 @@ def base_findings(text: bytes) -> list[tuple[int, int, int]]:
 def novel_findings(text: bytes, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Candidates in sensitive context that a primed dictionary doesn't shorten."""
     out = []
+    words, starts, ends = None, [b for b, _, _ in base], list(accumulate((f for _, f, _ in base), max))
     for m in _CANDIDATE.finditer(text):
         s, e = m.span()
-        word = m[0]
-        # key material mixes letters with digits
-        if sum(48 <= c <= 57 for c in word) < 2 or not any(c >= 65 for c in word):
+        if words is None:
+            words = [w.span() for w in _CONTEXT.finditer(text)]
+        near = bisect_left(words, (max(0, s - WINDOW),))
+        if near == len(words) or words[near][1] > e + WINDOW:
             continue
-        line = max(text.rfind(b"\n", 0, s) + 1, s - REACH)
-        if not _CONTEXT.search(text, line, s) or any(b < e and s < f for b, f, _ in base):
+        over = bisect_left(starts, e)
+        if over and ends[over - 1] > s:
             continue
         around = text[max(0, s - WINDOW) : s] + b"\n" + text[e : e + WINDOW]
-        if novelty(word, around) >= NOVELTY:
+        if novelty(m[0], around) >= NOVELTY:
             out.append((s, e, 3))
     return out
 
