@@ -275,6 +275,18 @@ def test_url_templates(spark):
     assert got[1001].verdict == "allow"
 
 
+def test_deep_url_templates(spark):
+    rules = (("d.com", "/en/a/b/bad/", "block"), ("d.com", "/en/a/b/good/", "allow"))
+    rows = [(i, f"https://d.com/en/a/b/{'bad' if i % 2 else 'good'}/{i}/{'x' if i % 2 else i}/end") for i in range(400)]
+    rows += [(1000, "https://d.com/"), (1001, "https://d.com"), (1002, "https://e.com/" + "/".join(f"s{k}" for k in range(300)))]
+    got = {r.page_id: r for r in U.url_filter(spark.createDataFrame(rows, "page_id long, url string"), rules=rules).collect()}
+    assert len(got) == len(rows)
+    held = {k: {got[i].template for i in range(400) if i % 2 == k} for k in (0, 1)}
+    assert not held[0] & held[1]  # one branch is all block, the other all allow
+    assert {t.split("/")[5] for t in held[0] | held[1]} == {"*"} and all(t.endswith("/end") for t in held[0] | held[1])
+    assert got[1000].template == got[1001].template == "" and got[1002].template == got[1002].path
+
+
 # ---- conversations -------------------------------------------------------------------------
 
 TURN = "conv_id long, turn long, role string, text string"

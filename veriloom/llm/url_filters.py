@@ -1,7 +1,8 @@
 """URL filters: host and path rules, and a path-template tree judged by labelled purity.
 
 Rules decide the urls that they fit (the longest one wins); these are also the labelled urls. For
-all others the method decides: per host a tree of path segments is grown level by level.
+all others the method decides: per host a tree of path segments is grown level by level, until no node
+has children left.
 
 - Variable segments: where a node has many different children for its pages, those without a
   share of KEEP_SHARE become the wildcard `*`.
@@ -15,7 +16,8 @@ DataFrame and SQL functions only; no page text is read.
 
 Scale: pages are reduced to counts per (host, node, segment) before each level's shuffle. The way
 back to pages is an equi-join on a written table, which adaptive execution splits where a host or
-segment is hot. Levels are few and fixed: deeper segments are one, `**`.
+segment is hot. A node whose pages all go on alike takes the rest of their path at once, so levels
+end where paths stop branching, and a level only moves the pages that go on.
 
 Defined results: a null url, or one without `://`, has an empty host and path, fits no rule and is
 allowed; equal page_ids are judged row by row; an empty table gives an empty result.
@@ -38,7 +40,6 @@ RULES = (
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 )
-LEVELS = 3
 VARIETY = 8
 KEEP_SHARE = 0.05
 Z = 1.96
@@ -62,29 +63,34 @@ def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return rule, verdict
 
 
-def templates(pages: DataFrame, levels: int = LEVELS) -> DataFrame:
+def templates(pages: DataFrame) -> DataFrame:
     """pages (host, path, ...) with their template."""
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
     rows = pages.withColumn("segs", segments)
     # how a path ends: a number, with or without an extension
     rows = rows.withColumn("numeric", F.coalesce(F.element_at(F.when(F.size("segs") > 0, F.col("segs")), -1).rlike(r"^[0-9]+(\.[a-z]+)?$"), F.lit(False)).cast("int"))
-    rows = rows.withColumn("node", F.lit(""))
-    for level in range(levels):
-        deeper = F.size("segs") > levels
-        seg = F.when(deeper & F.lit(level == levels - 1), F.lit("**")).otherwise(F.get("segs", F.lit(level)))
-        rows = materialise(rows.withColumn("seg", seg), "url-level")
-        children = rows.filter(F.col("seg").isNotNull()).groupBy("host", "node", "seg").agg(F.count(F.lit(1)).alias("n"), F.sum("numeric").alias("k"))
-        children = materialise(children, "url-children")
-        nodes = children.groupBy("host", "node").agg(F.count(F.lit(1)).alias("variety"), F.sum("n").alias("all_n"), F.sum("k").alias("all_k"))
-        told = children.join(nodes, ["host", "node"])
+    rows = materialise(rows.withColumn("node", F.lit("")), "url-level")
+    done = [rows.filter(F.size("segs") == 0)]
+    left = rows.filter(F.size("segs") > 0)
+    while not left.isEmpty():
+        # segs: what of a path is left below its node
+        told = left.withColumn("seg", F.get("segs", F.lit(0))).withColumn("rest", F.array_join("segs", "/"))
+        ends = [F.min("rest").alias("low"), F.max("rest").alias("high")]
+        children = materialise(told.groupBy("host", "node", "seg").agg(F.count(F.lit(1)).alias("n"), F.sum("numeric").alias("k"), *ends), "url-children")
+        nodes = children.groupBy("host", "node").agg(F.count(F.lit(1)).alias("variety"), F.sum("n").alias("all_n"), F.sum("k").alias("all_k"), (F.min("low") == F.max("high")).alias("alike"))
+        children = children.join(nodes, ["host", "node"])
         wild = (F.col("variety") >= VARIETY) & (F.col("n") < F.col("all_n") * KEEP_SHARE)
         share = F.col("all_k") / F.col("all_n")
         z = F.abs(F.col("k") / F.col("n") - share) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-6)) / F.col("n"))
         step = F.when(wild, "*").when((F.col("variety") > 1) & (F.col("n") < F.col("all_n")) & (z < Z), "~").otherwise(F.col("seg"))
-        steps = materialise(told.select("host", "node", "seg", step.alias("step")), "url-steps")
-        rows = rows.join(steps, ["host", "node", "seg"], "left")
-        rows = rows.withColumn("node", F.when(F.col("seg").isNull(), F.col("node")).otherwise(F.concat("node", F.lit("/"), "step"))).drop("seg", "step")
-    return rows.drop("segs", "numeric").withColumnRenamed("node", "template")
+        steps = materialise(children.select("host", "node", "seg", step.alias("step"), "alike"), "url-steps")
+        told = told.join(steps, ["host", "node", "seg"])
+        told = told.withColumn("node", F.concat("node", F.lit("/"), F.when(F.col("alike"), F.col("rest")).otherwise(F.col("step"))))
+        told = told.withColumn("segs", F.when(F.col("alike"), F.slice("segs", 1, 0)).otherwise(F.slice("segs", F.lit(2), F.size("segs"))))
+        rows = materialise(told.select(rows.columns), "url-level")
+        done.append(rows.filter(F.size("segs") == 0))
+        left = rows.filter(F.size("segs") > 0)
+    return reduce(DataFrame.unionByName, done).drop("segs", "numeric").withColumnRenamed("node", "template")
 
 
 def judged_templates(rows: DataFrame) -> DataFrame:
