@@ -287,6 +287,13 @@ def test_deep_url_templates(spark):
     assert got[1000].template == got[1001].template == "" and got[1002].template == got[1002].path
 
 
+def test_coverage_overrides_purity(spark):
+    rows = spark.createDataFrame([("h", "/~/*", "block" if i < 20 else None) for i in range(41)], "host string, template string, ruled string")
+    told = U.judged_templates(rows).first()
+    assert told.purity >= U.PURITY and not told.rejected
+    assert U.judged_templates(rows.filter("ruled = 'block'")).first().rejected
+
+
 # ---- conversations -------------------------------------------------------------------------
 
 TURN = "conv_id long, turn long, role string, text string"
