@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the
 last return the columns of documents. The stages' operators lie in veriloom.llm.
+
+Defined results: a document without doc_id is one like any other, though of copies one with a
+doc_id is kept before it; rows of one doc_id and one text are one document, of which the dedup
+stages keep one row; rows of one doc_id and different texts are different documents.
 """
 
 from __future__ import annotations
@@ -12,7 +16,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriloom.llm import exact_dedup, near_dedup, packing, secrets, toxicity
-from veriloom.llm.common import shared_folder
+from veriloom.llm.common import materialise, shared_folder, whole
+
+
+def _keyed(docs: DataFrame) -> bool:
+    """Whether doc_id tells all rows apart."""
+    return docs.groupBy("doc_id").count().filter(F.col("doc_id").isNull() | (F.col("count") > 1)).isEmpty()
+
+
+def _one_of_equal(docs: DataFrame) -> DataFrame:
+    """One row per doc_id and text, null ids being equal, with the text's digest."""
+    return docs.withColumn("veriloom_digest", F.unhex(F.sha2(whole("text"), 256))).dropDuplicates(["doc_id", "veriloom_digest"])
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,13 +39,23 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
     decided = exact_dedup.exact_dedup(*exact_dedup.split_generations(docs))
-    return docs.join(decided.filter("kept").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    if _keyed(docs):
+        return docs.join(decided.filter("kept").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    kept = decided.filter("kept").select(F.col("doc_id").alias("kept_id"), F.unhex("text_sha256").alias("kept_digest"))
+    same = (F.col("veriloom_digest") == F.col("kept_digest")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))
+    return _one_of_equal(docs).join(kept, same, "left_semi").select(docs.columns)
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-duplicates."""
-    decided = near_dedup.near_dedup(docs)
-    return docs.join(decided.filter("kept").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    if _keyed(docs):
+        decided = near_dedup.near_dedup(docs)
+        return docs.join(decided.filter("kept").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    # numbered in the order of doc_id, so that the same documents win; those without one come last
+    order = [F.col("doc_id").asc_nulls_last(), "veriloom_digest"]
+    rows = materialise(_one_of_equal(docs).sort(*order).withColumn("veriloom_row", F.monotonically_increasing_id()), "pipeline-rows")
+    decided = near_dedup.near_dedup(rows, key="veriloom_row")
+    return rows.join(decided.filter("kept").select(F.col("doc_id").alias("veriloom_row")), "veriloom_row", "left_semi").select(docs.columns)
 
 
 def secrets_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,3 +31,20 @@ def test_queries_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in entry.QUERIES) == list(range(1, 11))
     assert set(entry.ORACLES) <= set(entry.QUERIES)
     assert [n for n, _ in pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "secret_scans", "best_fit_packing"]
+
+
+def test_dedup_stages_without_telling_keys(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    text = lambda n, end="": " ".join(f"w{n}x{k}" for k in range(120)) + end
+    given = [(None, text(1)), (None, text(2)), (None, text(2)), (3, text(3)), (3, text(3)), (4, text(4)), (None, text(4)), (5, text(5)), (5, text(6)), (7, text(6)), (None, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in given], schema)
+    out = pipeline.exact_copies_out(spark, docs, DATA)
+    assert out.columns == docs.columns
+    want = [(None, text(1)), (None, text(2)), (3, text(3)), (4, text(4)), (5, text(5)), (7, text(6)), (8, "")]
+    order = lambda rows: sorted(rows, key=str)
+    assert order((r.doc_id, r.text) for r in out.collect()) == order(want)
+
+    near = [(None, text(1)), (None, text(1, " more")), (None, text(2)), (3, text(3)), (3, text(3)), (None, text(3, " more")), (5, text(5)), (5, text(6)), (6, text(6, " more"))]
+    out = pipeline.near_copies_out(spark, spark.createDataFrame([(i, t, "en", "s", 1) for i, t in near], schema), DATA)
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert order(got) in (order(w + [(None, text(1, end))]) for w in [[(None, text(2)), (3, text(3)), (5, text(5)), (5, text(6))]] for end in ("", " more"))
