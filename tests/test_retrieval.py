@@ -116,3 +116,14 @@ def test_graph_boundary_and_hop(spark):
     chunks = graph_chunks(spark, 2).withColumn("text", F.when(F.col("ordinal") == 0, "needle").otherwise("other"))
     got = graph.graph_retrieve(chunks, spark.createDataFrame([(1, "needle")], "query_id int, text string"), 5).orderBy("rank").collect()
     assert [(r.chunk_id, r.score, r.seed) for r in got] == [("chunk-0", 1.0, True), ("chunk-1", 0.5, False)]
+
+
+def test_hybrid_answers_every_question(spark):
+    from veriloom import queries
+
+    data = "/root/testdata/sf0.001"
+    items = {r.item_id for r in spark.read.parquet(f"{data}/benchmark.parquet").select("item_id").collect()}
+    got = queries.hybrid_rrf_all(spark, data).collect()
+    assert {r.query_id for r in got if r.dense_rank} == items and len(items) > 20
+    first = {tuple(r) for r in got if r.query_id < 20}
+    assert first == {tuple(r) for r in queries.hybrid_rrf(spark, data).collect()}
