@@ -118,6 +118,22 @@ def test_graph_boundary_and_hop(spark):
     assert [(r.chunk_id, r.score, r.seed) for r in got] == [("chunk-0", 1.0, True), ("chunk-1", 0.5, False)]
 
 
+def test_searches_ask_for_whole_tables(spark, tmp_path):
+    import numpy as np
+
+    from veriloom import queries
+
+    values = np.random.default_rng(3).normal(size=(2301, 8)).astype("float32")
+    spark.createDataFrame([(i, v.tolist(), i % 5) for i, v in enumerate(values)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    unit = values.astype(float) / np.linalg.norm(values.astype(float), axis=1)[:, None]
+    for name, held in (("dense_topk_all", np.arange(2301)), ("dense_filtered_all", np.arange(3, 2301, 5))):
+        got = {(r.query_id, r.rank): r.chunk_id for r in queries.QUERIES[name](spark, str(tmp_path)).collect()}
+        assert {q for q, _ in got} == set(range(0, 2301, 100))
+        for q in range(0, 2301, 100):
+            scores = np.round(unit[held] @ unit[q], 6)
+            assert [got[q, k] for k in range(1, 11)] == held[np.lexsort((held, -scores))][:10].tolist()
+
+
 def test_hybrid_answers_every_question(spark):
     from veriloom import queries
 
