@@ -142,6 +142,19 @@ def test_dataset_builder(spark):
         datasets.build_cases(df.filter("manual_key = 'm0' or topic_id != 't0'").filter("manual_key = 'm0'"), counts | {"single_chunk": 1, "multi_chunk_same_topic": 1, "multi_topic": 1})
 
 
+def test_dataset_builder_chooses_among_all_chunks(spark):
+    # the tag and the shared section stand only behind the first chunks of a large topic and manual
+    rows = [(f"c{m}-{t}-{s:03d}", f"m{m}", f"t{t:02d}", "T", [f"own {m} {s:03d}"], "正文：" + "座椅" + "x" * 90) for m in range(3) for t in range(8) for s in range(40)]
+    rows += [(f"z{m}", f"m{m}", "t07", "T", ["zz shared"], "正文：" + "充电" + "x" * 90) for m in range(3)]
+    rows += [(f"y{m}", f"m{m}", "t07", "T", ["zy shared"], "正文：" + "充电" + "x" * 90) for m in range(3)]
+    df = spark.createDataFrame(rows, "chunk_id string, manual_key string, topic_id string, title string, section_path array<string>, text string")
+    counts = {"single_chunk": 4, "multi_chunk_same_topic": 3, "multi_topic": 3, "cross_manual": 1, "unanswerable": 1}
+    order = ["manual_key", "topic_id", "section", "chunk_id"]
+    want = datasets.choose(datasets.readable(df).orderBy(*order).collect(), counts)
+    got = [(r.case_id, r.question_type, list(r.gold_chunk_ids)) for r in datasets.build_cases(df, counts).collect()]
+    assert got == want and len({c for _, k, g in got if k == "cross_manual" for c in g}) == 2
+
+
 def test_settings(tmp_path):
     (tmp_path / "base.json").write_text('{"dimension": 8, "retrieval": {"top_k": 2}}')
     (tmp_path / "top.json").write_text('{"extends": "base.json", "retrieval": {"rrf_k": 10}}')

@@ -1,14 +1,15 @@
 """Evaluation datasets: disjoint case selection from chunk tables.
 
-Spark brings candidates into a defined order with everything a choice looks at; the choice itself
-shares one set of used chunks across its four steps and is made over the bounded candidate table.
+The choice shares one set of used chunks across its four steps. For each step Spark finds, among all
+readable chunks that aren't used yet, the few that the step can look at, as many as the counts need.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import body, content_tag
@@ -30,21 +31,42 @@ def readable(chunks: DataFrame) -> DataFrame:
     return rows.withColumn("section", section).withColumn("tag", content_tag(F.concat_ws(" ", "title", F.array_join("section_path", " "), "text")))
 
 
-def candidates(chunks: DataFrame, per_topic: int = 4, per_manual: int = 200) -> DataFrame:
-    """The rows choices are made from: the first few of each topic, and of each manual, in order.
-
-    No step takes more than two chunks of a topic, so a topic's first ones suffice.
-    """
-    order = ["manual_key", "topic_id", "section", "chunk_id"]
-    topic = Window.partitionBy("manual_key", "topic_id").orderBy("section", "chunk_id")
-    manual = Window.partitionBy("manual_key").orderBy("topic_id", "section", "chunk_id")
-    rows = readable(chunks).withColumn("_t", F.row_number().over(topic)).filter(F.col("_t") <= per_topic)
-    rows = rows.withColumn("_m", F.row_number().over(manual)).filter(F.col("_m") <= per_manual)
-    return rows.select("chunk_id", "manual_key", "topic_id", "section", "tag").orderBy(*order)
+COLUMNS = ("chunk_id", "manual_key", "topic_id", "section", "tag")
 
 
-def choose(rows: list, counts: dict[str, int] = CASE_COUNTS) -> list[tuple[str, str, list]]:
-    """(case_id, question_type, chunk ids) from ordered candidate rows; raises where too few are found."""
+def step_rows(rows: DataFrame, step: str, used: set, count: int) -> list:
+    """What a step chooses from, in order: of all free rows those that count cases can need."""
+    order = ["manual_key", "topic_id", "section", "chunk_id"]
+    free = rows.filter(~F.col("chunk_id").isin(list(used))) if used else rows
+
+    def firsts(some: DataFrame, n: int, by: list[str], along: list[str]) -> DataFrame:
+        return some.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*along))).filter(F.col("_n") <= n)
+
+    def among(some: DataFrame, key: str, enough: Column) -> DataFrame:
+        """Rows of the first count groups that give a case."""
+        names = [r[0] for r in some.groupBy(key).agg(enough.alias("_enough")).filter("_enough").orderBy(key).limit(count).collect()]
+        return some.filter(F.col(key).isin(names)) if names else some.limit(0)
+
+    if step == "single_chunk":  # a case takes one topic: the first row of as many topics a tag as there are cases
+        found = firsts(firsts(free, 1, ["tag", "manual_key", "topic_id"], order), count, ["tag"], order)
+    elif step == "multi_chunk_same_topic":  # the first two rows of a topic, of different sections
+        two = firsts(free, 2, ["manual_key", "topic_id"], order)
+        good = two.groupBy("manual_key", "topic_id").agg(F.count_distinct("section").alias("_s")).filter("_s > 1").orderBy("manual_key", "topic_id").limit(count)
+        same = two["manual_key"].eqNullSafe(good["manual_key"]) & two["topic_id"].eqNullSafe(good["topic_id"])
+        found = two.join(F.broadcast(good), same, "left_semi")
+    elif step == "multi_topic":  # the first rows of a manual's first two topics, and of the first topic of each tag
+        heads = firsts(free, 1, ["manual_key", "topic_id"], order).drop("_n")
+        heads = among(heads, "manual_key", F.count(F.lit(1)) > 1)
+        found = firsts(heads, 2, ["manual_key"], order).unionByName(firsts(heads, 1, ["manual_key", "tag"], order)).dropDuplicates(["chunk_id"])
+    else:  # the first rows of a section's first two manuals
+        heads = firsts(free.filter(F.length("section") >= 3), 1, ["section", "manual_key"], order).drop("_n")
+        found = firsts(among(heads, "section", F.count(F.lit(1)) > 1), 2, ["section"], order)
+    return found.select(*COLUMNS).orderBy(*order).collect()
+
+
+def choose(rows: list | Callable[[str, set], list], counts: dict[str, int] = CASE_COUNTS) -> list[tuple[str, str, list]]:
+    """(case_id, question_type, chunk ids) from ordered rows, or from those of each step and the used
+    chunks; raises where too few are found."""
     used: set = set()
     cases: list[tuple[str, str, list]] = []
 
@@ -56,13 +78,13 @@ def choose(rows: list, counts: dict[str, int] = CASE_COUNTS) -> list[tuple[str,
     def free(items: list) -> list:
         return [r for r in items if r["chunk_id"] not in used]
 
-    by_tag, by_topic, by_manual, by_section = (defaultdict(list) for _ in range(4))
-    for r in rows:
-        by_tag[r["tag"]].append(r)
-        by_topic[r["manual_key"], r["topic_id"]].append(r)
-        by_manual[r["manual_key"]].append(r)
-        by_section[r["section"]].append(r)
+    def grouped(step: str, key: Callable) -> dict:
+        groups = defaultdict(list)
+        for r in rows(step, used) if callable(rows) else rows:
+            groups[key(r)].append(r)
+        return groups
 
+    by_tag = grouped("single_chunk", lambda r: r["tag"])
     singles, topics = [], set()
     queues = {tag: iter(by_tag[tag]) for tag in sorted(by_tag)}
     while queues and len(singles) < counts["single_chunk"]:
@@ -100,8 +122,10 @@ def choose(rows: list, counts: dict[str, int] = CASE_COUNTS) -> list[tuple[str,
         other = next((r for r in items[1:] if r["manual_key"] != items[0]["manual_key"]), None) if items else None
         return [items[0], other] if other else None
 
-    pairs("multi_chunk_same_topic", "same-topic", by_topic.values(), two_sections)
+    pairs("multi_chunk_same_topic", "same-topic", grouped("multi_chunk_same_topic", lambda r: (r["manual_key"], r["topic_id"])).values(), two_sections)
+    by_manual = grouped("multi_topic", lambda r: r["manual_key"])
     pairs("multi_topic", "multi-topic", (by_manual[m] for m in sorted(by_manual)), two_topics)
+    by_section = grouped("cross_manual", lambda r: r["section"])
     pairs("cross_manual", "cross-manual", (by_section[s] for s in sorted(by_section) if len(s) >= 3), two_manuals)
     take("unanswerable", "unanswerable", [[]] * counts["unanswerable"])
     return cases
@@ -109,7 +133,11 @@ def choose(rows: list, counts: dict[str, int] = CASE_COUNTS) -> list[tuple[str,
 
 def build_cases(chunks: DataFrame, counts: dict[str, int] = CASE_COUNTS) -> DataFrame:
     """(case_id, question_type, answerable, gold_chunk_ids)."""
-    picked = choose(candidates(chunks).collect(), counts)
+    rows = readable(chunks).select(*COLUMNS).persist()
+    try:
+        picked = choose(lambda step, used: step_rows(rows, step, used, counts[step]), counts)
+    finally:
+        rows.unpersist()
     spark = chunks.sparkSession
     kind = dict(chunks.dtypes)["chunk_id"]
     return spark.createDataFrame([(i, k, k != "unanswerable", list(g)) for i, k, g in picked], f"case_id string, question_type string, answerable boolean, gold_chunk_ids array<{kind}>")
