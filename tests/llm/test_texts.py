@@ -378,6 +378,27 @@ def test_all_segmentations_and_round_trip(sampler):
         assert len({tuple(i.tolist()) for i, *_ in told}) == len(told)
 
 
+def test_subword_query_decodes_whole_texts(spark):
+    texts = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("want"))
+    got = W.op2_subword_samples(spark, DATA)
+    assert got.join(texts, "doc_id").filter("decoded_sha256 = want").count() == got.count() > texts.count()
+
+
+def test_no_piece_crosses_a_cut(sampler):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=tokens.vocabulary(W.MODEL))
+    texts = ["It's over, and 3.14 (été) ... x_y;z\n\n日本語 text  ends.", "", "a", "\u2581 mark", "no" * 50]
+    chunks, counts = sampler.chunks(texts)
+    assert counts.tolist()[1] == 0 and "".join(chunks) == "".join(W.MARK + t.replace(" ", W.MARK) for t in texts if t)
+    names = {model.id_to_piece(i) for i in range(model.get_piece_size())}
+    at = 0
+    for n in counts.tolist():
+        mine, at = chunks[at : at + n], at + n
+        for a, b in zip(mine, mine[1:]):
+            assert not any(a[-i:] + b[:j] in names for i in range(1, len(a) + 1) for j in range(1, len(b) + 1))
+
+
 def test_subword_rows(spark, sampler):
     docs = plain(spark, [(1, None), (2, ""), (3, "some text here"), (3, "some text here"), (None, "null key")])
     rows = W.encode(docs.withColumn("sample", F.lit("clash")), k=2).collect()
@@ -391,4 +412,6 @@ def test_subword_rows(spark, sampler):
     assert {(r["sample"], tuple(r.ids)) for r in alone} == {(r["sample"], tuple(r.ids)) for r in by[3]}
     back = W.decode(spark.createDataFrame([(r.doc_id, r.ids) for r in rows], "doc_id long, ids array<int>")).collect()
     assert {(r.doc_id, r.text) for r in back} == {(1, ""), (2, ""), (3, "some text here"), (None, "null key")}
+    clash = W.decode(spark.createDataFrame([("old", rows[-1].ids), ("old", None)], "text string, ids array<int>")).collect()
+    assert [(r.text, len(r)) for r in clash] == [("null key", 2), (None, 2)]
     assert W.encode(docs.limit(0)).count() == 0
