@@ -191,6 +191,52 @@ def test_novelty_alone_decides_in_sensitive_windows():
     assert novel(f"webhook{' .' * S.WINDOW}{far}") == []  # the word stands outside the window
 
 
+def test_planted_keys_against_words(spark):
+    """Recall and precision of the measure on keys and names planted in texts and code."""
+    rng = random.Random(3)
+    texts = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect() if r.text and len(r.text) > 3000]
+    names = "user account service request handler database manager response session factory default network provider payment invoice customer report archive product catalog".split()
+    code = "def connect(host, port=5432):\n    client = DatabaseClient(host=host, port=port)\n    for attempt in range(settings.max_retries):\n        try:\n            return client.cursor(timeout=30)\n        except OperationalError as error:\n            logger.warning('attempt failed: %s', error)\n"
+    digits, low, up = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    keys = (digits + low + up + "+/", digits + low + up, low + up, digits + low, digits + "ABCDEF", low)
+
+    def planted(secret):
+        if secret:
+            letters = rng.choice(keys)
+            return "".join(rng.choice(letters) for _ in range(rng.randrange(20, 65)))
+        form = rng.randrange(5)
+        words = [rng.choice(names) for _ in range(rng.randrange(3, 7))]
+        if form == 4:  # words of the texts run together
+            words = [w.lower() for w in re.findall("[A-Za-z]+", rng.choice(texts)[:2000])]
+            rng.shuffle(words)
+            return "".join(words)[: rng.randrange(20, 40)]
+        return ("_".join(words), "_".join(words).upper(), "".join(w.title() for w in words), "/" + "/".join(words))[form]
+
+    told = Counter()
+    for i in range(600):
+        secret, body = i % 2 == 0, planted(i % 2 == 0)
+        if len(body) < 20:
+            continue
+        if rng.random() < 0.5:
+            around = rng.choice(texts)
+            at = rng.randrange(1000, len(around) - 1000)
+            head, tail = around[at - 1000 : at] + " credential ", " " + around[at : at + 1000]
+        else:
+            at = rng.randrange(len(code))
+            head, tail = code[:at] + '\nprivate = "', '"\n' + code[at:]
+        text = head + body + tail
+        hit = any(k == 3 and text[s:e] == body for s, e, k in S.findings(text.encode()))
+        told[secret, hit] += 1
+    assert told[True, True] / (told[True, True] + told[True, False]) >= 0.9
+    assert told[True, True] / (told[True, True] + told[False, True]) >= 0.9
+
+
+def test_novel_findings_of_documents(spark):
+    got = S.scan(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    told = got.agg(F.sum("n_novel"), F.sum("n_hex")).first()
+    assert told[0] >= 0.9 * told[1] > 0  # the keys planted in documents are incompressible
+
+
 def test_base_findings_against_plain_patterns(spark):
     rng = random.Random(8)
     bits = ["token", "PASSWORD", "api_key", "apikey", '"', "'", " ", "  ", ":", "=", "abcdef", "0123456789abcdef", "AKIA", "QRSTUVWXYZ", "é", "\n", "/+.", "K", "ſ", "deadbeef"]
