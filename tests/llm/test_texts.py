@@ -313,12 +313,93 @@ def test_urls(spark):
     assert U.url_filter(rows.limit(0)).count() == 0
 
 
+def plain_templates(rows):
+    """The tree on (key, host, path, ruled) rows: templates by key, and whether each is rejected."""
+    out, level = {}, [(k, h, [x for x in p.split("/") if x], "", r, bool(re.fullmatch(r"[0-9]+(\.[a-z]+)?", ([""] + [x for x in p.split("/") if x])[-1]))) for k, h, p, r in rows]
+
+    def equivalent(a, b):
+        for x, y in zip(a[1:], b[1:]):
+            p, q = (x + 2) / (a[0] + 4), (y + 2) / (b[0] + 4)
+            if abs(p - q) + U.Z * math.sqrt(p * (1 - p) / (a[0] + 4) + q * (1 - q) / (b[0] + 4)) >= U.MARGIN:
+                return False
+        return True
+
+    while level:
+        out |= {k: (h, node) for k, h, segs, node, *_ in level if not segs}
+        level = [x for x in level if x[2]]
+        nodes = defaultdict(lambda: defaultdict(list))
+        for x in level:
+            nodes[x[1], x[3]][x[2][0]].append(x)
+        new = []
+        for (_, node), kids in nodes.items():
+            every = [x for v in kids.values() for x in v]
+            if len({tuple(x[2]) for x in every}) == 1:
+                new += [(k, h, [], node + "/" + "/".join(segs), r, t) for k, h, segs, _, r, t in every]
+                continue
+            wild = {s for s, v in kids.items() if len(kids) >= U.VARIETY and len(v) < len(every) * U.KEEP_SHARE}
+            told = {s: (len(v), sum(x[5] for x in v), sum(len(x[2]) > 1 for x in v), sum(x[4] == "block" for x in v), sum(x[4] == "allow" for x in v)) for s, v in kids.items()}
+            leaders = []
+            for s in sorted((s for s in kids if s not in wild and told[s][0] >= U.LEAST), key=lambda s: (-told[s][0], s)):
+                home = next((x for x in leaders if equivalent(told[x[0]], told[s])), None)
+                if home:
+                    home.append(s)
+                else:
+                    leaders.append([s])
+            step = {s: "*" if s in wild else s for s in kids} | {s: "(" + "|".join(sorted(x)) + ")" for x in leaders if len(x) > 1 for s in x}
+            new += [(k, h, segs[1:], node + "/" + step[segs[0]], r, t) for k, h, segs, _, r, t in every]
+        level = new
+    labels = defaultdict(list)
+    for k, _, _, r in rows:
+        if r:
+            labels[out[k]].append(r)
+    rejected = {t for t, v in labels.items() if (v.count("block") + U.SMOOTH / 2) / (len(v) + U.SMOOTH) >= U.PURITY}
+    return out, rejected
+
+
+def ruled(host, path, rules):
+    fits = [(len(h) + len(p), v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return max(fits)[1] if fits else None
+
+
+def held_to_plain_templates(spark, rows, rules=U.RULES):
+    got = {r.page_id: r for r in U.url_filter(spark.createDataFrame(rows, "page_id long, url string"), rules=rules).collect()}
+    plain_rows = [(i, *plain_url(u), ruled(*plain_url(u), rules)) for i, u in rows]
+    want, rejected = plain_templates(plain_rows)
+    for i, host, _, rule in plain_rows:
+        assert (got[i].host, got[i].template) == want[i]
+        assert got[i].verdict == (rule or ("block" if want[i] in rejected and host else "allow"))
+    return got
+
+
 def test_url_templates(spark):
-    rows = [(i, f"https://s.com/{'en' if i % 4 else 'fr'}/{i}") for i in range(200)] + [(1000 + i, f"https://t.org/{'es' if i % 5 == 0 else 'en'}/{i}") for i in range(100)]
-    got = {r.page_id: r for r in U.url_filter(spark.createDataFrame(rows, "page_id long, url string")).collect()}
-    assert {got[i].template for i in range(200)} == {"/~/*"}  # ids are wild, languages with equal tails merged
-    assert got[4].rule is None and got[4].verdict == "block"  # three in four pages of its template are blocked
-    assert got[1001].verdict == "allow"
+    """Users below a blocked prefix are labelled, the others are not: the method judges them alike."""
+    rules = (("s.com", "/u/1", "block"), ("t.org", "/u/1", "allow"))
+    rows = [(i, f"https://s.com/u/{i}") for i in range(300)] + [(1000 + i, f"https://t.org/u/{i}") for i in range(300)] + [(2000 + i, f"https://s.com/about/{i % 3}") for i in range(9)]
+    got = held_to_plain_templates(spark, rows, rules)
+    assert got[5].template == "/u/*" and got[5].rule is None and got[5].verdict == "block"
+    assert got[1005].verdict == "allow" and got[2000].verdict == "allow"
+
+
+def test_similar_branches_need_evidence(spark):
+    """Branches with equal shares are merged, but not few pages, other tails, or another part of labels."""
+    rows = [(k * 1000 + i, f"https://h.io/{seg}/{i}") for k, seg in enumerate(("en", "fr", "de")) for i in range(120)]
+    rows += [(3000 + i, f"https://h.io/es/{i}") for i in range(8)] + [(4000 + i, f"https://h.io/it/n{i}") for i in range(120)]
+    got = held_to_plain_templates(spark, rows, rules=())
+    assert {got[i].template for i in (0, 1000, 2000)} == {"/(de|en|fr)/*"} and got[4000].template == "/it/*" and got[3000].template == "/es/0"
+    held_to_plain_templates(spark, rows, rules=(("h.io", "/en/", "block"), ("h.io", "/de/", "block")))
+    part = held_to_plain_templates(spark, rows, rules=(("h.io", "/en/", "block"),))
+    assert part[0].verdict == "block" and part[1000].verdict == "allow" and part[1000].template == "/(de|fr)/*"
+
+
+def test_templates_of_given_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url").collect()
+    held_to_plain_templates(spark, [(r.page_id, r.url) for r in pages] + [(10_000_000 + i, r.url) for i, r in enumerate(pages)] + [(20_000_000 + i, r.url) for i, r in enumerate(pages[:50])])
+
+
+def test_url_rows_repeat(spark):
+    rows = [(7, "https://example.com/en/1"), (7, "https://example.com/en/1"), (7, "https://example.org/x"), (None, None), (None, "https://example.org/x")]
+    got = U.url_filter(spark.createDataFrame(rows, "page_id long, url string").withColumn("template", F.lit("clash"))).collect()
+    assert sorted((r.page_id or 0, r.path, r.verdict) for r in got) == [(0, "", "allow"), (0, "/x", "allow"), (7, "/en/1", "block"), (7, "/en/1", "block"), (7, "/x", "allow")]
 
 
 def test_deep_url_templates(spark):
@@ -333,11 +414,10 @@ def test_deep_url_templates(spark):
     assert got[1000].template == got[1001].template == "" and got[1002].template == got[1002].path
 
 
-def test_coverage_overrides_purity(spark):
-    rows = spark.createDataFrame([("h", "/~/*", "block" if i < 20 else None) for i in range(41)], "host string, template string, ruled string")
-    told = U.judged_templates(rows).first()
-    assert told.purity >= U.PURITY and not told.rejected
-    assert U.judged_templates(rows.filter("ruled = 'block'")).first().rejected
+def test_smoothed_purity(spark):
+    rows = spark.createDataFrame([("h", f"/{n}", "block" if i < n else None) for n in (5, 8, 20) for i in range(n + 30)] + [("h", "/m", "block" if i % 3 else "allow") for i in range(60)], "host string, template string, ruled string")
+    told = {r.template: (r.purity, r.rejected) for r in U.judged_templates(rows).collect()}
+    assert told["/5"] == (7.5 / 10, False) and told["/8"] == (10.5 / 13, True) and told["/20"][1] and not told["/m"][1]
 
 
 # ---- conversations -------------------------------------------------------------------------

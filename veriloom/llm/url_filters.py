@@ -6,15 +6,19 @@ has children left.
 
 - Variable segments: where a node has many different children for its pages, those without a
   share of KEEP_SHARE become the wildcard `*`.
-- Similar branches: literal children whose pages end in number-like tails as often as their
-  siblings' do (two-proportion z test) are merged into `~`.
-- Purity: a template's labelled pages give (blocked + SMOOTH * host's share) / (labelled + SMOOTH),
-  the host's share being smoothed likewise towards one half. A template is rejected if that is at
-  least PURITY and at least COVERAGE of its pages are labelled.
+- Similar branches: of the other children, those with evidence (LEAST pages) are compared, largest
+  first, with the leaders before them. A child joins the first leader to which a two-proportion
+  test finds it equivalent: with confidence, no share differs by MARGIN or more. Shares are those of
+  pages with number-like tails, of pages that go on below the child, and of pages that rules block
+  and allow. Merged children are one branch, `(a|b)`; without evidence nothing is merged.
+- Purity: a template's labelled pages give (blocked + SMOOTH / 2) / (labelled + SMOOTH). A template
+  is rejected if that is at least PURITY: some ten labelled pages, nearly all of them blocked.
 
 DataFrame and SQL functions only; no page text is read.
 
-Scale: pages are reduced to counts per (host, node, segment) before each level's shuffle. The way
+Scale: pages are reduced to counts per (host, node, segment) before each level's shuffle. Nodes with
+more than 1/HOT_SHARE of all children meet them by broadcast (there are fewer than HOT_SHARE); a
+node's compared children are at most 1 / KEEP_SHARE or VARIETY. The way
 back to pages is an equi-join on a written table, which adaptive execution splits where a host or
 segment is hot. A node whose pages all go on alike takes the rest of their path at once, so levels
 end where paths stop branching, and a level only moves the pages that go on.
@@ -42,10 +46,12 @@ RULES = (
 )
 VARIETY = 8
 KEEP_SHARE = 0.05
+LEAST = 30
+MARGIN = 0.2
 Z = 1.96
 SMOOTH = 5.0
 PURITY = 0.8
-COVERAGE = 0.5
+HOT_SHARE = 1000
 
 
 def host_and_path(url: str | Column) -> tuple[Column, Column]:
@@ -63,8 +69,34 @@ def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return rule, verdict
 
 
+#: By child: pages, and those with number-like tails, going on, blocked, allowed.
+COUNTS = ("n", "tails", "deeper", "blocked", "allowed")
+
+
+def _equivalent(x: str, y: str) -> str:
+    """SQL: whether all shares of two children differ by less than MARGIN, with confidence."""
+    told = []
+    for c in COUNTS[1:]:
+        p, q = (f"(({v}.{c} + 2D) / ({v}.n + 4D))" for v in (x, y))
+        told.append(f"abs({p} - {q}) + {Z}D * sqrt({p} * (1 - {p}) / ({x}.n + 4D) + {q} * (1 - {q}) / ({y}.n + 4D)) < {MARGIN}D")
+    return "(" + " AND ".join(told) + ")"
+
+
+def _branches(kids: DataFrame) -> DataFrame:
+    """(host, node, seg, step): children that are merged. kids: a bounded number by node."""
+    fields = ", ".join(f"{c}: bigint" for c in COUNTS)
+    same = ", ".join(f"l.{c} AS {c}" for c in COUNTS)
+    led = kids.groupBy("host", "node").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("order"), "seg", *COUNTS))).alias("kids"))
+    led = led.withColumn("led", F.expr(f"""aggregate(kids, cast(array() as array<struct<{fields}, segs: array<string>>>),
+      (acc, x) -> IF(exists(acc, l -> {_equivalent("l", "x")}),
+        transform(acc, (l, i) -> IF(i = array_position(transform(acc, m -> {_equivalent("m", "x")}), true) - 1, struct({same}, array_append(l.segs, x.seg) AS segs), l)),
+        array_append(acc, struct({", ".join(f"x.{c} AS {c}" for c in COUNTS)}, array(x.seg) AS segs))))"""))
+    groups = led.select("host", "node", F.explode("led.segs").alias("segs")).filter(F.size("segs") > 1)
+    return groups.select("host", "node", F.concat(F.lit("("), F.array_join(F.sort_array("segs"), "|"), F.lit(")")).alias("step"), F.explode("segs").alias("seg"))
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """pages (host, path, ...) with their template."""
+    """pages (host, path, ruled, ...) with their template."""
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
     rows = pages.withColumn("segs", segments)
     # how a path ends: a number, with or without an extension
@@ -75,16 +107,19 @@ def templates(pages: DataFrame) -> DataFrame:
     while not left.isEmpty():
         # segs: what of a path is left below its node
         told = left.withColumn("seg", F.get("segs", F.lit(0))).withColumn("rest", F.array_join("segs", "/"))
-        ends = [F.min("rest").alias("low"), F.max("rest").alias("high")]
-        children = materialise(told.groupBy("host", "node", "seg").agg(F.count(F.lit(1)).alias("n"), F.sum("numeric").alias("k"), *ends), "url-children")
-        nodes = children.groupBy("host", "node").agg(F.count(F.lit(1)).alias("variety"), F.sum("n").alias("all_n"), F.sum("k").alias("all_k"), (F.min("low") == F.max("high")).alias("alike"))
-        children = children.join(nodes, ["host", "node"])
+        shares = [F.count(F.lit(1)).alias("n"), F.sum("numeric").alias("tails"), F.count_if(F.size("segs") > 1).alias("deeper"), F.count_if(F.col("ruled") == "block").alias("blocked"), F.count_if(F.col("ruled") == "allow").alias("allowed")]
+        children = materialise(told.groupBy("host", "node", "seg").agg(*shares, F.min("rest").alias("low"), F.max("rest").alias("high")), "url-children")
+        nodes = materialise(children.groupBy("host", "node").agg(F.count(F.lit(1)).alias("variety"), F.sum("n").alias("all_n"), (F.min("low") == F.max("high")).alias("alike")), "url-nodes")
+        hot = nodes.filter(F.col("variety") * HOT_SHARE > children.count())  # fewer than HOT_SHARE rows
+        met = children.join(F.broadcast(hot), ["host", "node"], "left")
+        rest = met.filter(F.col("variety").isNull()).drop("variety", "all_n", "alike").join(nodes, ["host", "node"])
+        met = met.filter(F.col("variety").isNotNull()).unionByName(rest)
         wild = (F.col("variety") >= VARIETY) & (F.col("n") < F.col("all_n") * KEEP_SHARE)
-        share = F.col("all_k") / F.col("all_n")
-        z = F.abs(F.col("k") / F.col("n") - share) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-6)) / F.col("n"))
-        step = F.when(wild, "*").when((F.col("variety") > 1) & (F.col("n") < F.col("all_n")) & (z < Z), "~").otherwise(F.col("seg"))
-        steps = materialise(children.select("host", "node", "seg", step.alias("step"), "alike"), "url-steps")
-        told = told.join(steps, ["host", "node", "seg"])
+        met = materialise(met.select("host", "node", "seg", *COUNTS, "alike", wild.alias("wild")), "url-met")
+        merged = _branches(met.filter(~F.col("wild") & (F.col("n") >= LEAST)).select("host", "node", "seg", *COUNTS))
+        steps = met.filter("wild").select("host", "node", "seg", "alike", F.lit("*").alias("step")).unionByName(
+            met.filter(~F.col("wild")).join(merged, ["host", "node", "seg"], "left").select("host", "node", "seg", "alike", F.coalesce("step", "seg").alias("step")))
+        told = told.join(materialise(steps, "url-steps"), ["host", "node", "seg"])
         told = told.withColumn("node", F.concat("node", F.lit("/"), F.when(F.col("alike"), F.col("rest")).otherwise(F.col("step"))))
         told = told.withColumn("segs", F.when(F.col("alike"), F.slice("segs", 1, 0)).otherwise(F.slice("segs", F.lit(2), F.size("segs"))))
         rows = materialise(told.select(rows.columns), "url-level")
@@ -95,12 +130,9 @@ def templates(pages: DataFrame) -> DataFrame:
 
 def judged_templates(rows: DataFrame) -> DataFrame:
     """(host, template, pages, labelled, blocked, purity, rejected). rows: host, template, ruled."""
-    counts = [F.count(F.lit(1)).alias("pages"), F.count("ruled").alias("labelled"), F.count(F.when(F.col("ruled") == "block", 1)).alias("blocked")]
-    by = materialise(rows.groupBy("host", "template").agg(*counts), "url-templates")
-    hosts = by.groupBy("host").agg(((F.sum("blocked") + F.lit(SMOOTH) * 0.5) / (F.sum("labelled") + F.lit(SMOOTH))).alias("host_share"))
-    purity = (F.col("blocked") + F.lit(SMOOTH) * F.col("host_share")) / (F.col("labelled") + F.lit(SMOOTH))
-    rejected = (purity >= PURITY) & (F.col("labelled") >= F.col("pages") * COVERAGE)
-    return by.join(hosts, "host").select("host", "template", "pages", "labelled", "blocked", purity.alias("purity"), rejected.alias("rejected"))
+    counts = [F.count(F.lit(1)).alias("pages"), F.count("ruled").alias("labelled"), F.count_if(F.col("ruled") == "block").alias("blocked")]
+    purity = (F.col("blocked") + F.lit(SMOOTH / 2)) / (F.col("labelled") + F.lit(SMOOTH))
+    return rows.groupBy("host", "template").agg(*counts).withColumn("purity", purity).withColumn("rejected", F.col("purity") >= PURITY)
 
 
 def url_filter(pages: DataFrame, url: str = "url", key: str = "page_id", rules=RULES) -> DataFrame:
