@@ -53,10 +53,31 @@ def test_exact_generations(spark):
     old, new = (spark.createDataFrame(x, "doc_id long, text string") for x in ([(1, "a"), (2, "b")], [(3, "a"), (4, "c"), (5, "c")]))
     got = {r.doc_id: (r.keep_id, r.is_new) for r in E.exact_dedup(old, new).collect()}
     assert got == {1: (3, False), 2: (2, False), 3: (3, False), 4: (5, True), 5: (5, True)}
+    far = spark.createDataFrame([(-5, "x"), (None, "x"), (None, "y"), ((1 << 62) + 1, "z"), (None, "z")], "doc_id long, text string")
+    told = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in E.exact_dedup(far, far.filter("doc_id < 0")).collect()), key=repr)
+    top = (1 << 62) + 1
+    assert told == sorted([(-5, -5, 3, True), (-5, -5, 3, True), (None, -5, 3, False), (None, None, 1, True), (top, top, 2, True), (None, top, 2, False)], key=repr)
     assert E.exact_dedup(old.limit(0), new).count() == 3 and E.exact_dedup(old, new.limit(0)).count() == 2
     assert E.exact_dedup(old.limit(0), new.limit(0)).count() == 0
 
 
+def test_groups_come_from_the_slots(spark):
+    """What the slots say is what is decided: a wrong locator in the index is a wrong winner."""
+    old, new = (spark.createDataFrame(x, "doc_id long, text string") for x in ([(1, "a"), (2, "b")], [(0, "a"), (4, "c")]))
+    row = E._sharded(E.groups_of(E.digests(old)), 1).groupBy("shard").applyInPandas(E._build, E.INDEX_SCHEMA).toPandas()
+    forged = row.assign(winners=[np.full(2, 77, np.int64).tobytes()])
+    told = E._arrive(forged, E.groups_of(E.digests(new)).toPandas())
+    assert sorted(zip(told["winner"], told["size"], told["is_new"])) == [(4, 1, True), (77, 1, False), (77, 2, False)]
+
+
+def test_hot_groups_are_broadcast(spark, monkeypatch):
+    from veriloom.llm import common
+
+    monkeypatch.setattr(common, "HOT_LEAST", 2)
+    monkeypatch.setattr(common, "HOT_SHARE", 10)
+    test_exact_against_plain(spark)
+
+
 # ---- lines ---------------------------------------------------------------------------------
 
 

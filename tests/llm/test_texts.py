@@ -69,11 +69,14 @@ def test_held_out_accuracy_and_spans():
 
 def test_toxicity_edges(spark):
     docs = plain(spark, [(1, None), (2, ""), (3, "word " * 50_000), (3, "x"), (None, "y")]).withColumn("score", F.lit("clash"))
+    docs = docs.select("*", F.lit("x").alias("spans"), F.lit(b"z").alias("body"), F.lit("y").alias("veriloom_body"))
     for model in ({"share": 0.25}, X.fit([b"bad a", b"good b", b"bad c", b"good d"] * 8, np.array([1, 0, 1, 0] * 8))):
-        rows = X.score_documents(docs.drop("score"), model).collect()
+        rows = X.score_documents(docs, model).collect()
         assert len(rows) == 5 and all(0 <= r.score <= 1 for r in rows) and all(json.loads(r.spans) is not None for r in rows)
-    assert X.score_documents(docs.drop("score").limit(0), {"share": 0.0}).count() == 0
-    assert X.score_documents(docs, {"share": 0.0}, score="other", spans_as=None).columns == ["doc_id", "text", "score", "other"]
+        assert {(bytes(r.body), r.veriloom_body) for r in rows} == {(b"z", "y")} and {r.text for r in rows} >= {None, "", "x", "y"}
+        assert set(rows[0].asDict()) == {"doc_id", "text", "score", "spans", "body", "veriloom_body"}
+    assert X.score_documents(docs.limit(0), {"share": 0.0}).count() == 0
+    assert X.score_documents(docs.select("doc_id", "text", "score"), {"share": 0.0}, score="other", spans_as=None).columns == ["doc_id", "text", "score", "other"]
     assert X.fit([], np.zeros(0)) == {"share": 0.0}
 
 
@@ -287,6 +290,44 @@ def test_common_lines_deplete(spark):
     assert all(got[200 + i].kept and got[200 + i].lost_words == 0 for i in range(50))  # copies count as one document
     assert got[300].lost_words == 0 and got[400].kept
     assert {r.doc_id: r.clean_text for r in Q.cleaned(docs).collect()}[3] == own(3)
+    nameless = docs.select(F.when(F.col("doc_id") < 100, F.col("doc_id")).alias("doc_id"), "text", "source", F.lit(1).alias("other_id"), F.lit("x").alias("line"))
+    lost = Q.quality(nameless).filter("doc_id is null and lost_words > 0").collect()
+    assert len(lost) == 5 and not any(r.kept for r in lost)  # rows without doc_id are depleted alike
+
+
+def plain_quality_verdicts(rows):
+    """kept and lost words of (key, text, host) rows with distinct keys, by the rules of the module."""
+    space = " \t\n\x0b\x0c\r"
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    clean = lambda x: " ".join(w for w in re.split(f"[{space}]+", x.translate(low)) if w)
+    held, texts = defaultdict(set), defaultdict(set)
+    for _, t, h in rows:
+        for x in (t or "").split("\n"):
+            if clean(x):
+                held[h, clean(x)].add(t)
+                texts[h].add(t)
+    out = {}
+    for k, t, h in rows:
+        n, _, _, _, repeated = plain_quality(t)
+        gone = sum(len(clean(x).split(" ")) for x in (t or "").split("\n") if clean(x) and len(held[h, clean(x)]) > max(Q.LIMIT_LEAST, Q.LIMIT_SHARE * len(texts[h])))
+        out[k] = (n >= 10 and 100 * repeated <= 20 * n and n - gone >= Q.LEAST_KEPT * n, gone)
+    return out
+
+
+def test_quality_verdicts_against_plain(spark):
+    rng = random.Random(9)
+    common = [" ".join(rng.choice("abcdefghij") * rng.randrange(1, 5) for _ in range(12)) for _ in range(4)]
+    rows = []
+    for i in range(400):
+        host = rng.choice(["big", "big", "small", None])
+        lines = [rng.choice(common).upper() if rng.random() < 0.5 else rng.choice(common) + "  " for _ in range(rng.randrange(4))]
+        lines += [" ".join(f"{i}{rng.randrange(99)}" for _ in range(rng.randrange(1, 15))) for _ in range(rng.randrange(3))]
+        rng.shuffle(lines)
+        rows.append((i, "\n".join(lines), host))
+    rows += [(1000 + i, rows[i][1], rows[i][2]) for i in range(40)] + [(2000, None, "big"), (2001, "", None)]
+    got = {r.doc_id: (r.kept, r.lost_words) for r in Q.quality(spark.createDataFrame(rows, DOC + ", source string")).collect()}
+    want = plain_quality_verdicts(rows)
+    assert got == want and {k for k, _ in want.values()} == {True, False} and any(not k and g for k, g in want.values())
 
 
 # ---- urls ----------------------------------------------------------------------------------
@@ -438,6 +479,17 @@ def test_preferences(spark):
     assert C.preference_format(spark.createDataFrame([], TURN), spark.createDataFrame([], TURN)).count() == 0
 
 
+def test_swapped_replies(spark):
+    turns = [(1, 0, "user", "q"), (1, 1, "assistant", "a1"), (1, 1, "assistant", "a2"), (1, 2, "user", "?"), (1, None, "user", "first"), (2, 0, "assistant", "b"), (2, 0, "assistant", "b"), (4, 0, "user", "no reply"), (None, 0, "assistant", "z"), (None, 1, "assistant", "z2")]
+    rows = spark.createDataFrame([(*t, "x", 1) for t in turns], TURN + ", c string, last int")
+    got = {r.pair_id: r for r in C.swapped_replies(C.conversations_of(rows, "c")).collect()}
+    said = {k: None if r.r is None else [(x.role, x.text) for x in r.r] for k, r in got.items()}
+    assert said[1] == [("user", "first"), ("user", "q"), ("assistant", "a1"), ("assistant", "b")]  # of equal turns the last by text
+    assert said[2] == [("assistant", "b"), ("assistant", "")] and said[4] is None and said[None] == [("assistant", "z"), ("assistant", "")]
+    told = {r.pair_id: r for r in C.formatted(C.swapped_replies(C.conversations_of(rows, "c"))).collect()}
+    assert len(told) == 4 and told[4].n_rejected == 0 and told[1].n_common == 3
+
+
 # ---- subwords ------------------------------------------------------------------------------
 
 

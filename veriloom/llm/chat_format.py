@@ -12,10 +12,10 @@ Scale: one shuffle on the key for either side; everything else is expressions on
 conversation is one record, as it is one training example; groups of equal conversations are never
 brought together.
 
-Defined results: null roles and texts count as empty; turns are ordered by turn, role and text, so
-that repeated turn numbers have a defined order; equal sides have empty completions and tie = true;
-a key that only one side has is paired with an empty conversation; empty tables give empty results;
-other columns are ignored.
+Defined results: null roles and texts count as empty; turns are ordered by turn (null first), role
+and text, so that repeated turn numbers have a defined order; equal sides have empty completions and
+tie = true; a key that only one side has is paired with an empty conversation, and a null key is
+never paired; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,9 +33,14 @@ def conversations_of(turns: DataFrame, name: str, key: str = "conv_id") -> DataF
 
 
 def preference_format(chosen: DataFrame, rejected: DataFrame, key: str = "conv_id") -> DataFrame:
-    """pair_id, n_common, prompt, and per side n turns, completion and mask."""
-    empty = F.expr("cast(array() as array<struct<role: string, text: string>>)")
+    """pair_id, n_common, prompt, and per side n turns, completion and mask, from two turn tables."""
     pairs = conversations_of(chosen, "c", key).join(conversations_of(rejected, "r", key), "pair_id", "full")
+    return formatted(pairs)
+
+
+def formatted(pairs: DataFrame) -> DataFrame:
+    """The same from (pair_id, c, r): both sides as arrays of (role, text), null as empty."""
+    empty = F.expr("cast(array() as array<struct<role: string, text: string>>)")
     pairs = pairs.select("pair_id", F.coalesce("c", empty).alias("c"), F.coalesce("r", empty).alias("r"))
     # a turn counts while all turns before it were equal
     common = F.aggregate(F.zip_with("c", "r", lambda x, y: x.eqNullSafe(y)), F.struct(F.lit(0).alias("n"), F.lit(True).alias("going")), lambda a, same: F.struct((a["n"] + F.when(a["going"] & same, 1).otherwise(0)).alias("n"), (a["going"] & same).alias("going")), lambda a: a["n"])
@@ -66,23 +71,25 @@ def preference_format(chosen: DataFrame, rejected: DataFrame, key: str = "conv_i
     )
 
 
-def swapped_replies(turns: DataFrame) -> DataFrame:
-    """Rejected sides for conversations without one: the last reply comes from the next conversation.
+def swapped_replies(conversations: DataFrame) -> DataFrame:
+    """(pair_id, c, r) for conversations (pair_id, c) without a rejected side: the last reply comes
+    from the next conversation.
 
-    Conversations end at their last assistant turn; the next conversation is the one with the next
-    conv_id. Without a next one, or a reply in it, the reply is empty.
+    r ends at the last assistant turn in the order of turns; the next conversation is the one with
+    the next pair_id. Without a next one, or a reply in it, the reply is empty; without an assistant
+    turn, r is empty; a null pair_id has no next one.
     """
-    last = turns.filter(F.col("role") == TRAINED_ROLE).groupBy("conv_id").agg(F.max_by("text", "turn").alias("reply"), F.max("turn").alias("last_turn"))
-    other = last.select((F.col("conv_id") - 1).alias("conv_id"), F.col("reply").alias("other"))
-    ends = last.select("conv_id", "last_turn").join(other, "conv_id", "left")
-    told = turns.join(ends, "conv_id").filter(F.col("turn") <= F.col("last_turn"))
-    return told.select("conv_id", "turn", "role", F.when(F.col("turn") == F.col("last_turn"), F.coalesce("other", F.lit(""))).otherwise(F.col("text")).alias("text"))
+    last = F.size("c") - F.array_position(F.reverse(F.col("c.role")), TRAINED_ROLE) + 1
+    told = conversations.withColumn("last", F.when(F.array_contains("c.role", TRAINED_ROLE), last.cast("int")))
+    other = told.filter(F.col("last").isNotNull()).select((F.col("pair_id") - 1).alias("pair_id"), F.expr("c[last - 1].text").alias("other"))
+    reply = F.array(F.struct(F.lit(TRAINED_ROLE).alias("role"), F.coalesce("other", F.lit("")).alias("text")))
+    return told.join(other, "pair_id", "left").select("pair_id", "c", F.when(F.col("last").isNotNull(), F.concat(F.expr("slice(c, 1, last - 1)"), reply)).alias("r"))
 
 
 def op7_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation against itself with a swapped last reply."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    told = preference_format(turns, swapped_replies(turns))
+    told = formatted(swapped_replies(conversations_of(turns, "c")))
     digest = lambda c: F.sha2(c, 256).alias(f"{c}_sha256")
     return told.select("pair_id", "n_common", digest("prompt"), "n_chosen", digest("chosen"), "chosen_mask", "n_rejected", digest("rejected"), "rejected_mask", "tie")
 

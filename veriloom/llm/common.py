@@ -27,7 +27,40 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/veriloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialise() that no later plan reads."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A hot group holds more than 1/HOT_SHARE of all rows: there are fewer than HOT_SHARE of them.
+HOT_SHARE = 1000
+#: And this many rows, below which its partition takes it like any other.
+HOT_LEAST = 1000
+
+
+def with_group(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """rows joined with their group (one row per key, with its number of rows in column size).
+
+    Hot groups, fewer than HOT_SHARE rows, are broadcast; the others meet in an equi-join.
+    """
+    hot = (F.col(size) * HOT_SHARE > total) & (F.col(size) > HOT_LEAST)
+    few = F.broadcast(groups.filter(hot))
+    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(groups.filter(~hot), key))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def cut(df: DataFrame) -> DataFrame:

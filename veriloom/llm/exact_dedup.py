@@ -6,12 +6,13 @@ single keys placed directly), and slot i of the shard holds one full digest, the
 row that wins its group, and the group's size. A lookup computes a slot and compares all 32
 bytes held there, so that a digest that was never indexed is told apart from a member.
 
-Members join their historical group; digests that are no members form groups of their own.
+Members join the historical group that their slot holds; digests that are no members form groups of
+their own. The groups after an arrival are the slots, moved forward by their members, and these.
 
 Scale: texts are read once and only digests move. Groups are summed before the shuffle, so a
 text that is a third of all rows is one row per task there. The number of shards follows the
-number of distinct digests. The way back to single rows is an equi-join on the digest, which
-adaptive execution splits where one digest is hot.
+number of distinct digests. The way back to single rows is an equi-join on the digest; groups
+with more than a thousandth of all rows are broadcast for it (fewer than a thousand rows).
 
 Defined results: null text counts as empty and empty texts are one group; equal texts with equal
 doc_id are all kept (doc_id is the row's key); a null doc_id never wins over another; an empty
@@ -25,15 +26,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64, parts_for, whole
+from .common import materialise, mix64, parts_for, whole, with_group
 
 #: Distinct digests a shard holds on average.
 SHARD_KEYS = 1024
 BUCKET_KEYS = 4
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
-INDEX_SCHEMA = "shard long, n int, pilots binary, digests binary, winners binary, sizes binary"
-GROUP_SCHEMA = "digest binary, winner long, size long"
+INDEX_SCHEMA = "shard long, n int, pilots binary, digests binary, winners binary, named binary, sizes binary"
+#: named: whether any row of the group has a doc_id; without one, winner says nothing.
+GROUP_SCHEMA = "digest binary, winner long, named boolean, size long"
 
 
 def digests(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -42,8 +44,9 @@ def digests(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
 
 
 def groups_of(rows: DataFrame) -> DataFrame:
-    """Distinct digests with the largest doc_id and the number of rows."""
-    return rows.groupBy("digest").agg(F.max("doc_id").alias("winner"), F.count(F.lit(1)).alias("size"))
+    """Distinct digests with the largest doc_id, whether there is one, and the number of rows."""
+    told = rows.groupBy("digest").agg(F.max("doc_id").alias("winner"), F.count(F.lit(1)).alias("size"))
+    return told.select("digest", F.coalesce("winner", F.lit(0)).alias("winner"), F.col("winner").isNotNull().alias("named"), "size")
 
 
 def _words(keys: np.ndarray, part: int) -> np.ndarray:
@@ -108,8 +111,8 @@ def _build(shard: pd.DataFrame) -> pd.DataFrame:
     keys = _matrix(shard["digest"])
     pilots, slot = build_pilots(keys)
     back = np.argsort(slot)
-    column = lambda name: shard[name].fillna(-1).to_numpy(np.int64)[back].tobytes()
-    return pd.DataFrame({"shard": [int(shard["shard"].iloc[0])], "n": [len(keys)], "pilots": [pilots.tobytes()], "digests": [keys[back].tobytes()], "winners": [column("winner")], "sizes": [column("size")]})
+    column = lambda name, kind: shard[name].to_numpy(kind)[back].tobytes()
+    return pd.DataFrame({"shard": [int(shard["shard"].iloc[0])], "n": [len(keys)], "pilots": [pilots.tobytes()], "digests": [keys[back].tobytes()], "winners": [column("winner", np.int64)], "named": [column("named", bool)], "sizes": [column("size", np.int64)]})
 
 
 def _sharded(groups: DataFrame, shards: int) -> DataFrame:
@@ -122,25 +125,44 @@ def build_index(groups: DataFrame, shards: int) -> DataFrame:
     return _sharded(groups, shards).groupBy("shard").applyInPandas(_build, INDEX_SCHEMA)
 
 
-def _lookup(index: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-    out = asked[["digest", "winner", "size"]].copy()
-    out["member"], out["old_winner"], out["old_size"] = False, -1, 0
-    if len(asked) and len(index):
-        row = index.iloc[0]
-        keys, n = _matrix(asked["digest"]), int(row["n"])
-        held = np.frombuffer(row["digests"], np.uint8).reshape(-1, 32)
-        at = find_slots(keys, np.frombuffer(row["pilots"], np.int64), n)
-        same = (held[at] == keys).all(axis=1)
-        out["member"] = same
-        out["old_winner"] = np.where(same, np.frombuffer(row["winners"], np.int64)[at], -1)
-        out["old_size"] = np.where(same, np.frombuffer(row["sizes"], np.int64)[at], 0)
-    return out
-
-
-def lookup(index: DataFrame, groups: DataFrame, shards: int) -> DataFrame:
-    """Each asked digest with member, and for members the slot's winner and size (else -1 and 0)."""
+def _slots_of(row) -> tuple[np.ndarray, ...]:
+    """A shard's slots: digests, winners, whether these are known, sizes."""
+    held = np.frombuffer(row["digests"], np.uint8).reshape(-1, 32)
+    return held, np.frombuffer(row["winners"], np.int64).copy(), np.frombuffer(row["named"], bool).copy(), np.frombuffer(row["sizes"], np.int64).copy()
+
+
+def find(row, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slot of each digest in a shard's index, and whether all its bytes stand there."""
+    at = find_slots(keys, np.frombuffer(row["pilots"], np.int64), int(row["n"]))
+    return at, (np.frombuffer(row["digests"], np.uint8).reshape(-1, 32)[at] == keys).all(axis=1)
+
+
+def _arrive(index: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    """A shard's groups after the asked ones arrived."""
+    told = [(_matrix(asked["digest"]), asked["winner"].to_numpy(np.int64), asked["named"].to_numpy(bool), asked["size"].to_numpy(np.int64))]
+    fresh = [np.ones(len(asked), bool)]
+    if len(index):
+        slots = _slots_of(index.iloc[0])
+        if len(asked):
+            keys, winner, named, size = told[0]
+            at, member = find(index.iloc[0], keys)
+            at = at[member]  # distinct digests have distinct slots
+            _, old, known, sizes = slots
+            old[at] = np.where(known[at] & named[member], np.maximum(old[at], winner[member]), np.where(known[at], old[at], winner[member]))
+            known[at] |= named[member]
+            sizes[at] += size[member]
+            told, fresh = [tuple(x[~member] for x in told[0])], [np.ones(int((~member).sum()), bool)]
+        told.append(slots)
+        fresh.append(np.zeros(len(slots[0]), bool))
+    keys, winner, named, size = (np.concatenate(x) for x in zip(*told, strict=True))
+    return pd.DataFrame({"digest": [k.tobytes() for k in keys], "winner": winner, "named": named, "size": size, "is_new": np.concatenate(fresh)})
+
+
+def arrived(index: DataFrame, groups: DataFrame, shards: int) -> DataFrame:
+    """All groups after groups arrived at an index: a row per slot, moved forward by its member, and
+    one per digest that no slot holds (is_new)."""
     asked = _sharded(groups, shards).groupBy("shard")
-    return index.groupBy("shard").cogroup(asked).applyInPandas(_lookup, GROUP_SCHEMA + ", member boolean, old_winner long, old_size long")
+    return index.groupBy("shard").cogroup(asked).applyInPandas(_arrive, GROUP_SCHEMA + ", is_new boolean")
 
 
 def exact_dedup(history: DataFrame, incoming: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -151,16 +173,12 @@ def exact_dedup(history: DataFrame, incoming: DataFrame, text: str = "text", key
     """
     rows = materialise(digests(history, text, key).withColumn("late", F.lit(False)).unionByName(digests(incoming, text, key).withColumn("late", F.lit(True))), "digests")
     old, late = groups_of(rows.filter(~F.col("late"))), groups_of(rows.filter("late"))
-    shards = parts_for(rows.filter(~F.col("late")).count(), SHARD_KEYS)
-    index = build_index(old, shards)
-    found = lookup(index, late, shards)
-    known = found.filter("member").select("digest", F.greatest("winner", F.when(F.col("old_winner") >= 0, F.col("old_winner"))).alias("winner"), (F.col("size") + F.col("old_size")).alias("size"), F.lit(False).alias("is_new"))
-    alone = found.filter(~F.col("member")).select("digest", "winner", "size", F.lit(True).alias("is_new"))
-    # a member's row already holds the historical part, so the larger size of a digest is its whole
-    groups = known.unionByName(alone).unionByName(old.withColumn("is_new", F.lit(False))).groupBy("digest").agg(F.max("winner").alias("keep_id"), F.max("size").alias("group_size"), F.max("is_new").alias("fresh"))
-    return (
-        rows.join(groups, "digest")
-        .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), (F.col("late") & F.col("fresh")).alias("is_new"))
+    known = rows.filter(~F.col("late")).count()
+    shards = parts_for(known, SHARD_KEYS)
+    groups = materialise(arrived(build_index(old, shards), late, shards), "groups")
+    groups = groups.select("digest", F.when(F.col("named"), F.col("winner")).alias("keep_id"), F.col("size").alias("group_size"), F.col("is_new").alias("fresh"))
+    return with_group(rows, groups, "digest", "group_size", rows.count()).select(
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), (F.col("late") & F.col("fresh")).alias("is_new")
     )
 
 

@@ -15,7 +15,7 @@ Scale: texts are scanned and never shuffled. Line rows are numbers; they are red
 every task before it meets in one. Lines over their limit are at most a few hundred per host.
 
 Defined results: null text counts as empty, has no word and fails the base; a null host is a host
-of its own; repeated rows get equal results; an empty table gives an empty result; other columns
+of its own; rows without doc_id are judged by their text; repeated rows get equal results; an empty table gives an empty result; other columns
 are ignored.
 """
 
@@ -86,6 +86,12 @@ def common_lines(lines: DataFrame, share: float = LIMIT_SHARE, least: int = LIMI
     return held.join(hosts, "host").filter(F.col("documents") > F.col("host_documents") * F.lit(share))
 
 
+def _joined(rows: DataFrame, more: DataFrame) -> DataFrame:
+    """rows left-joined by doc_id and text_hash, where a null doc_id equals a null one."""
+    more = more.withColumnsRenamed({"doc_id": "other_id", "text_hash": "other_hash"})
+    return rows.join(more, (F.col("text_hash") == F.col("other_hash")) & F.col("doc_id").eqNullSafe(F.col("other_id")), "left").drop("other_id", "other_hash")
+
+
 def quality(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str = "source") -> DataFrame:
     """Base counts, words lost to common lines, base_failed and kept, per document."""
     lines = materialise(host_lines(docs, text, key, host), "host-lines")
@@ -93,7 +99,7 @@ def quality(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str
     lost = lines.join(common.select("host", "line"), ["host", "line"]).dropDuplicates(["doc_id", "text_hash", "host", "pos"]).groupBy("doc_id", "text_hash", "host").agg(F.sum("words").alias("lost"))
     # rows that differ in their host alone lose what their own host removes: the least of it is taken
     lost = lost.groupBy("doc_id", "text_hash").agg(F.min("lost").alias("lost_words"))
-    told = base_counts(docs, text, key).join(lost, ["doc_id", "text_hash"], "left")
+    told = _joined(base_counts(docs, text, key), lost)
     gone = F.coalesce("lost_words", F.lit(0))
     return told.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
@@ -108,7 +114,7 @@ def cleaned(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str
     marks = lines.join(common_lines(lines).select("host", "line"), ["host", "line"]).groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("gone"))
     body = docs.select(F.col(key).alias("doc_id"), whole(text).alias("body")).withColumn("text_hash", F.xxhash64("body"))
     kept = F.array_join(F.filter(F.split("body", "\n", -1), lambda _, i: ~F.array_contains(F.col("gone"), i)), "\n")
-    return body.join(marks, ["doc_id", "text_hash"], "left").select("doc_id", F.when(F.col("gone").isNull(), F.col("body")).otherwise(kept).alias("clean_text"))
+    return _joined(body, marks).select("doc_id", F.when(F.col("gone").isNull(), F.col("body")).otherwise(kept).alias("clean_text"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

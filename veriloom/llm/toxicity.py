@@ -20,7 +20,8 @@ once, in blocks, so that one very long text costs no more than many short ones.
 
 Defined results: null and empty texts have no token and get the calibrated score of none; rows
 and labels may repeat (a document's label is its largest); without labels of both kinds among the
-rows to learn from, all scores are the share of toxic labels there (0 without labels).
+rows to learn from, all scores are the share of toxic labels there (0 without labels); columns of
+the output's names are replaced, and others of any name are carried along.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import whole
+from .common import free_name, whole
 
 TRAIN_TOXIC = 2000
 TRAIN_CLEAN = 2000
@@ -285,9 +286,11 @@ def learned_rows(docs: DataFrame, labels: DataFrame, may_learn: Column, text: st
 
 
 def score_documents(docs: DataFrame, model: dict, text: str = "text", score: str = "score", spans_as: str | None = "spans") -> DataFrame:
-    """docs with a score, and offending offsets as a JSON list of [start, end, marginal]."""
-    inner = "veriloom_body"
-    schema = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType()), *([T.StructField(spans_as, T.StringType())] if spans_as else [])])
+    """docs with a score, and offending offsets as a JSON list of [start, end, marginal], in place of
+    columns of these names."""
+    body = whole(text).cast("binary").alias(free_name(docs, "body"))
+    docs = docs.select(*(c for c in docs.columns if c not in (score, spans_as)), body)
+    schema = T.StructType([*docs.schema.fields[:-1], T.StructField(score, T.DoubleType()), *([T.StructField(spans_as, T.StringType())] if spans_as else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
@@ -303,7 +306,7 @@ def score_documents(docs: DataFrame, model: dict, text: str = "text", score: str
                     columns.append(pa.array([json.dumps([[s, e, round(p, 4)] for s, e, p in spans(t, marginal[e0 - n : e0])]) if n and top >= SPAN_MARGINAL else "[]" for t, n, e0, top in zip(texts, lengths, ends, peak, strict=True)], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
 
-    return docs.withColumn(inner, whole(text).cast("binary")).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def fold(key: str = "doc_id") -> Column:
