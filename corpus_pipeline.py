@@ -5,18 +5,17 @@ last return the columns of documents. The stages' operators lie in veriloom.llm.
 
 Defined results: a document without doc_id is one like any other, though of copies one with a
 doc_id is kept before it; rows of one doc_id and one text are one document, of which the dedup
-stages keep one row; rows of one doc_id and different texts are different documents.
+stages keep one row; rows of one doc_id and different texts are different documents. Null and empty
+texts are one text; empty tables stay empty; further columns of any name are carried along.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriloom.llm import exact_dedup, near_dedup, packing, secrets, toxicity
-from veriloom.llm.common import materialise, shared_folder, whole
+from veriloom.llm.common import discard, free_name, materialise, whole
 
 
 def _keyed(docs: DataFrame) -> bool:
@@ -24,16 +23,16 @@ def _keyed(docs: DataFrame) -> bool:
     return docs.groupBy("doc_id").count().filter(F.col("doc_id").isNull() | (F.col("count") > 1)).isEmpty()
 
 
-def _one_of_equal(docs: DataFrame) -> DataFrame:
+def _one_of_equal(docs: DataFrame, digest: str) -> DataFrame:
     """One row per doc_id and text, null ids being equal, with the text's digest."""
-    return docs.withColumn("veriloom_digest", F.unhex(F.sha2(whole("text"), 256))).dropDuplicates(["doc_id", "veriloom_digest"])
+    return docs.withColumn(digest, F.unhex(F.sha2(whole("text"), 256))).dropDuplicates(["doc_id", digest])
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents whose toxicity score reaches the threshold."""
-    model = toxicity.learn(spark, sf_dir)
-    scored = toxicity.score_documents(docs, model, score="veriloom_score", spans_as=None)
-    return scored.filter(F.col("veriloom_score") < toxicity.THRESHOLD).select(docs.columns)
+    model, score = toxicity.learn(spark, sf_dir), free_name(docs, "score")
+    scored = toxicity.score_documents(docs, model, score=score, spans_as=None)
+    return scored.filter(F.col(score) < toxicity.THRESHOLD).select(docs.columns)
 
 
 def exact_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +40,11 @@ def exact_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     decided = exact_dedup.exact_dedup(*exact_dedup.split_generations(docs))
     if _keyed(docs):
         return docs.join(decided.filter("kept").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    kept = decided.filter("kept").select(F.col("doc_id").alias("kept_id"), F.unhex("text_sha256").alias("kept_digest"))
-    same = (F.col("veriloom_digest") == F.col("kept_digest")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))
-    return _one_of_equal(docs).join(kept, same, "left_semi").select(docs.columns)
+    digest = free_name(docs, "digest")
+    rows = _one_of_equal(docs, digest).alias("rows")
+    kept = decided.filter("kept").select("doc_id", F.unhex("text_sha256").alias("digest")).alias("decided")
+    same = (F.col(f"rows.{digest}") == F.col("decided.digest")) & F.col("rows.doc_id").eqNullSafe(F.col("decided.doc_id"))
+    return rows.join(kept, same, "left_semi").select(docs.columns)
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +53,11 @@ def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         decided = near_dedup.near_dedup(docs)
         return docs.join(decided.filter("kept").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
     # numbered in the order of doc_id, so that the same documents win; those without one come last
-    order = [F.col("doc_id").asc_nulls_last(), "veriloom_digest"]
-    rows = materialise(_one_of_equal(docs).sort(*order).withColumn("veriloom_row", F.monotonically_increasing_id()), "pipeline-rows")
-    decided = near_dedup.near_dedup(rows, key="veriloom_row")
-    return rows.join(decided.filter("kept").select(F.col("doc_id").alias("veriloom_row")), "veriloom_row", "left_semi").select(docs.columns)
+    digest, row = free_name(docs, "digest"), free_name(docs, "row")
+    order = [F.col("doc_id").asc_nulls_last(), digest]
+    rows = materialise(_one_of_equal(docs, digest).sort(*order).withColumn(row, F.monotonically_increasing_id()), "pipeline-rows")
+    decided = near_dedup.near_dedup(rows, key=row)
+    return rows.join(decided.filter("kept").select(F.col("doc_id").alias(row)), row, "left_semi").select(docs.columns)
 
 
 def secrets_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -82,10 +84,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
+    """All stages over documents, each written and read again; a stage's table goes when the next is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
