@@ -67,6 +67,16 @@ def test_held_out_accuracy_and_spans():
     assert X.spans("été vile, bon".encode(), m[:3])[0][:2] == [4, 9] and s[0] > 0.7 > s[1]
 
 
+def test_long_clean_texts_stay_clean(spark):
+    model = X.learn(spark, "/root/testdata/sf0.01")
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").filter("toxic = 0"), "doc_id").filter("length(text) > 200").filter(X.fold() == 1).collect()
+    scorer = X.Scorer(model)
+    short = scorer([r.text.encode() for r in rows])[0] >= X.THRESHOLD
+    long = scorer([(r.text + " ").encode() * max(1, 100_000 // len(r.text)) for r in rows])[0] >= X.THRESHOLD
+    assert len(rows) > 30 and long.mean() <= 0.05 and (long & ~short).mean() <= 0.03
+    assert scorer([b"one two three four five six " * 20_000])[0][0] < X.THRESHOLD
+
+
 def test_toxicity_edges(spark):
     docs = plain(spark, [(1, None), (2, ""), (3, "word " * 50_000), (3, "x"), (None, "y")]).withColumn("score", F.lit("clash"))
     docs = docs.select("*", F.lit("x").alias("spans"), F.lit(b"z").alias("body"), F.lit("y").alias("veriloom_body"))

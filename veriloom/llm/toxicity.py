@@ -10,8 +10,9 @@ likelihood of the all-clean tagging, toxic ones by the likelihood of every other
 bounded by TRAIN_TOXIC and TRAIN_CLEAN rows of at most TRAIN_CHARS characters each, drawn by a
 hash of the key; nothing else is bounded, and scoring reads every whole text.
 
-A document's score is a calibrated function of two aggregates of its marginals: the probability
-of any toxic token, and the expected number of them. Spans are runs of tokens whose marginal is
+A document's score is a calibrated function of two aggregates of its marginals: the log odds of its
+likeliest toxic token, and the expected number of toxic tokens among those with a marginal of at
+least FAINT; below that marginals don't count, or any clean text would be toxic if only long enough. Spans are runs of tokens whose marginal is
 at least SPAN_MARGINAL, as code point offsets.
 
 Scale: one broadcast join of the bounded sample, then a map over documents without a shuffle; a
@@ -47,6 +48,7 @@ BATCH_TOKENS = 250_000
 RIDGE = 0.05
 BITS = 18
 SPAN_MARGINAL = 0.5
+FAINT = 0.1
 THRESHOLD = 0.7
 REMEMBERED = 400_000
 _EDGE = ".,;:!?\"'()[]{}<>|*#$%&+-=_/\\"
@@ -139,20 +141,27 @@ def _layout(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def aggregates(chain: Chain, doc: np.ndarray, docs: int) -> np.ndarray:
-    """By document: log odds of any toxic token, and log of one plus their expected number."""
-    clean = chain.log_clean(doc, docs)
-    any_toxic = np.log(-np.expm1(clean)) - clean
-    return np.stack([np.clip(any_toxic, -12, 12), np.log1p(np.bincount(doc, chain.marginal, docs))], 1)
+    """By document: log odds of the likeliest toxic token, and log of one plus the expected number of them."""
+    top = np.full(docs, 1e-6)
+    np.maximum.at(top, doc, chain.marginal)
+    odds = np.log(top) - np.log1p(-np.minimum(top, 1 - 1e-9))
+    return np.stack([np.clip(odds, -12, 12), np.log1p(np.bincount(doc, np.where(chain.marginal >= FAINT, chain.marginal, 0.0), docs))], 1)
 
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Newton's method with a small ridge."""
+    """Newton's method with a small ridge, and steps halved until the loss falls."""
     a = np.c_[x, np.ones(len(x))]
+    ridge = np.array([1e-2] * x.shape[1] + [1e-6])
+    loss = lambda w: float((weight * (np.logaddexp(0, a @ w) - y * (a @ w))).sum() + (ridge * w * w).sum() / 2)
     w = np.zeros(a.shape[1])
-    for _ in range(30):
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        ridge = np.diag([1e-2] * x.shape[1] + [1e-6])
-        w -= np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + ridge + 1e-9 * np.eye(len(w)), a.T @ (weight * (p - y)) + ridge @ w)
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + np.diag(ridge) + 1e-9 * np.eye(len(w)), a.T @ (weight * (p - y)) + ridge * w)
+        while loss(w - step) > loss(w) and np.abs(step).max() > 1e-9:
+            step /= 2
+        w = w - step
+        if np.abs(step).max() < 1e-9:
+            break
     return w
 
 
