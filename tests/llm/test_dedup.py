@@ -209,6 +209,43 @@ def test_near_against_plain(spark, monkeypatch, block):
     assert got == plain_near(rows)
 
 
+def template_rows(n, seed=4, words=60, own=14):
+    """Pages of one template with a few words of their own: alike, but too little to link; some near copies."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    head = [word() for _ in range(words)]
+    rows = []
+    for i in range(n):
+        mine = [word() for _ in range(own)]
+        rows.append((i, " ".join(head + mine)))
+        if i % 10 == 0:  # a copy with one word more
+            rows.append((n + i, " ".join(head + mine + [word()])))
+    return rows
+
+
+def test_wide_buckets_by_rare_shingles(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 16)
+    rows = template_rows(150, own=22) + [(900, None)]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in N.near_dedup(wide(spark, rows)).collect()}
+    want = plain_near(rows)
+    assert got == want and len({c for _, c, _ in want.values()}) >= 150  # they do stay apart
+    short = [(i, " ".join(f"w{(i * 7 + k * k) % 23}" for k in range(9))) for i in range(120)]
+    got = {r.doc_id: r.component_id for r in N.near_dedup(wide(spark, short)).collect()}
+    assert got == {i: c for i, (_, c, _) in plain_near(short).items()}
+
+
+def test_work_of_a_wide_bucket_grows_with_its_texts(spark):
+    """Rows that wide buckets are spelled out to, and pairs: in proportion to the documents."""
+    told = []
+    for n in (400, 1600):
+        rows = spark.createDataFrame(template_rows(n, own=22), "doc_id long, text string")
+        reps = N.signed(rows).cache()
+        texts = rows.select("doc_id", F.col("text").cast("binary").alias("body"))
+        told.append(N._wide_pairs(rows.select("doc_id", F.col("doc_id").alias("label")), reps, texts).count())
+        reps.unpersist()
+    assert told[0] >= 40 and told[1] <= 5 * told[0]
+
+
 def test_near_of_little(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert N.near_dedup(none).count() == 0
