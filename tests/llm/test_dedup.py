@@ -149,6 +149,9 @@ def test_cuckoo_filter():
     assert held.holds(keys[:2000]).all() and held.holds(keys[2000:]).mean() < 0.01
     held.delete(keys[:1000])
     assert held.holds(keys[1000:2000]).all() and held.holds(keys[:1000]).mean() < 0.01
+    tight = L.CuckooFilter(512)  # 1,900 keys in 2,048 cells: found again, few in the stash
+    tight.insert(keys[:1900])
+    assert tight.holds(keys[:1900]).all() and len(tight.stash) < 20 and tight.load == 1900 / 2048
     full = L.CuckooFilter(2)  # overfull: what finds no cell goes to the stash
     full.insert(keys[:50])
     again = L.CuckooFilter(*full.row(0)[1:])
@@ -157,6 +160,33 @@ def test_cuckoo_filter():
     assert not again.cells.any() and not again.stash
 
 
+def test_filters_grow(spark, monkeypatch):
+    """Inserts that double the state: shards are dealt anew or enlarged, decisions equal a fresh build."""
+    monkeypatch.setattr(L, "SHARD_POSTINGS", 64)
+    rows = [(i, "\n".join(f"line number {(i * 13 + k * k) % (40 + i)} of many" for k in range(6))) for i in range(192)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    state, n = L.build(docs.filter("doc_id < 3")), 3
+    first = state.shards
+    while n < 192:
+        state = L.insert(state, docs.filter(f"doc_id >= {n} and doc_id < {2 * n}"))
+        n *= 2
+        held = [L.CuckooFilter(r.buckets, r.cells, r.stash) for r in state.filters.collect()]
+        assert all(x.load <= L.FULL and len(x.stash) < 8 for x in held)
+    assert state.shards > first
+    assert result(L.apply(docs, L.drops(state))) == plain_lines(rows)
+    monkeypatch.setattr(L, "SHARD_POSTINGS", 1 << 20)  # one shard that can only be enlarged
+    state = L.insert(L.build(docs.filter("doc_id < 6")), docs.filter("doc_id >= 6"))
+    assert state.shards == 1 and state.filters.count() == 1 and result(L.apply(docs, L.drops(state))) == plain_lines(rows)
+
+
+def test_lines_of_rows_without_telling_keys(spark):
+    """Repeated doc_ids are one document; rows without doc_id neither count nor lose lines."""
+    line = "a line that is shared"
+    docs = spark.createDataFrame([(1, line), (1, line + "\nown line of the second"), (None, line), (None, "alone in a nameless row"), (2, "alone in a nameless row\n" + line)], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in L.apply(docs, L.drops(L.build(docs))).collect()), key=repr)
+    assert got == sorted([(1, 1, 0, line), (1, 2, 0, line + "\nown line of the second"), (None, 1, 0, line), (None, 1, 0, "alone in a nameless row"), (2, 2, 1, "alone in a nameless row")], key=repr)
+
+
 # ---- near ----------------------------------------------------------------------------------
 
 

@@ -14,7 +14,9 @@ exact counts, so a false positive of a filter costs a lookup and never a line.
 Scale: postings are 32-byte digests, never lines. Counts are summed before the shuffle. The few
 keys that hold more than 1/HOT_SHARE of all postings (there can be no more than HOT_SHARE of
 them) are joined by broadcast before the deal to shards; a shard's rows are streamed, not
-collected. The number of shards follows the number of postings.
+collected. The number of shards follows the number of postings: when these have doubled since the
+last deal, all filters are dealt anew, and a shard whose filter would be fuller than FULL is built
+anew from the exact counts, with room for twice its keys.
 
 Defined results: null or empty texts are one empty line; a doc_id that repeats is one document;
 rows without doc_id neither count nor lose lines; equal lines within the smallest document all
@@ -42,6 +44,8 @@ HOT_SHARE = 10_000
 #: And a hot key has this many postings, below which its shard takes it like any other.
 HOT_LEAST = 1000
 SLOTS = 4
+#: Share of a filter's cells that may be taken before it is built anew.
+FULL = 0.9
 _TRIM, _FROM_TO = ASCII_SPACE.encode(), bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 FILTER_SCHEMA = "shard long, buckets int, cells binary, stash binary"
@@ -72,25 +76,42 @@ class CuckooFilter:
         return bucket ^ ((prints * 0x5BD1E995 & 0x7FFFFFFF) & (self.buckets - 1))
 
     def insert(self, digests: np.ndarray) -> None:
-        for p, a, b in zip(*(x.tolist() for x in self.places(digests)), strict=True):
-            self._put(p, a, b)
-
-    def _put(self, p: int, a: int, b: int) -> None:
-        for at in (a, b):
-            free = np.flatnonzero(self.cells[at] == 0)
-            if len(free):
-                self.cells[at, free[0]] = p
-                return
-        at = b
+        """All keys at once: each round fills free cells of the buckets asked for, then moves on
+        to the other bucket, then puts one key a bucket in place of another, which moves on."""
+        prints, at, other = self.places(digests)
+        left = self._fill(prints, at)
+        prints, at = prints[left], other[left]
         for kick in range(self.KICKS):
-            slot = kick % SLOTS
-            p, self.cells[at, slot] = int(self.cells[at, slot]), p
-            at = int(self.other(at, p))
-            free = np.flatnonzero(self.cells[at] == 0)
-            if len(free):
-                self.cells[at, free[0]] = p
+            left = self._fill(prints, at)
+            prints, at = prints[left], at[left]
+            if not len(prints):
                 return
-        self.stash.append((p, at))
+            _, one = np.unique(at, return_index=True)
+            slot = kick % SLOTS
+            out = self.cells[at[one], slot].astype(np.int64)
+            self.cells[at[one], slot] = prints[one]
+            prints[one] = out
+            at[one] = self.other(at[one], out)
+        self.stash += list(zip(prints.tolist(), at.tolist(), strict=True))
+
+    def _fill(self, prints: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Put fingerprints into free cells of their buckets; the places of those left over."""
+        if not len(prints):
+            return np.zeros(0, np.int64)
+        order = np.argsort(at, kind="stable")
+        bucket = at[order]
+        starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        rank = np.arange(len(bucket)) - np.repeat(starts, np.diff(np.r_[starts, len(bucket)]))
+        empty = self.cells[bucket] == 0
+        fits = rank < empty.sum(1)
+        # the rank-th free cell of a bucket
+        slot = (np.cumsum(empty[fits], 1) == rank[fits, None] + 1).argmax(1)
+        self.cells[bucket[fits], slot] = prints[order[fits]]
+        return np.sort(order[~fits])
+
+    @property
+    def load(self) -> float:
+        return (np.count_nonzero(self.cells) + len(self.stash)) / self.cells.size
 
     def delete(self, digests: np.ndarray) -> None:
         """Of keys that are in the filter only, as with any cuckoo filter."""
@@ -151,7 +172,7 @@ def _shared(counts: DataFrame) -> DataFrame:
 
 
 def _move(old: pd.DataFrame, changes: pd.DataFrame) -> pd.DataFrame:
-    """A shard's filter after insertions and deletions."""
+    """A shard's filter after insertions and deletions, or a row without cells if it gets too full."""
     shard = int((old if len(old) else changes)["shard"].iloc[0])
     added, gone = (_matrix(changes.loc[changes["added"] == flag, "digest"]) for flag in (True, False))
     if len(old):
@@ -160,23 +181,29 @@ def _move(old: pd.DataFrame, changes: pd.DataFrame) -> pd.DataFrame:
     else:
         held = CuckooFilter.sized(len(added))
     held.delete(gone)
+    if held.load + len(added) / held.cells.size > FULL:
+        return pd.DataFrame([(shard, 0, b"", b"")], columns=["shard", "buckets", "cells", "stash"])
     held.insert(added)
     return pd.DataFrame([held.row(shard)], columns=["shard", "buckets", "cells", "stash"])
 
 
 def _build(group: pd.DataFrame) -> pd.DataFrame:
-    held = CuckooFilter.sized(len(group))
+    held = CuckooFilter.sized(2 * len(group))
     held.insert(_matrix(group["digest"]))
     return pd.DataFrame([held.row(int(group["shard"].iloc[0]))], columns=["shard", "buckets", "cells", "stash"])
 
 
+def filters_of(counts: DataFrame, shards: int) -> DataFrame:
+    """Filters built from the exact counts."""
+    return _shared(counts).select("digest").withColumn("shard", _shard_of(shards)).groupBy("shard").applyInPandas(_build, FILTER_SCHEMA)
+
+
 def build(docs: DataFrame, text: str = "text", key: str = "doc_id") -> LineState:
     """The state over a first set of documents."""
     postings = materialise(postings_of(docs, text, key), "postings")
     shards = parts_for(postings.count(), SHARD_POSTINGS)
     counts = materialise(_counts(postings), "line-counts")
-    filters = _shared(counts).select("digest").withColumn("shard", _shard_of(shards)).groupBy("shard").applyInPandas(_build, FILTER_SCHEMA)
-    return LineState(postings, counts, filters, shards)
+    return LineState(postings, counts, filters_of(counts, shards), shards)
 
 
 def _moved(state: LineState, postings: DataFrame, touched: DataFrame) -> LineState:
@@ -187,9 +214,16 @@ def _moved(state: LineState, postings: DataFrame, touched: DataFrame) -> LineSta
     change = was.select("digest", (F.col("first") != F.col("last")).alias("a")).join(new.select("digest", (F.col("first") != F.col("last")).alias("b")), "digest", "full")
     a, b = F.coalesce("a", F.lit(False)), F.coalesce("b", F.lit(False))
     change = change.filter(a != b).select("digest", b.alias("added")).withColumn("shard", _shard_of(state.shards))
-    filters = state.filters.groupBy("shard").cogroup(change.groupBy("shard")).applyInPandas(_move, FILTER_SCHEMA)
-    counts = state.counts.join(touched, "digest", "left_anti").unionByName(new)
-    return LineState(postings, materialise(counts, "line-counts"), materialise(filters, "line-filters"), state.shards)
+    counts = materialise(state.counts.join(touched, "digest", "left_anti").unionByName(new), "line-counts")
+    shards = parts_for(postings.count(), SHARD_POSTINGS)
+    if shards > 2 * state.shards:
+        return LineState(postings, counts, materialise(filters_of(counts, shards), "line-filters"), shards)
+    moved = materialise(state.filters.groupBy("shard").cogroup(change.groupBy("shard")).applyInPandas(_move, FILTER_SCHEMA), "line-filters")
+    full = moved.filter("buckets = 0").select("shard")
+    if not full.isEmpty():
+        anew = _shared(counts).select("digest", _shard_of(state.shards).alias("shard")).join(full, "shard", "left_semi").groupBy("shard").applyInPandas(_build, FILTER_SCHEMA)
+        moved = materialise(moved.filter("buckets > 0").unionByName(anew), "line-filters")
+    return LineState(postings, counts, moved, state.shards)
 
 
 def insert(state: LineState, docs: DataFrame, text: str = "text", key: str = "doc_id") -> LineState:
