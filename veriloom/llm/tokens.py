@@ -7,12 +7,11 @@ word is encoded once per worker; a text is then a join of cached byte strings.
 
 from __future__ import annotations
 
+import struct
 from functools import lru_cache
 
-import numpy as np
-
 #: Words a worker remembers; the memory starts anew beyond that.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 
 @lru_cache(1)
@@ -24,6 +23,11 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordEncoder(dict):
     """Little-endian unsigned 32-bit ids by word (UTF-8 bytes without ASCII white space)."""
 
@@ -40,7 +44,7 @@ class WordEncoder(dict):
         ids = self.roots.get(word)
         if ids is None:
             spelled = word if word.isascii() else word.encode().decode("latin-1").translate(_byte_letters())
-            ids = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+            ids = _packed([t.id for t in self.model.tokenize(spelled)])
             if len(self.roots) >= REMEMBERED:
                 self.roots.clear()
             self.roots[word] = ids
@@ -50,12 +54,12 @@ class WordEncoder(dict):
         word = raw.decode("utf-8", "replace")
         head, tail = (word[:-1], word[-1]) if word[-1] in ".,!?;:" else (word, "")
         # letters below U+0130 are composed already and lower-case one by one
-        if head.isalpha() and max(head) < "İ":
+        if head.isalpha() and (head.isascii() or max(head) < "İ"):
             ids = self._root(head.lower())
             if tail:
                 ids += self.plain(tail)
         else:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
         if len(self) >= REMEMBERED:
             self.clear()
         self[raw] = ids
@@ -64,7 +68,7 @@ class WordEncoder(dict):
     def plain(self, mark: str) -> bytes:
         ids = self.roots.get(mark)
         if ids is None:
-            ids = self.roots[mark] = np.array(self.tokenizer.encode(mark, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = self.roots[mark] = _packed(self.tokenizer.encode(mark, add_special_tokens=False).ids)
         return ids
 
     def ids(self, text: bytes) -> bytes:
