@@ -3,8 +3,9 @@ from pyspark.sql import functions as F
 
 from veriloom.operators import answers, datasets, metrics, planning, reports, strategies
 from veriloom.plans.engine import Engine, evaluate
-from veriloom.plans.registry import QUERY_PROCESSORS, require
-from veriloom.plans.settings import Retrieval, Settings, load_mapping, settings
+from veriloom.plans import suite
+from veriloom.plans.registry import QUERY_PROCESSORS, Clients, require
+from veriloom.plans.settings import Query, Retrieval, Settings, load_mapping, settings
 from veriloom.streaming import traces
 
 
@@ -149,10 +150,163 @@ def test_dataset_builder_chooses_among_all_chunks(spark):
     rows += [(f"y{m}", f"m{m}", "t07", "T", ["zy shared"], "正文：" + "充电" + "x" * 90) for m in range(3)]
     df = spark.createDataFrame(rows, "chunk_id string, manual_key string, topic_id string, title string, section_path array<string>, text string")
     counts = {"single_chunk": 4, "multi_chunk_same_topic": 3, "multi_topic": 3, "cross_manual": 1, "unanswerable": 1}
-    order = ["manual_key", "topic_id", "section", "chunk_id"]
-    want = datasets.choose(datasets.readable(df).orderBy(*order).collect(), counts)
-    got = [(r.case_id, r.question_type, list(r.gold_chunk_ids)) for r in datasets.build_cases(df, counts).collect()]
-    assert got == want and len({c for _, k, g in got if k == "cross_manual" for c in g}) == 2
+    want = plain_cases([r.asDict() for r in datasets.readable(df).collect()], counts)
+    got = {r.case_id: list(r.gold_chunk_ids) for r in datasets.build_cases(df, counts).collect()}
+    assert got == want and len({c for k, g in want.items() if k.startswith("cross") for c in g}) == 2
+
+
+def plain_cases(rows, counts):
+    """Case ids with their chunks, by one pass over ordered rows for each kind."""
+    rows = sorted(rows, key=lambda r: (r["manual_key"], r["topic_id"], r["section"], r["chunk_id"]))
+    out, used, topics, n = {}, set(), set(), 0
+    tags = sorted({r["tag"] for r in rows})
+    while n < counts["single_chunk"]:
+        for tag in tags:
+            row = next((r for r in rows if r["tag"] == tag and (r["manual_key"], r["topic_id"]) not in topics), None)
+            if row and n < counts["single_chunk"]:
+                n += 1
+                out[f"single-{n:03d}"] = [row["chunk_id"]]
+                topics.add((row["manual_key"], row["topic_id"]))
+                used.add(row["chunk_id"])
+
+    def groups(key):
+        held = {}
+        for r in rows:
+            if r["chunk_id"] not in used:
+                held.setdefault(tuple(r[k] for k in key), []).append(r)
+        return [held[k] for k in sorted(held)]
+
+    def heads(part, key):
+        held = {}
+        for r in part:
+            held.setdefault(r[key], r)
+        return list(held.values())
+
+    for kind, prefix, key in (("multi_chunk_same_topic", "same-topic", ("manual_key", "topic_id")), ("multi_topic", "multi-topic", ("manual_key",)), ("cross_manual", "cross-manual", ("section",))):
+        found = []
+        for part in groups(key):
+            if prefix == "same-topic":
+                pair = part[:2] if len({r["section"] for r in part[:2]}) == 2 else []
+            elif prefix == "multi-topic":
+                one, *rest = heads(part, "topic_id")
+                pair = [one, next((r for r in rest if r["tag"] != one["tag"]), rest[0])] if rest else []
+            else:
+                pair = heads(part, "manual_key")[:2] if len(part[0]["section"]) >= 3 else []
+            if len(pair) == 2:
+                found.append([r["chunk_id"] for r in pair])
+        for i, ids in enumerate(found[: counts[kind]], 1):
+            out[f"{prefix}-{i:03d}"] = ids
+            used.update(ids)
+    return out | {f"unanswerable-{i:03d}": [] for i in range(1, counts["unanswerable"] + 1)}
+
+
+def test_dataset_builder_against_plain(spark):
+    import random
+
+    rng = random.Random(11)
+    words = ["充电", "座椅", "安全", "驾驶", "轮胎", ""]
+    rows = [(f"c{i:03d}", f"m{rng.randrange(9)}", f"t{rng.randrange(12)}", "T", [f"sec {rng.randrange(15)}"], "正文：" + rng.choice(words) + "x" * 90) for i in range(400)]
+    df = spark.createDataFrame(rows, "chunk_id string, manual_key string, topic_id string, title string, section_path array<string>, text string")
+    counts = {"single_chunk": 18, "multi_chunk_same_topic": 8, "multi_topic": 6, "cross_manual": 6, "unanswerable": 3}
+    want = plain_cases([r.asDict() for r in datasets.readable(df).collect()], counts)
+    assert {r.case_id: list(r.gold_chunk_ids) for r in datasets.build_cases(df, counts).collect()} == want
+
+
+# ---- models ----
+
+
+def test_components_need_their_client(spark, chunks):
+    for bad in ({"reranker": "bge_local"}, {"generator": "openrouter"}, {"embedder": "bge_m3_local"}, {"controller": "llm"}):
+        with pytest.raises(RuntimeError, match="client"):
+            Engine(chunks, Settings(**bad))
+    for bad in ({"reranker": "x"}, {"generator": "x"}, {"embedder": "x"}, {"controller": "x"}, {"chunker": "x"}, {"vector_store": "x"}, {"strategy": "x"}):
+        with pytest.raises(ValueError, match="choose one of"):
+            Engine(chunks, Settings(**bad))
+    with pytest.raises(RuntimeError, match="planner"):
+        Engine(chunks, Settings(query=Query(processor="rewrite"))).plan(spark.createDataFrame([(1, "q")], "query_id int, text string"))
+
+
+def test_models_run_where_the_settings_name_them(spark, chunks, questions):
+    bm25 = Retrieval(retriever="bm25")
+    shortest = Clients(reranker=lambda: lambda pairs: [-len(t) for _, t in pairs])
+    got = Engine(chunks, Settings(reranker="bge_local", retrieval=bm25), clients=shortest).retrieve(spark.createDataFrame([(1, "red light seat")], "query_id int, text string"), 3).orderBy("rank").collect()
+    assert got[0].chunk_id == "c2" and got[0].rerank_score == -8.0 and got[0].recall_score > 0  # "red seat" is the shortest
+
+    says = Clients(generator=lambda: lambda question, prompt: f"{question}: see [1]" if "Answer again" in prompt else f"{question}: no citation")
+    out = {r.query_id: r for r in Engine(chunks, Settings(generator="openrouter", retrieval=bm25, max_repairs=1), clients=says).chat(questions).collect()}
+    assert out[1].answer == "red light: see [1]" and out[2].refused and not out[1].refused
+    out = {r.query_id: r for r in Engine(chunks, Settings(generator="openrouter", retrieval=bm25, max_repairs=0), clients=says).chat(questions).collect()}
+    assert out[1].refused and not out[1].citation_validated and len(out[1].evidence) > 0
+
+    plans = Clients(planner=lambda: lambda prompt: '{"queries": ["battery", "seat belt"]}')
+    hits = Engine(chunks, Settings(query=Query(processor="decomposition"), retrieval=bm25), clients=plans).retrieve(questions, 4).filter("query_id = 2").collect()
+    assert {"c1", "c3"} <= {r.chunk_id for r in hits}  # fused over the planner's queries
+
+    def embed(texts):
+        return [[1.0, 0.0] if "red" in t else [0.0, 1.0] for t in texts]
+
+    model = Clients(embedder=lambda: embed)
+    engine = Engine(chunks, Settings(embedder="bge_m3_local", dimension=2, retrieval=Retrieval(retriever="dense")), clients=model)
+    own = engine.embed(chunks.select(F.col("chunk_id").alias("id"), "text")).withColumnRenamed("id", "chunk_id")
+    engine = Engine(chunks.drop("embedding").join(own, "chunk_id"), engine.settings, clients=model)
+    assert [r.chunk_id for r in engine.retrieve(questions, 2).filter("query_id = 1").orderBy("rank").collect()] == ["c0", "c2"]
+
+
+def _controller(**says):
+    """A controller that answers by task."""
+    import json
+
+    def load():
+        def ask(prompt):
+            for task, key in (("suffice", "assess"), ("next", "act"), ("support", "support")):
+                if task in prompt.splitlines()[0]:
+                    told = says[key](prompt)
+                    return told if isinstance(told, str) else json.dumps(told)
+        return ask
+
+    return Clients(controller=load)
+
+
+def test_self_rag_rewrites_once_and_checks_support(spark, chunks):
+    questions = spark.createDataFrame([(1, "red light"), (2, "xyzzy"), (3, "battery")], "query_id int, text string")
+    settings = Settings(strategy="self_rag", controller="llm", retrieval=Retrieval(retriever="bm25"))
+    c = _controller(assess=lambda p: {"sufficient": "xyzzy" not in p, "rewritten_query": "seat belt"}, support=lambda p: {"supported": "battery" not in p})
+    got = {r.query_id: r for r in Engine(chunks, settings, clients=c).chat(questions).collect()}
+    assert (got[1].rounds, got[1].asked, got[1].refused) == (1, "red light", False)
+    assert (got[2].rounds, got[2].asked, got[2].refused) == (2, "seat belt", False) and got[2].evidence[0].chunk_id == "c1"
+    assert got[3].refused and got[3].answer == answers.REFUSAL and got[3].citations == [] and len(got[3].evidence) > 0
+    same = _controller(assess=lambda p: {"sufficient": False, "rewritten_query": " "}, support=lambda p: "true")
+    got = {r.query_id: r for r in Engine(chunks, settings, clients=same).chat(questions).collect()}
+    assert all(r.rounds == 1 for r in got.values()) and got[2].refused and not got[3].refused
+
+
+def test_agentic_controller(spark, chunks):
+    questions = spark.createDataFrame([(1, "red light"), (2, "nothing"), (3, "battery")], "query_id int, text string")
+    settings = Settings(strategy="agentic_rag", controller="llm", retrieval=Retrieval(retriever="bm25"), max_steps=3)
+
+    def act(prompt):
+        if "nothing" in prompt:
+            return {"action": "stop"}
+        return {"action": "answer"} if "charge" in prompt or "light" in prompt.split("Evidence:")[1] else {"type": "RETRIEVE", "query": prompt.split("Question: ")[1].splitlines()[0]}
+
+    got = {r.query_id: r for r in Engine(chunks, settings, clients=_controller(act=act)).chat(questions).collect()}
+    assert got[1].evidence[0].chunk_id == "c0" and got[3].evidence[0].chunk_id == "c3" and got[2].refused
+
+
+def test_faulty_questions_and_failing_configurations(spark, chunks):
+    questions = spark.createDataFrame([(1, "red light"), (2, "  "), (3, "x" * 2001)], "query_id int, text string")
+    engine = Engine(chunks, Settings(retrieval=Retrieval(retriever="bm25")))
+    assert {r.query_id for r in engine.faults(questions).collect()} == {2, 3}
+    cases = spark.createDataFrame([(1, "single", True), (2, "single", True), (3, "multi", True)], "case_id int, question_type string, answerable boolean")
+    gold = spark.createDataFrame([(1, "c0")], "case_id int, chunk_id string")
+    base = Settings(retrieval=Retrieval(retriever="bm25"))
+    broken = Clients(reranker=lambda: lambda pairs: 1 / 0)
+    rows = suite.run_suite(chunks, {"a": base, "b": Settings(retrieval=base.retrieval, reranker="bge_local")}, "a", questions, cases, gold, clients=broken).collect()
+    told = {(r.config_id, r.scope): r for r in rows}
+    assert told["a", "all"].errors == 2 and told["a", "all"].rr == 1.0 and told["a", "all"]["count"] == 1 and told["a", "all"].status == "completed"
+    assert told["b", "all"].status == "failed" and told["b", "all"].error and told["b", "all"].errors == 3
+    with pytest.raises(Exception):
+        suite.run_suite(chunks, {"a": base, "b": Settings(retrieval=base.retrieval, reranker="bge_local")}, "a", questions, cases, gold, clients=broken, fail_fast=True)
 
 
 def test_settings(tmp_path):

@@ -81,7 +81,7 @@ def plain_pack(blocks, target, overlap):
 def test_split_and_pack_against_plain(spark, overlap):
     blocks = [["短句。" * 3, "长" * 130 + "。短。", "无标点" * 60], ["x" * 250], [], ["a", "b" * 99, "c" * 40 + "。 \t d。" * 20]]
     df = spark.createDataFrame([(i, b) for i, b in enumerate(blocks)], "i int, blocks array<string>")
-    cut = df.withColumn("cut", F.flatten(F.transform("blocks", lambda b: chunking._split_in(b, 100))))
+    cut = df.withColumn("cut", F.flatten(F.transform("blocks", lambda b: chunking.split_block(b, 100))))
     got = {r.i: (r.cut, r.out) for r in cut.withColumn("out", chunking.pack_blocks("cut", chunking.Chunking(100, overlap))).collect()}
     for i, b in enumerate(blocks):
         want = [p for x in b for p in plain_split(x, 100)]

@@ -18,9 +18,13 @@ def test_recorder(spark):
     r = recorder.Recorder(spark, "t1", max_events=3)
     with r.active(), recorder.stage("retrieve"):
         recorder.record("retrieve", "hits", n=3)
-        recorder.record("retrieve", "one too many")
     rows = r.events().orderBy("seq").collect()
-    assert [x.event for x in rows] == ["retrieve.started", "hits", "one too many", "trace.completed"] and r.dropped == 1
+    assert [x.event for x in rows] == ["retrieve.started", "hits", "retrieve.completed", "trace.completed"]
+    full = recorder.Recorder(spark, "t3", max_events=2)
+    with pytest.raises(RuntimeError, match="more than 2"), full.active():
+        for _ in range(3):
+            recorder.record("retrieve", "hit")
+    assert traces.snapshots(full.events()).first().status == "failed"  # no trace stays running
     assert traces.snapshots(r.events()).first().status == "completed"
     bad = recorder.Recorder(spark, "t2")
     with pytest.raises(KeyError), bad.active():

@@ -53,17 +53,18 @@ def gathered(questions: DataFrame, evidence: DataFrame, chunks: DataFrame, limit
     return questions.join(held, "query_id", "left").withColumn("evidence", F.coalesce("evidence", F.expr("cast(array() as array<" + held.schema["evidence"].dataType.elementType.simpleString() + ">)")))
 
 
-def finished(rows: DataFrame, repairs: int = 1, citation_required: bool = True, draft: Column | None = None) -> DataFrame:
+def finished(rows: DataFrame, repairs: int = 1, citation_required: bool = True, draft: Column | None = None, repair: Callable[[Column, Column], Column] = repaired) -> DataFrame:
     """answers: rows with evidence become text, citations, refused and citation_validated.
 
     Without evidence the refusal text (validated). Drafts with bad citations are repaired at most
-    `repairs` times; still bad ones are refused (not validated, evidence kept). Citations follow
+    `repairs` times by repair(draft, n_evidence), which sees null where nothing is to be done; still bad ones are refused (not validated, evidence kept). Citations follow
     the evidence's order: the numbers used, or all if none is used and none is required.
     """
     n = F.size("evidence")
     rows = rows.withColumn("draft", mock_answer(F.get("evidence", F.lit(0))["text"]) if draft is None else draft)
     for _ in range(repairs if citation_required else 0):
-        rows = rows.withColumn("draft", F.when((n > 0) & ~citations_valid(F.col("draft"), n), repaired(F.col("draft"), n)).otherwise(F.col("draft")))
+        bad = F.when((n > 0) & ~citations_valid(F.col("draft"), n), F.col("draft"))
+        rows = rows.withColumn("draft", F.coalesce(repair(bad, n), "draft"))
     good = citations_valid(F.col("draft"), n) if citation_required else F.forall(cited(F.col("draft")), lambda i: (i >= 1) & (i <= n))
     rows = rows.withColumn("good", good).withColumn("used", cited(F.col("draft")))
     listed = F.transform("evidence", lambda e, i: F.struct((i + 1).alias("index"), e["chunk_id"].alias("chunk_id"), e["title"].alias("title"), e["source_url"].alias("source_url"), F.substring(body(e["text"]), 1, EXCERPT_CHARS).alias("excerpt")))
@@ -74,16 +75,30 @@ def finished(rows: DataFrame, repairs: int = 1, citation_required: bool = True,
 
 
 def model_answer(client: Callable[[], Callable[[str, str], str]]):
-    """A pandas UDF (question, prompt) over a generator loaded once per worker; empty answers raise."""
+    """A pandas UDF (question, prompt) over a generator loaded once per worker; a null question asks
+    nothing, empty answers raise."""
     held: list = []
 
     @F.pandas_udf("string")
     def generate(question: pd.Series, prompt: pd.Series) -> pd.Series:
         if not held:
             held.append(client())
-        out = pd.Series([held[0](q, p) for q, p in zip(question, prompt, strict=True)], dtype=object)
-        if out.map(lambda x: not (x or "").strip()).any():
+        out = [None if q is None else held[0](q, p) for q, p in zip(question, prompt, strict=True)]
+        if any(q is not None and not (x or "").strip() for q, x in zip(question, out, strict=True)):
             raise ValueError("generator returned an empty answer")
-        return out
+        return pd.Series(out, dtype=object)
 
     return generate
+
+
+#: What a model generator is told, and what it is told when its citations were bad.
+RULES = "Answer only from the numbered evidence and cite it as [1], [2].\n\n"
+REPAIR = "\n\nYour last answer cited no evidence, or evidence that is not there. Answer again and cite."
+
+
+def model_drafts(client: Callable[[], Callable[[str, str], str]]) -> tuple[Column, Callable[[Column, Column], Column]]:
+    """draft and repair for finished(): rows have text (the question) and evidence."""
+    generate = model_answer(client)
+    prompt = F.concat(F.lit(RULES), evidence_prompt(F.col("evidence")))
+    draft = generate(F.when(F.size("evidence") > 0, F.col("text")), prompt)
+    return draft, lambda bad, n: generate(F.when(bad.isNotNull(), F.col("text")), F.concat(prompt, F.lit(REPAIR)))

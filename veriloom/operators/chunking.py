@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..functions.text import BODY_MARK, SENTENCE_ENDS
 
-_STRIP = r"regexp_replace({x}, '(?U)^\\s+|\\s+$', '')"
-
-
 @dataclass(frozen=True)
 class Chunking:
     target_chars: int = 900
@@ -25,22 +22,24 @@ class Chunking:
             raise ValueError("overlap_chars must be at least 0 and less than target_chars")
 
 
-def split_block(block: str, limit: int) -> Column:
-    """A block as parts of about `limit` characters (a column name in, ARRAY<STRING> out).
+def split_block(block: str | Column, limit: int) -> Column:
+    """A block as parts of about `limit` characters (ARRAY<STRING>); null gives none.
 
     Within the limit it is left alone. Else it is cut after sentence ends and sentences are packed
     greedily without a separator; one over-long sentence stays whole among others, alone it is
     sliced.
     """
-    sentences = f"filter(transform(split({block}, '{SENTENCE_ENDS}'), s -> {_STRIP.format(x='s')}), s -> s <> '')"
-    slices = f"transform(sequence(0, int((length({block}) - 1) / {limit})), i -> substring({block}, i * {limit} + 1, {limit}))"
-    packed = f"""aggregate({sentences},
-      cast(struct(array() as done, '' as now) as struct<done: array<string>, now: string>),
-      (a, s) -> IF(a.now <> '' AND length(a.now) + length(s) > {limit},
-                   named_struct('done', array_append(a.done, a.now), 'now', s),
-                   named_struct('done', a.done, 'now', concat(a.now, s))),
-      a -> IF(a.now = '', a.done, array_append(a.done, a.now)))"""
-    return F.expr(f"CASE WHEN {block} IS NULL THEN cast(array() as array<string>) WHEN length({block}) <= {limit} THEN array({block}) WHEN size({sentences}) <= 1 THEN {slices} ELSE {packed} END")
+    block = F.col(block) if isinstance(block, str) else block
+    sentences = F.filter(F.transform(F.split(block, SENTENCE_ENDS), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
+    slices = F.transform(F.sequence(F.lit(0), ((F.length(block) - 1) / limit).cast("int")), lambda i: F.substring(block, i * limit + 1, F.lit(limit)))
+    none = F.expr("cast(struct(array() as done, '' as now) as struct<done: array<string>, now: string>)")
+
+    def step(a, s):
+        full = (a["now"] != "") & (F.length(a["now"]) + F.length(s) > limit)
+        return F.when(full, F.struct(F.array_append(a["done"], a["now"]).alias("done"), s.alias("now"))).otherwise(F.struct(a["done"].alias("done"), F.concat(a["now"], s).alias("now")))
+
+    packed = F.aggregate(sentences, none, step, lambda a: F.when(a["now"] == "", a["done"]).otherwise(F.array_append(a["done"], a["now"])))
+    return F.when(block.isNull(), F.expr("cast(array() as array<string>)")).when(F.length(block) <= limit, F.array(block)).when(F.size(sentences) <= 1, slices).otherwise(packed)
 
 
 def pack_blocks(blocks: str, chunking: Chunking = Chunking()) -> Column:
@@ -65,7 +64,7 @@ def chunk_documents(documents: DataFrame, chunking: Chunking = Chunking()) -> Da
     """
     rows = documents.select("*", F.posexplode("sections").alias("section_index", "section")).drop("sections")
     rows = rows.withColumn("long_blocks", F.col("section.blocks")).withColumn("section_path", F.col("section.path"))
-    cut = F.flatten(F.transform("long_blocks", lambda b: _split_in(b, chunking.target_chars)))
+    cut = F.flatten(F.transform("long_blocks", lambda b: split_block(b, chunking.target_chars)))
     rows = rows.withColumn("cut_blocks", cut).withColumn("bodies", pack_blocks("cut_blocks", chunking))
     rows = rows.select("*", F.posexplode("bodies").alias("part", "body")).withColumn("part_index", F.col("part") + 1)
     version = F.when(F.coalesce("manual_version", F.lit("")) != "", F.concat(F.lit("手册版本："), "manual_version"))
@@ -76,17 +75,3 @@ def chunk_documents(documents: DataFrame, chunking: Chunking = Chunking()) -> Da
     key = ids.chunk_id(F.col("manual_id"), F.col("snapshot_id"), F.col("topic_id"), F.col("section_path"), F.col("part_index"), F.col("content_hash"))
     kept = [c for c in ("manual_key", "manual_name", "manual_version", "metadata") if c in documents.columns]
     return rows.select(key.alias("chunk_id"), "document_id", "manual_id", "snapshot_id", "vehicle_model", *kept, "topic_id", title.alias("title"), "text", "section_path", "source_url", "content_hash", "section_index", "part_index")
-
-
-def _split_in(block: Column, limit: int) -> Column:
-    """split_block on a lambda variable."""
-    sentences = F.filter(F.transform(F.split(block, SENTENCE_ENDS), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
-    slices = F.transform(F.sequence(F.lit(0), ((F.length(block) - 1) / limit).cast("int")), lambda i: F.substring(block, i * limit + 1, F.lit(limit)))
-    none = F.expr("cast(struct(array() as done, '' as now) as struct<done: array<string>, now: string>)")
-
-    def step(a, s):
-        full = (a["now"] != "") & (F.length(a["now"]) + F.length(s) > limit)
-        return F.when(full, F.struct(F.array_append(a["done"], a["now"]).alias("done"), s.alias("now"))).otherwise(F.struct(a["done"].alias("done"), F.concat(a["now"], s).alias("now")))
-
-    packed = F.aggregate(sentences, none, step, lambda a: F.when(a["now"] == "", a["done"]).otherwise(F.array_append(a["done"], a["now"])))
-    return F.when(F.length(block) <= limit, F.array(block)).when(F.size(sentences) <= 1, slices).otherwise(packed)

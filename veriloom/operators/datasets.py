@@ -1,18 +1,19 @@
-"""Evaluation datasets: disjoint case selection from chunk tables.
+"""Evaluation datasets: disjoint cases from chunk tables, as queries over all readable chunks.
 
-The choice shares one set of used chunks across its four steps. For each step Spark finds, among all
-readable chunks that aren't used yet, the few that the step can look at, as many as the counts need.
+Every kind of case is a query of its own over the chunks that no kind before it has used (an
+anti-join with a handful of rows): what has to be next to each other, or first in its topic, manual
+or section, is a window; what is chosen from it is the first so many groups in order. Only single
+chunks depend on one another, as no two come from one topic: each tag's first candidates, at
+most as many as cases are asked for, meet in one row and are folded in turns.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import body, content_tag
+from ..session import written
 
 #: Fixed values.
 CASE_COUNTS = {"single_chunk": 18, "multi_chunk_same_topic": 8, "multi_topic": 10, "cross_manual": 6, "unanswerable": 8}
@@ -31,113 +32,77 @@ def readable(chunks: DataFrame) -> DataFrame:
     return rows.withColumn("section", section).withColumn("tag", content_tag(F.concat_ws(" ", "title", F.array_join("section_path", " "), "text")))
 
 
-COLUMNS = ("chunk_id", "manual_key", "topic_id", "section", "tag")
-
-
-def step_rows(rows: DataFrame, step: str, used: set, count: int) -> list:
-    """What a step chooses from, in order: of all free rows those that count cases can need."""
-    order = ["manual_key", "topic_id", "section", "chunk_id"]
-    free = rows.filter(~F.col("chunk_id").isin(list(used))) if used else rows
-
-    def firsts(some: DataFrame, n: int, by: list[str], along: list[str]) -> DataFrame:
-        return some.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*along))).filter(F.col("_n") <= n)
-
-    def among(some: DataFrame, key: str, enough: Column) -> DataFrame:
-        """Rows of the first count groups that give a case."""
-        names = [r[0] for r in some.groupBy(key).agg(enough.alias("_enough")).filter("_enough").orderBy(key).limit(count).collect()]
-        return some.filter(F.col(key).isin(names)) if names else some.limit(0)
-
-    if step == "single_chunk":  # a case takes one topic: the first row of as many topics a tag as there are cases
-        found = firsts(firsts(free, 1, ["tag", "manual_key", "topic_id"], order), count, ["tag"], order)
-    elif step == "multi_chunk_same_topic":  # the first two rows of a topic, of different sections
-        two = firsts(free, 2, ["manual_key", "topic_id"], order)
-        good = two.groupBy("manual_key", "topic_id").agg(F.count_distinct("section").alias("_s")).filter("_s > 1").orderBy("manual_key", "topic_id").limit(count)
-        same = two["manual_key"].eqNullSafe(good["manual_key"]) & two["topic_id"].eqNullSafe(good["topic_id"])
-        found = two.join(F.broadcast(good), same, "left_semi")
-    elif step == "multi_topic":  # the first rows of a manual's first two topics, and of the first topic of each tag
-        heads = firsts(free, 1, ["manual_key", "topic_id"], order).drop("_n")
-        heads = among(heads, "manual_key", F.count(F.lit(1)) > 1)
-        found = firsts(heads, 2, ["manual_key"], order).unionByName(firsts(heads, 1, ["manual_key", "tag"], order)).dropDuplicates(["chunk_id"])
-    else:  # the first rows of a section's first two manuals
-        heads = firsts(free.filter(F.length("section") >= 3), 1, ["section", "manual_key"], order).drop("_n")
-        found = firsts(among(heads, "section", F.count(F.lit(1)) > 1), 2, ["section"], order)
-    return found.select(*COLUMNS).orderBy(*order).collect()
-
-
-def choose(rows: list | Callable[[str, set], list], counts: dict[str, int] = CASE_COUNTS) -> list[tuple[str, str, list]]:
-    """(case_id, question_type, chunk ids) from ordered rows, or from those of each step and the used
-    chunks; raises where too few are found."""
-    used: set = set()
-    cases: list[tuple[str, str, list]] = []
-
-    def take(kind: str, prefix: str, found: list[list]) -> None:
-        if len(found) < counts[kind]:
-            raise RuntimeError(f"only {len(found)} of {counts[kind]} {kind} cases found")
-        cases.extend((f"{prefix}-{i:03d}", kind, [r["chunk_id"] for r in part]) for i, part in enumerate(found, 1))
-
-    def free(items: list) -> list:
-        return [r for r in items if r["chunk_id"] not in used]
-
-    def grouped(step: str, key: Callable) -> dict:
-        groups = defaultdict(list)
-        for r in rows(step, used) if callable(rows) else rows:
-            groups[key(r)].append(r)
-        return groups
-
-    by_tag = grouped("single_chunk", lambda r: r["tag"])
-    singles, topics = [], set()
-    queues = {tag: iter(by_tag[tag]) for tag in sorted(by_tag)}
-    while queues and len(singles) < counts["single_chunk"]:
-        for tag in list(queues):  # one of each tag in turn
-            row = next((r for r in queues[tag] if (r["manual_key"], r["topic_id"]) not in topics), None)
-            if row is None:
-                del queues[tag]
-            elif len(singles) < counts["single_chunk"]:
-                singles.append([row])
-                topics.add((row["manual_key"], row["topic_id"]))
-                used.add(row["chunk_id"])
-    take("single_chunk", "single", singles)
-
-    def pairs(kind: str, prefix: str, groups, pick) -> None:
-        found: list[list] = []
-        for items in groups:
-            if len(found) == counts[kind]:
-                break
-            pair = pick(free(items))
-            if pair:
-                found.append(pair)
-                used.update(r["chunk_id"] for r in pair)
-        take(kind, prefix, found)
-
-    def two_sections(items: list) -> list | None:
-        return items[:2] if len(items) > 1 and items[0]["section"] != items[1]["section"] else None
-
-    def two_topics(items: list) -> list | None:
-        firsts = list({r["topic_id"]: r for r in reversed(items)}.values())[::-1]
-        if len(firsts) < 2:
-            return None
-        return [firsts[0], next((r for r in firsts[1:] if r["tag"] != firsts[0]["tag"]), firsts[1])]
-
-    def two_manuals(items: list) -> list | None:
-        other = next((r for r in items[1:] if r["manual_key"] != items[0]["manual_key"]), None) if items else None
-        return [items[0], other] if other else None
-
-    pairs("multi_chunk_same_topic", "same-topic", grouped("multi_chunk_same_topic", lambda r: (r["manual_key"], r["topic_id"])).values(), two_sections)
-    by_manual = grouped("multi_topic", lambda r: r["manual_key"])
-    pairs("multi_topic", "multi-topic", (by_manual[m] for m in sorted(by_manual)), two_topics)
-    by_section = grouped("cross_manual", lambda r: r["section"])
-    pairs("cross_manual", "cross-manual", (by_section[s] for s in sorted(by_section) if len(s) >= 3), two_manuals)
-    take("unanswerable", "unanswerable", [[]] * counts["unanswerable"])
-    return cases
+#: The order in which chunks are looked at.
+ORDER = ("manual_key", "topic_id", "section", "chunk_id")
+
+
+def _nth(rows: DataFrame, by: list[str], n: int = 1) -> DataFrame:
+    """The first n rows of each group, with their place."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*ORDER))).filter(F.col("place") <= n)
+
+
+def singles(free: DataFrame, count: int) -> DataFrame:
+    """(n, chunk_ids): the tags in turn give their next chunk whose topic has no case yet."""
+    topics = _nth(free, ["tag", "manual_key", "topic_id"]).drop("place")
+    near = _nth(topics, ["tag"], count)  # a tag's turns pass at most count topics of others
+    row = F.struct(*ORDER, "tag", F.to_json(F.struct("manual_key", "topic_id")).alias("topic"))
+    held = near.agg(F.array_sort(F.collect_list(row)).alias("rows")).withColumn("tags", F.array_sort(F.array_distinct("rows.tag")))
+    kind = dict(free.dtypes)["chunk_id"]
+    fold = f"""aggregate(IF(size(tags) = 0, array(), sequence(0, {count} * size(tags) - 1)),
+      cast(struct(array() as ids, array() as topics) as struct<ids: array<{kind}>, topics: array<string>>),
+      (s, i) -> IF(size(s.ids) >= {count}, s, named_struct(
+        'ids', concat(s.ids, transform(slice(filter(rows, r -> r.tag = get(tags, i % size(tags)) AND NOT array_contains(s.topics, r.topic)), 1, 1), r -> r.chunk_id)),
+        'topics', concat(s.topics, transform(slice(filter(rows, r -> r.tag = get(tags, i % size(tags)) AND NOT array_contains(s.topics, r.topic)), 1, 1), r -> r.topic)))),
+      s -> s.ids)"""
+    return held.select(F.posexplode(F.expr(fold)).alias("n", "id")).select("n", F.array("id").alias("chunk_ids"))
+
+
+def _first_groups(pairs: DataFrame, by: list[str], count: int) -> DataFrame:
+    """(n, chunk_ids) of the first count groups, in order."""
+    firsts = pairs.orderBy(*by).limit(count)
+    return firsts.select((F.row_number().over(Window.orderBy(*by)) - 1).alias("n"), "chunk_ids")  # at most count rows
+
+
+def neighbours(free: DataFrame, count: int) -> DataFrame:
+    """Topics whose first two chunks stand in different sections."""
+    by = ["manual_key", "topic_id"]
+    told = _nth(free, by, 2).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("place", "chunk_id"))).alias("p"), F.count_distinct("section").alias("sections"))
+    return _first_groups(told.filter("sections = 2").select(*by, F.col("p.chunk_id").alias("chunk_ids")), by, count)
+
+
+def across_topics(free: DataFrame, count: int) -> DataFrame:
+    """Per manual its first topic's first chunk, with that of the first topic of another tag, or the second."""
+    heads = _nth(free, ["manual_key", "topic_id"]).drop("place")
+    here = Window.partitionBy("manual_key").orderBy(*ORDER)
+    heads = heads.withColumn("place", F.row_number().over(here)).withColumn("lead", F.first("tag").over(here))
+    told = heads.groupBy("manual_key").agg(
+        F.min_by("chunk_id", "place").alias("one"),
+        F.min_by("chunk_id", F.when(F.col("place") > 1, F.struct(F.col("tag").eqNullSafe(F.col("lead")), "place"))).alias("two"),
+        F.count(F.lit(1)).alias("topics"),
+    )
+    return _first_groups(told.filter("topics > 1").select("manual_key", F.array("one", "two").alias("chunk_ids")), ["manual_key"], count)
+
+
+def across_manuals(free: DataFrame, count: int) -> DataFrame:
+    """Sections (names of three characters or more) that two manuals have: the first chunk of each."""
+    heads = _nth(free.filter(F.length("section") >= 3), ["section", "manual_key"]).drop("place")
+    told = _nth(heads, ["section"], 2).groupBy("section").agg(F.array_sort(F.collect_list(F.struct("place", "chunk_id"))).alias("p")).filter(F.size("p") == 2)
+    return _first_groups(told.select("section", F.col("p.chunk_id").alias("chunk_ids")), ["section"], count)
+
+
+KINDS = (("single_chunk", "single", singles), ("multi_chunk_same_topic", "same-topic", neighbours), ("multi_topic", "multi-topic", across_topics), ("cross_manual", "cross-manual", across_manuals))
 
 
 def build_cases(chunks: DataFrame, counts: dict[str, int] = CASE_COUNTS) -> DataFrame:
-    """(case_id, question_type, answerable, gold_chunk_ids)."""
-    rows = readable(chunks).select(*COLUMNS).persist()
-    try:
-        picked = choose(lambda step, used: step_rows(rows, step, used, counts[step]), counts)
-    finally:
-        rows.unpersist()
-    spark = chunks.sparkSession
-    kind = dict(chunks.dtypes)["chunk_id"]
-    return spark.createDataFrame([(i, k, k != "unanswerable", list(g)) for i, k, g in picked], f"case_id string, question_type string, answerable boolean, gold_chunk_ids array<{kind}>")
+    """(case_id, question_type, answerable, gold_chunk_ids); raises where too few are found."""
+    free = written(readable(chunks).select(*ORDER, "tag"), "readable")
+    none = F.expr(f"cast(array() as array<{dict(free.dtypes)['chunk_id']}>)")
+    out = chunks.sparkSession.range(counts["unanswerable"]).select(F.format_string("unanswerable-%03d", F.col("id") + 1).alias("case_id"), F.lit("unanswerable").alias("question_type"), F.lit(False).alias("answerable"), none.alias("gold_chunk_ids"))
+    for kind, prefix, find in KINDS:
+        found = written(find(free, counts[kind]), f"cases-{kind}")
+        if (n := found.count()) < counts[kind]:
+            raise RuntimeError(f"only {n} of {counts[kind]} {kind} cases found")
+        out = out.unionByName(found.select(F.format_string(prefix + "-%03d", F.col("n") + 1).alias("case_id"), F.lit(kind).alias("question_type"), F.lit(True).alias("answerable"), F.col("chunk_ids").alias("gold_chunk_ids")))
+        # twice as many rows as cases are asked for, at most
+        free = free.join(F.broadcast(found.select(F.explode("chunk_ids").alias("chunk_id"))), "chunk_id", "left_anti")
+    return out

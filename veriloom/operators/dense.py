@@ -1,8 +1,9 @@
 """Exact cosine top-k for a batch of query vectors.
 
-A few queries are compared against all vectors. Up to BROADCAST_VALUES vector values the queries
-are broadcast (their number is checked) and each task keeps its own k best per query, so that only
-k rows per query and task are shuffled; beyond that the same runs in blocks of queries.
+A stated set of queries is compared against all vectors. Up to BROADCAST_VALUES vector values the
+queries are broadcast (their number is checked) and each task keeps its own k best per query, so that
+only k rows per query and task are shuffled. Beyond that queries and vectors are packed into blocks, a
+row each, and every pair of blocks gives its k best per query: nothing passes through the driver.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from .lexical import ranked
 
 #: 32 MB of doubles.
 BROADCAST_VALUES = 4_000_000
+#: Values of a block beyond that: 1 MB of doubles.
+BLOCK_VALUES = 131_072
 
 
 def check_dimension(vectors: DataFrame, dimension: int, column: str = "embedding") -> DataFrame:
@@ -73,21 +76,40 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int | None = 10, digits: in
     rows = vectors.select("chunk_id", F.col("ordinal").cast("long").alias("ordinal"), "embedding")
     if n:
         rows = check_dimension(rows, size)
-    # blocks of queries, so that what a block sends to executors has a bound
-    block = max(1, BROADCAST_VALUES // max(1, size or 1))
-    hits = rows.sparkSession.createDataFrame([], schema)
-    numbered = queries.orderBy("query_id") if n and n > block else queries
-    held = numbered.select("query_id", "embedding").toLocalIterator(prefetchPartitions=True) if n else iter(())
-    part: list = []
-
-    def best(some: list) -> DataFrame:
-        matrix = np.array([r["embedding"] for r in some], float)
-        return rows.mapInArrow(_local_best([r["query_id"] for r in some], to_arrow_type(schema["query_id"].dataType), matrix, k, digits), schema)
-
-    for row in held:
-        part.append(row)
-        if len(part) == block:
-            hits, part = hits.unionByName(best(part)), []
-    hits = hits.unionByName(best(part)) if part else hits
+    if n * (size or 1) <= BROADCAST_VALUES:
+        held = queries.select("query_id", "embedding").collect()
+        if not held:
+            return ranked(rows.sparkSession.createDataFrame([], schema), k, F.col("score").desc(), F.col("ordinal"))
+        matrix = np.array([r["embedding"] for r in held], float)
+        hits = rows.mapInArrow(_local_best([r["query_id"] for r in held], to_arrow_type(schema["query_id"].dataType), matrix, k, digits), schema)
+    else:
+        asked = _blocks(queries.select("query_id", F.lit(0).cast("long").alias("o"), "embedding"), "q", max(1, BLOCK_VALUES // size))
+        blocks = _blocks(rows, "v", max(1, BLOCK_VALUES // size)).crossJoin(asked)  # blocks of a stated query set
+        hits = blocks.mapInArrow(_block_best(size, to_arrow_type(schema["query_id"].dataType), k, digits), schema)
     return ranked(hits, k, F.col("score").desc(), F.col("ordinal"))
 
+
+def _blocks(rows: DataFrame, name: str, most: int) -> DataFrame:
+    """(key, ordinal, embedding) rows packed: ids, ordinals and values of up to `most` of them a row."""
+    kind = rows.dtypes[0][1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, most):
+                part = batch.slice(at, most)
+                values = part.column(2).flatten().cast(pa.float64()).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.list_(t)) for x, t in ((part.column(0).to_pylist(), part.column(0).type), (part.column(1).to_pylist(), pa.int64()), (values, pa.float64()))], [f"{name}_ids", f"{name}_ordinals", f"{name}_values"])
+
+    return rows.mapInArrow(run, f"{name}_ids array<{kind}>, {name}_ordinals array<bigint>, {name}_values array<double>")
+
+
+def _block_best(size: int, id_type: pa.DataType, k: int | None, digits: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, ordinals, values, asked, _, matrix = (batch.column(j)[i] for j in range(6))
+                rows = pa.RecordBatch.from_arrays([ids.values, ordinals.values, pa.FixedSizeListArray.from_arrays(values.values, size)], ["chunk_id", "ordinal", "embedding"])
+                best = _local_best(asked.as_py(), id_type, matrix.values.to_numpy().reshape(-1, size), k, digits)
+                yield from best(iter([rows]))
+
+    return run

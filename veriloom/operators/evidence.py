@@ -19,7 +19,6 @@ def select_evidence(hits: DataFrame, top_k: int = 3, min_score: float = 0.0, per
     """
     row = F.struct("rank", "chunk_id", F.col("score").cast("double").alias("score"), "topic_id", "content_hash")
     held = hits.filter(F.col("rank") <= candidate_k).groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    element = held.schema["rows"].dataType.simpleString()
     fold = f"""
       aggregate(rows,
         cast(struct(array() as hashes, array() as topics, array() as reasons) as struct<hashes: array<string>, topics: array<string>, reasons: array<string>>),
@@ -36,7 +35,6 @@ def select_evidence(hits: DataFrame, top_k: int = 3, min_score: float = 0.0, per
       'hashes', IF(({reason}) = 'selected', array_append(acc.hashes, cast(x.content_hash as string)), acc.hashes),
       'topics', IF(({reason}) = 'selected', array_append(acc.topics, cast(x.topic_id as string)), acc.topics),
       'reasons', array_append(acc.reasons, {reason}))"""
-    del element
     told = held.select("query_id", "rows", F.expr(fold.replace("struct_step", step)).alias("reasons"))
     out = told.select("query_id", F.explode(F.arrays_zip("rows", "reasons")).alias("z"))
     return out.select("query_id", "z.rows.*", F.col("z.reasons").alias("reason"), (F.col("z.reasons") == "selected").alias("selected"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import written
 
 K1, B = 1.5, 0.75
 
@@ -62,3 +63,21 @@ def bm25(posts: DataFrame, stats: DataFrame, queries: DataFrame, k: int | None =
     score = F.sum(F.col("w") * F.col("qtf"))
     hits = asked.join(weighted, keys).groupBy("query_id", "chunk_id", "ordinal").agg((F.round(score, digits) if digits is not None else score).alias("score"))
     return ranked(hits.filter(F.col("score") > 0), k, F.col("score").desc(), F.col("ordinal").desc())
+
+
+def search(chunks: DataFrame, queries: DataFrame, k: int | None = 10, k1: float = K1, b: float = B, digits: int | None = None, text: str = "text", group: str | None = None) -> DataFrame:
+    """bm25() over chunks that have no postings yet: they are read and tokenised once.
+
+    Only postings of asked tokens are written, beside one row without a token per chunk for the
+    statistics.
+    """
+    more = [group] if group else []
+    asked = queries.select(F.explode(tokens(F.col("text"))).alias("token")).distinct().withColumn("asked", F.lit(True))
+    rows = chunks.select("chunk_id", "ordinal", *more, tokens(F.col(text)).alias("ts"))
+    rows = rows.select("chunk_id", "ordinal", *more, F.size("ts").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "ts")).alias("token"))
+    met = rows.join(asked, "token", "left").filter(F.col("asked") | F.col("token").isNull())
+    posts = written(met.groupBy("token", "chunk_id", "ordinal", "dl", *more).agg(F.count(F.lit(1)).alias("tf")), "postings")
+    every = posts.filter(F.col("token").isNull())
+    average = F.avg("dl")
+    stats = (every.groupBy(group) if group else every).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.when(average > 0, average), F.lit(1.0)).alias("avgdl"))
+    return bm25(posts.filter(F.col("token").isNotNull()), stats, queries, k, k1, b, digits, group)

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 STRATEGIES = ("single_query", "rrf", "multi_query")
-#: JSON keys under which a planner may answer, in the order they are asked for.
 #: What planners are asked, by processor; answers are JSON objects.
 PROMPTS = {
     "rewrite": 'Rewrite the question as one precise search query. Answer as JSON: {{"query": "..."}}\n{question}',
@@ -23,6 +22,7 @@ PROMPTS = {
     "multi_query": 'Write different search queries for the question. Answer as JSON: {{"queries": ["..."]}}\n{question}',
     "decomposition": 'Split the question into sub-questions that can be searched alone. Answer as JSON: {{"queries": ["..."]}}\n{question}',
 }
+#: JSON keys under which a planner may answer, in the order they are asked for.
 KEYS = {"rewrite": ("query", "rewrite", "rewritten_query"), "hyde": ("query", "hypothetical_document", "hyde")}
 
 
@@ -90,17 +90,33 @@ def decomposition(questions: DataFrame, most: int = 4, answer: str = "answer") -
     return _several(questions, "decomposition", most, answer)
 
 
-def planned(questions: DataFrame, prompt: str, client: Callable[[], Callable[[str], str]]) -> DataFrame:
-    """questions with a planner's answer: client() is called once per worker, its result per question."""
+def asking(client: Callable[[], Callable[[str], str]]):
+    """A pandas UDF (prompt) over a client that is loaded once per worker; a null prompt asks nothing."""
     held: list = []
 
     @F.pandas_udf("string")
-    def ask(text: pd.Series) -> pd.Series:
+    def ask(prompt: pd.Series) -> pd.Series:
         if not held:
             held.append(client())
-        return text.map(lambda q: held[0](prompt.format(question=q)))
+        return pd.Series([None if p is None else held[0](p) for p in prompt], dtype=object)
 
-    return questions.withColumn("answer", ask("text"))
+    return ask
+
+
+def planned(questions: DataFrame, prompt: str, client: Callable[[], Callable[[str], str]]) -> DataFrame:
+    """questions with a planner's answer: client() is called once per worker, its result per question."""
+    before, after = prompt.replace("{{", "{").replace("}}", "}").split("{question}")
+    return questions.withColumn("answer", asking(client)(F.concat(F.lit(before), "text", F.lit(after))))
+
+
+def faults(questions: DataFrame, processor: str, most_chars: int) -> DataFrame:
+    """(query_id, error) of questions that a processor cannot take: blank or too long, or with a
+    planner's answer (a column) that is no JSON object."""
+    text = T.squeeze(F.coalesce("text", F.lit("")))
+    error = F.when(F.length(text) == 0, "query is empty").when(F.length("text") > most_chars, f"questions have 1 to {most_chars} characters")
+    if processor in PROMPTS and "answer" in questions.columns:
+        error = error.when(~F.coalesce(F.startswith(F.get_json_object("answer", "$"), F.lit("{")), F.lit(False)), "planner answer is not a JSON object")
+    return questions.select("query_id", error.alias("error")).filter(F.col("error").isNotNull())
 
 
 def validated(plans: DataFrame) -> DataFrame:

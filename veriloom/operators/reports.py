@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Cells of equal width that a label's values are counted in.
+BUCKETS = 4096
 LATENCY_BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 
 
@@ -41,9 +43,35 @@ def latency_histogram(requests: DataFrame, value: str, *labels: str, bounds: tup
     return counts.select(*labels, "count", "sum", F.explode(buckets).alias("b")).select(*labels, "b.le", "b.bucket", "count", "sum")
 
 
-def latency_percentiles(requests: DataFrame, value: str, *labels: str) -> DataFrame:
-    p = lambda q: F.percentile(value, F.lit(q))
-    return requests.groupBy(*labels).agg(p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"))
+def latency_percentiles(requests: DataFrame, value: str, *labels: str, shares: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """Exact percentiles (linear between neighbours) by label, as p50, p95, ...; null values don't count.
+
+    A percentile is met by rank: values are counted by leading bits first, in a table of at most
+    BUCKETS rows per label, and only the buckets that hold a wanted rank are looked at again, where
+    equal values are one row. No label's values come together in one task.
+    """
+    rows = requests.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*labels, F.col(value).cast("double").alias("v"))
+    edges = rows.groupBy(*labels).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n"))
+    edges = edges.select(*(F.col(c).alias(f"l_{c}") for c in labels), "low", "high", "n")
+    mine = [F.col(c).eqNullSafe(F.col(f"l_{c}")) for c in labels]
+    rows = rows.join(edges, mine) if labels else rows.crossJoin(F.broadcast(edges))  # one row
+    cell = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * BUCKETS), F.lit(BUCKETS - 1))).otherwise(F.lit(0))
+    rows = rows.withColumn("cell", cell.cast("int"))
+    cells = rows.groupBy(*labels, "cell").agg(F.count(F.lit(1)).alias("here"), F.max("n").alias("n"))
+    before = Window.partitionBy(*labels).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("ahead", F.coalesce(F.sum("here").over(before), F.lit(0)))
+    wanted = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), (F.lit(q) * (F.col("n") - 1)).alias("at")) for i, q in enumerate(shares))))
+    asked = cells.select(*labels, "cell", "here", "ahead", wanted.alias("w")).select(*labels, "cell", "here", "ahead", F.col("w.i").alias("i"), F.col("w.at").alias("at"), F.explode(F.array(F.floor("w.at"), F.ceil("w.at"))).alias("rank"))
+    asked = asked.filter((F.col("rank") >= F.col("ahead")) & (F.col("rank") < F.col("ahead") + F.col("here"))).distinct()
+    asked = asked.select(*(F.col(c).alias(f"a_{c}") for c in labels), F.col("cell").alias("a_cell"), "ahead", "i", "at", "rank")
+    near = [F.col(c).eqNullSafe(F.col(f"a_{c}")) for c in labels] + [F.col("cell") == F.col("a_cell")]
+    values = rows.groupBy(*labels, "cell", "v").agg(F.count(F.lit(1)).alias("times"))
+    upto = Window.partitionBy(*labels, "cell").orderBy("v")
+    values = values.join(F.broadcast(asked.select(*(F.col(f"a_{c}") for c in labels), "a_cell").distinct()), near, "left_semi").withColumn("upto", F.sum("times").over(upto))
+    met = values.join(asked, near).filter((F.col("ahead") + F.col("upto") > F.col("rank")) & (F.col("ahead") + F.col("upto") - F.col("times") <= F.col("rank")))
+    told = met.groupBy(*labels, "i", "at").agg(F.min_by("v", "rank").alias("a"), F.max_by("v", "rank").alias("b"))
+    told = told.withColumn("p", F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at")))
+    return told.groupBy(*labels).agg(*(F.max(F.when(F.col("i") == i, F.col("p"))).alias(f"p{round(q * 100)}") for i, q in enumerate(shares)))
 
 
 def suite_status(runs: DataFrame, suite: str = "suite_id") -> DataFrame:
@@ -87,12 +115,3 @@ def first_wins(rows: DataFrame, key: str, ordinal: str) -> DataFrame:
     """The first row per key: unlike dropDuplicates, by a defined order."""
     held = F.struct(*rows.columns)
     return rows.groupBy(F.col(key).alias("_k")).agg(F.min_by(held, ordinal).alias("_r")).select("_r.*")
-
-
-def tag_counts(rows: DataFrame, tag: Column) -> DataFrame:
-    return rows.groupBy(tag.alias("tag")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def recent_first(rows: DataFrame, by: str, most: int) -> DataFrame:
-    """The rows with the largest `by`, at most `most` (capacity eviction)."""
-    return rows.orderBy(F.col(by).desc()).limit(most)

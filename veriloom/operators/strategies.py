@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import shared_folder, written
 from . import answers, evidence, fuse
+from .planning import asking
 from .graph import graph_retrieve
 
 Retriever = Callable[[DataFrame], DataFrame]
@@ -34,30 +35,38 @@ def coerced_action(value: str) -> Column:
     return F.when(F.lower(word).isin(*ACTIONS), F.lower(word)).otherwise("stop")
 
 
-def vanilla(questions: DataFrame, hits: DataFrame, chunks: DataFrame, top_k: int = 3, min_score: float = 0.0, per_topic: int = 2, repairs: int = 1, candidate_k: int = 20) -> DataFrame:
-    """Candidates to evidence to answers."""
+def vanilla(questions: DataFrame, hits: DataFrame, chunks: DataFrame, top_k: int = 3, min_score: float = 0.0, per_topic: int = 2, repairs: int = 1, candidate_k: int = 20, drafts: tuple | None = None) -> DataFrame:
+    """Candidates to evidence to answers. drafts: (draft, repair) of a model generator."""
     told = hits.filter(F.col("rank") <= candidate_k).join(chunks.select("chunk_id", "topic_id", "content_hash"), "chunk_id")
     chosen = evidence.select_evidence(told, top_k, min_score, per_topic, candidate_k)
-    return answers.finished(answers.gathered(questions, chosen, chunks), repairs)
+    rows = answers.gathered(questions, chosen, chunks)
+    return answers.finished(rows, repairs) if drafts is None else answers.finished(rows, repairs, draft=drafts[0], repair=drafts[1])
 
 
-def self_reflective(questions: DataFrame, retrieve: Retriever, assess: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """hits after at most one rewrite.
+def self_reflective(questions: DataFrame, retrieve: Retriever, assess: Callable[[DataFrame, DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """hits after at most one rewrite, and (query_id, rounds, asked) for each question.
 
     assess(questions, hits) gives (query_id, sufficient, rewritten). Questions judged insufficient
     with a rewrite that is not blank and differs are retrieved again; that replaces their hits.
     """
-    hits = retrieve(questions)
+    hits = written(retrieve(questions), "first-hits")
     judged = assess(questions, hits)
     new = F.trim(F.coalesce("rewritten", F.lit("")))
-    again = questions.join(judged, "query_id").filter(~F.col("sufficient") & (new != "") & (new != F.trim("text"))).select("query_id", new.alias("text"))
-    return hits.join(again.select("query_id"), "query_id", "left_anti").unionByName(retrieve(again))
+    again = written(questions.join(judged, "query_id").filter(~F.col("sufficient") & (new != "") & (new != F.trim("text"))).select("query_id", new.alias("text")), "rewritten")
+    told = questions.select("query_id", "text").join(again.withColumnRenamed("text", "rewrite"), "query_id", "left")
+    rounds = told.select("query_id", F.when(F.col("rewrite").isNull(), 1).otherwise(2).alias("rounds"), F.coalesce("rewrite", "text").alias("asked"))
+    return hits.join(again.select("query_id"), "query_id", "left_anti").unionByName(retrieve(again)), rounds
 
 
 def supported_or_refused(answered: DataFrame, supported: Column) -> DataFrame:
-    """Answers whose support check fails become refusals."""
-    bad = ~F.col("refused") & ~supported
-    return answered.withColumn("answer", F.when(bad, answers.REFUSAL).otherwise(F.col("answer"))).withColumn("citations", F.when(bad, F.slice("citations", 1, 0)).otherwise(F.col("citations"))).withColumn("refused", F.col("refused") | bad)
+    """Answers whose support check fails become refusals. supported: a verdict, or a controller's answer."""
+    answered = answered.withColumn("_told", supported)
+    if answered.schema["_told"].dataType.simpleString() == "string":
+        answered = answered.withColumn("_told", coerced_bool("_told", "supported", "sufficient"))
+    bad = ~F.col("refused") & ~F.coalesce("_told", F.lit(False))
+    answered = answered.withColumn("_bad", bad).drop("_told")
+    bad = F.col("_bad")
+    return answered.withColumn("answer", F.when(bad, answers.REFUSAL).otherwise(F.col("answer"))).withColumn("citations", F.when(bad, F.slice("citations", 1, 0)).otherwise(F.col("citations"))).withColumn("refused", F.col("refused") | bad).drop("_bad")
 
 
 def agentic(questions: DataFrame, retrieve: Retriever, act: Callable[[DataFrame, DataFrame | None, int], DataFrame], max_steps: int = 4) -> DataFrame:
@@ -83,19 +92,61 @@ def agentic(questions: DataFrame, retrieve: Retriever, act: Callable[[DataFrame,
     return held
 
 
-def heuristic_action(questions: DataFrame, candidates: DataFrame | None, step: int) -> DataFrame:
-    """Retrieve once, then answer."""
-    none = questions.select("query_id", F.lit("retrieve").alias("action"), F.lit(None).cast("string").alias("query"))
-    if candidates is None:
-        return none
-    has = candidates.select("query_id").distinct().withColumn("has", F.lit(True))
-    return questions.select("query_id").join(has, "query_id", "left").select("query_id", F.when(F.col("has"), "answer").otherwise("retrieve").alias("action"), F.lit(None).cast("string").alias("query"))
+class Heuristic:
+    """Controllers without a model: retrieve once and then answer; any candidate suffices."""
 
+    def assess(self, questions: DataFrame, hits: DataFrame) -> DataFrame:
+        has = hits.select("query_id").distinct().withColumn("sufficient", F.lit(True))
+        return questions.select("query_id", F.col("text").alias("rewritten")).join(has, "query_id", "left").select("query_id", F.coalesce("sufficient", F.lit(False)).alias("sufficient"), "rewritten")
 
-def heuristic_assessment(questions: DataFrame, hits: DataFrame) -> DataFrame:
-    """Sufficient if there is any candidate; the rewrite is the question itself."""
-    has = hits.select("query_id").distinct().withColumn("sufficient", F.lit(True))
-    return questions.select("query_id", F.col("text").alias("rewritten")).join(has, "query_id", "left").select("query_id", F.coalesce("sufficient", F.lit(False)).alias("sufficient"), "rewritten")
+    def act(self, questions: DataFrame, candidates: DataFrame | None, step: int) -> DataFrame:
+        nothing = F.lit(None).cast("string").alias("query")
+        if candidates is None:
+            return questions.select("query_id", F.lit("retrieve").alias("action"), nothing)
+        has = candidates.select("query_id").distinct().withColumn("has", F.lit(True))
+        return questions.select("query_id").join(has, "query_id", "left").select("query_id", F.when(F.col("has"), "answer").otherwise("retrieve").alias("action"), nothing)
+
+    def supported(self) -> Column:
+        return F.lit(True)
+
+
+#: Candidates that a controller is shown, and characters of each.
+SHOWN, SHOWN_CHARS = 6, 400
+CONTROL = {
+    "assess": 'Does the evidence suffice to answer the question? Answer as JSON: {"sufficient": true or false, "rewritten_query": "..."}',
+    "act": 'What is to be done next? Answer as JSON: {"action": "retrieve" or "answer" or "stop", "query": "..."}',
+    "support": 'Does the evidence support the answer? Answer as JSON: {"supported": true or false}',
+}
+
+
+class Asked:
+    """Controllers that ask a model, with the first SHOWN candidates as its context."""
+
+    def __init__(self, client: Callable[[], Callable[[str], str]], chunks: DataFrame):
+        self.ask, self.chunks = asking(client), chunks
+
+    def _told(self, questions: DataFrame, hits: DataFrame | None, task: str) -> DataFrame:
+        """(query_id, text, told): the model's answer per question."""
+        rows = questions.select("query_id", "text")
+        shown = F.lit("")
+        if hits is not None:
+            near = hits.filter(F.col("rank") <= SHOWN).join(self.chunks.select("chunk_id", F.substring("text", 1, SHOWN_CHARS).alias("shown")), "chunk_id")
+            rows = rows.join(near.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "shown"))).alias("near")), "query_id", "left")
+            shown = F.coalesce(F.array_join(F.transform("near", lambda x: F.concat(F.lit("["), x["rank"].cast("string"), F.lit("] "), x["shown"])), "\n"), F.lit(""))
+        prompt = F.concat(F.lit(CONTROL[task] + "\nQuestion: "), "text", F.lit("\nEvidence:\n"), shown)
+        return rows.select("query_id", "text", self.ask(prompt).alias("told"))
+
+    def assess(self, questions: DataFrame, hits: DataFrame) -> DataFrame:
+        rewritten = F.coalesce(*(F.get_json_object("told", f"$.{n}") for n in ("rewritten_query", "rewrite", "query")))
+        return self._told(questions, hits, "assess").select("query_id", coerced_bool("told", "sufficient", "enough").alias("sufficient"), rewritten.alias("rewritten"))
+
+    def act(self, questions: DataFrame, candidates: DataFrame | None, step: int) -> DataFrame:
+        return self._told(questions, candidates, "act").select("query_id", coerced_action("told").alias("action"), F.get_json_object("told", "$.query").alias("query"))
+
+    def supported(self) -> Column:
+        """For answered rows: text, evidence, answer, refused. Refusals are not asked about."""
+        prompt = F.concat(F.lit(CONTROL["support"] + "\nQuestion: "), "text", F.lit("\nAnswer: "), "answer", F.lit("\nEvidence:\n"), answers.evidence_prompt(F.col("evidence")))
+        return self.ask(F.when(~F.col("refused"), prompt))
 
 
 def graph(questions: DataFrame, chunks: DataFrame, k: int = 10, **options) -> DataFrame:

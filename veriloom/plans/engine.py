@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.filters import RetrievalFilters
-from ..functions.vectors import hash_embed
 from ..operators import answers, dense, evidence, fuse, lexical, planning, rerank, strategies
-from .registry import QUERY_PROCESSORS, RERANKERS, RETRIEVERS, STRATEGIES, require
+from ..session import written
+from . import registry
+from .registry import Clients, require
 from .settings import Settings
 
 QUESTION_CHARS, TOP_K_MOST = 2000, 50
@@ -20,43 +21,59 @@ class Engine:
     """Retrieval and answering over a chunk table.
 
     chunks: chunk_id, ordinal, text, topic_id, content_hash, title, section_path, source_url, and an
-    embedding where a dense or hybrid retriever is asked for.
+    embedding where a dense or hybrid retriever is asked for. All components are what the settings
+    name; those that are models need their client.
     """
 
-    def __init__(self, chunks: DataFrame, settings: Settings = Settings(), postings: DataFrame | None = None):
-        self.chunks, self.settings = chunks, settings
-        require(dict.fromkeys(RETRIEVERS), settings.retrieval.retriever, "retriever")
-        require(RERANKERS, settings.reranker, "reranker")
-        require(QUERY_PROCESSORS, settings.query.processor, "query processor")
-        require(dict.fromkeys(STRATEGIES), settings.strategy, "strategy")
+    def __init__(self, chunks: DataFrame, settings: Settings = Settings(), postings: DataFrame | None = None, clients: Clients = Clients()):
+        self.chunks, self.settings, self.clients = chunks, settings, clients
+        named = lambda of, name, what: require(of, name, what)(settings, clients)
+        require(registry.RETRIEVERS, settings.retrieval.retriever, "retriever")
+        require(registry.QUERY_PROCESSORS, settings.query.processor, "query processor")
+        require(registry.STRATEGIES, settings.strategy, "strategy")
+        require(registry.VECTOR_STORES, settings.vector_store, "vector store")
+        require(registry.EVIDENCE_SELECTORS, settings.evidence_selector, "evidence selector")
+        self.chunk = named(registry.CHUNKERS, settings.chunker, "chunker")
+        self.embed = named(registry.EMBEDDERS, settings.embedder, "embedder")
+        self.rerank_score = named(registry.RERANKERS, settings.reranker, "reranker")
+        self.drafts = named(registry.GENERATORS, settings.generator, "generator")
+        self.controller = require(registry.CONTROLLERS, settings.controller, "controller")(settings, clients, chunks)
         self._postings = postings
 
-    @property
-    def postings(self) -> DataFrame:
-        if self._postings is None:
-            self._postings = lexical.postings(self.chunks)
-        return self._postings
-
     def filtered(self, filters: RetrievalFilters) -> Engine:
         """The same engine over the chunks a filter lets through: corpus statistics follow."""
-        return Engine(self.chunks.filter(filters.predicate()), self.settings)
+        return Engine(self.chunks.filter(filters.predicate()), self.settings, clients=self.clients)
+
+    def health(self) -> dict:
+        """Component names, and the number of chunks."""
+        s = self.settings
+        return {"status": "ok", "embedder": s.embedder, "reranker": s.reranker, "generator": s.generator, "retriever": s.retrieval.retriever, "strategy": s.strategy, "chunks": self.chunks.count()}
 
     def raw_hits(self, queries: DataFrame, k: int) -> DataFrame:
         """One ranking per (query_id): by the configured retriever."""
         r = self.settings.retrieval
-        bm25 = lambda: lexical.bm25(self.postings, lexical.corpus_stats(self.chunks), queries, k, r.bm25_k1, r.bm25_b)
+
+        def bm25() -> DataFrame:
+            if self._postings is None:
+                return lexical.search(self.chunks, queries, k, r.bm25_k1, r.bm25_b, r.score_digits)
+            return lexical.bm25(self._postings, lexical.corpus_stats(self.chunks), queries, k, r.bm25_k1, r.bm25_b, r.score_digits)
+
         if r.retriever == "bm25":
             return bm25().select("query_id", "chunk_id", "score", "rank")
-        vectors = hash_embed(queries.select(F.col("query_id").alias("id"), "text"), self.settings.dimension).withColumnRenamed("id", "query_id")
-        near = dense.dense(self.chunks, vectors, k)
+        vectors = self.embed(queries.select(F.col("query_id").alias("id"), "text")).withColumnRenamed("id", "query_id")
+        near = dense.dense(self.chunks, vectors, k, r.score_digits)
         if r.retriever == "dense":
             return near.select("query_id", "chunk_id", "score", "rank")
-        return fuse.hybrid(near, bm25(), k, r.rrf_k).select("query_id", "chunk_id", "score", "rank")
+        return fuse.hybrid(near, bm25(), k, r.rrf_k, r.score_digits).select("query_id", "chunk_id", "score", "rank")
 
     def plan(self, questions: DataFrame) -> DataFrame:
         size = F.length("text").between(1, QUESTION_CHARS)
         checked = questions.withColumn("text", F.when(size, F.col("text")).otherwise(F.raise_error(F.lit(f"questions have 1 to {QUESTION_CHARS} characters")).cast("string")))
-        return planning.validated(QUERY_PROCESSORS[self.settings.query.processor](checked, self.settings.query))
+        return planning.validated(registry.QUERY_PROCESSORS[self.settings.query.processor](checked, self.settings.query, self.clients))
+
+    def faults(self, questions: DataFrame) -> DataFrame:
+        """(query_id, error) of the questions that plan() would raise for."""
+        return planning.faults(questions, self.settings.query.processor, QUESTION_CHARS)
 
     def retrieve(self, questions: DataFrame, top_k: int | None = None) -> DataFrame:
         """query_id, chunk_id, score, rank, recall_score, rerank_score."""
@@ -66,19 +83,19 @@ class Engine:
         if self.settings.strategy == "graph_rag":  # neither processors nor rerankers apply
             return rerank.noop(strategies.graph(questions, self.chunks, k).select("query_id", "chunk_id", "score", "rank"))
         candidate_k = max(k, self.settings.retrieval.candidate_top_k)
-        plans = self.plan(questions)
+        plans = written(self.plan(questions), "plans")
         subs = fuse.sub_queries(plans).select(F.struct("query_id", "query_index").alias("query_id"), "text")
-        runs = self._by_struct(subs, candidate_k)
+        runs = written(self._by_struct(subs, candidate_k), "runs")
         # a plan of one query keeps its scores, others are fused; both are the same question's rows
         alone = plans.filter("fusion_strategy = 'single_query'").select("query_id")
         single = runs.join(alone, "query_id", "left_semi").select("query_id", "chunk_id", "score", "rank")
-        fused = fuse.multi_query(runs.join(alone, "query_id", "left_anti"), self.settings.retrieval.rrf_k).select("query_id", "chunk_id", "score", "rank")
+        fused = fuse.multi_query(runs.join(alone, "query_id", "left_anti"), self.settings.retrieval.rrf_k, self.settings.retrieval.score_digits).select("query_id", "chunk_id", "score", "rank")
         hits = single.unionByName(fused)
-        if self.settings.reranker == "noop":
+        if self.rerank_score is None:
             out = rerank.noop(hits)
         else:
             pairs = hits.join(plans.select("query_id", F.col("text").alias("query")), "query_id").join(self.chunks.select("chunk_id", "text"), "chunk_id")
-            out = rerank.rerank(pairs)
+            out = rerank.rerank(pairs, self.rerank_score(F.col("query"), F.col("text")))
         return out.filter(F.col("rank") <= k).select("query_id", "chunk_id", "score", "rank", "recall_score", "rerank_score")
 
     def _by_struct(self, subs: DataFrame, k: int) -> DataFrame:
@@ -88,27 +105,35 @@ class Engine:
         return hits.withColumn("q", F.from_json("query_id", kind)).select(F.col("q.query_id").alias("query_id"), F.col("q.query_index").alias("query_index"), "chunk_id", "score", "rank")
 
     def chat(self, questions: DataFrame) -> DataFrame:
-        """Answers: text, citations, evidence, refused, citation_validated."""
+        """Answers: text, citations, evidence, refused, citation_validated; rounds and asked for self_rag."""
         r = self.settings.retrieval
-        wide = Engine(self.chunks, replace(self.settings, retrieval=replace(r, top_k=min(TOP_K_MOST, r.candidate_top_k))), self._postings)
+        wide = Engine(self.chunks, replace(self.settings, retrieval=replace(r, top_k=min(TOP_K_MOST, r.candidate_top_k))), self._postings, self.clients)
         ask = lambda q: wide.retrieve(q).select("query_id", "chunk_id", "score", "rank")
+        rounds = None
         if self.settings.strategy == "self_rag":
-            hits = strategies.self_reflective(questions, ask, strategies.heuristic_assessment)
+            hits, rounds = strategies.self_reflective(questions, ask, self.controller.assess)
         elif self.settings.strategy == "agentic_rag":
-            hits = strategies.agentic(questions, ask, strategies.heuristic_action, self.settings.max_steps)
+            hits = strategies.agentic(questions, ask, self.controller.act, self.settings.max_steps)
         else:
             hits = ask(questions)
-        return strategies.vanilla(questions, hits, self.chunks, r.top_k, r.min_score, r.per_topic_limit, self.settings.max_repairs, r.candidate_top_k)
+        out = strategies.vanilla(questions, hits, self.chunks, r.top_k, r.min_score, r.per_topic_limit, self.settings.max_repairs, r.candidate_top_k, self.drafts)
+        if rounds is not None:
+            out = strategies.supported_or_refused(out, self.controller.supported()).join(rounds, "query_id")
+        return out
 
 
 def evaluate(engines: dict[str, Engine], questions: DataFrame, cases: DataFrame, gold: DataFrame, k: int = 10) -> DataFrame:
-    """All configurations over all cases: config_id and per-case metrics."""
+    """All configurations over all cases: config_id and per-case metrics.
+
+    Questions that a configuration cannot take (Engine.faults) are left out of its rows.
+    """
     from ..operators.metrics import retrieval_cases
 
     out = None
     for name, engine in engines.items():
-        hits = engine.retrieve(questions, k).withColumnRenamed("query_id", "case_id")
-        rows = retrieval_cases(cases, gold, hits).withColumn("config_id", F.lit(name))
+        bad = engine.faults(questions).select("query_id")
+        hits = engine.retrieve(questions.join(bad, "query_id", "left_anti"), k).withColumnRenamed("query_id", "case_id")
+        rows = retrieval_cases(cases.join(bad.withColumnRenamed("query_id", "case_id"), "case_id", "left_anti"), gold, hits).withColumn("config_id", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
     return out
 

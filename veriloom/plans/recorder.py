@@ -24,13 +24,11 @@ class Recorder:
             raise ValueError(f"level is one of: {', '.join(LEVELS)}")
         self.spark, self.trace_id, self.level, self.max_events = spark, trace_id, level, max_events
         self.rows: list[tuple] = []
-        self.dropped = 0
 
     def emit(self, stage: str, event: str, status: str = "running", elapsed_ms: float | None = None, payload: dict | None = None) -> None:
-        """Beyond max_events, events are counted and not kept: a trace can always be completed."""
+        """More than max_events raise; the end of a trace is always kept, so that none stays running."""
         if len(self.rows) >= self.max_events and status == "running":
-            self.dropped += 1
-            return
+            raise RuntimeError(f"trace {self.trace_id} has more than {self.max_events} events")
         self.rows.append((self.trace_id, len(self.rows) + 1, datetime.now(timezone.utc), stage, event, status, elapsed_ms, json.dumps(payload or {}, default=str, sort_keys=True)))
 
     def events(self) -> DataFrame:
@@ -42,7 +40,7 @@ class Recorder:
         token = _active.set(self)
         try:
             yield self
-            self.emit("trace", "trace.completed", "completed", payload={"dropped": self.dropped})
+            self.emit("trace", "trace.completed", "completed")
         except Exception as error:
             self.emit("trace", "trace.failed", "failed", payload={"error": type(error).__name__})
             raise

@@ -1,36 +1,97 @@
-"""Components by name; unknown names raise with the choices."""
+"""Components by name; unknown names raise with the choices, names without their client raise too."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.vectors import hash_embed
-from ..operators import answers, evidence, planning, rerank
-from ..operators.chunking import chunk_documents
+from ..operators import answers, evidence, planning, rerank, strategies
+from ..operators.chunking import Chunking, chunk_documents
+
+Load = Callable[[], Callable]
+
+
+@dataclass(frozen=True)
+class Clients:
+    """Model clients: functions that load one, called once per Python worker.
+
+    embedder: texts -> vectors. reranker: (query, text) pairs -> scores. generator: question,
+    prompt -> answer. planner, controller: prompt -> answer.
+    """
+
+    embedder: Load | None = None
+    reranker: Load | None = None
+    generator: Load | None = None
+    planner: Load | None = None
+    controller: Load | None = None
+
+
+def _of(clients: Clients, role: str, name: str) -> Load:
+    client = getattr(clients, role)
+    if client is None:
+        raise RuntimeError(f"{name} needs a {role} client: pass Clients({role}=...) to the engine")
+    return client
 
-MODEL_ONLY = "needs a model client: pass one to the engine"
 
+def model_embed(texts: DataFrame, client: Load, dimension: int) -> DataFrame:
+    """(id, embedding ARRAY<FLOAT>) by a model; vectors of another size raise."""
+    held: list = []
 
-def _needs_client(*_, **__):
-    raise RuntimeError(MODEL_ONLY)
+    @F.pandas_udf("array<float>")
+    def embed(text: pd.Series) -> pd.Series:
+        if not held:
+            held.append(client())
+        vectors = [[float(x) for x in v] for v in held[0](text.fillna("").tolist())]
+        if any(len(v) != dimension for v in vectors):
+            raise ValueError(f"embedder returned vectors that have not {dimension} values")
+        return pd.Series(vectors, dtype=object)
 
+    return texts.select("id", embed("text").alias("embedding"))
 
-CHUNKERS: dict[str, Callable] = {"heading": chunk_documents}
-EMBEDDERS: dict[str, Callable] = {"hash_mock": hash_embed, "bge_m3_local": _needs_client}
-VECTOR_STORES: dict[str, Callable] = {"in_memory": lambda df: df, "table": lambda df: df}
+
+def _parsed(name: str, parse: Callable) -> Callable:
+    """A processor whose planner answers are a column of the questions, or asked of the client."""
+
+    def run(questions: DataFrame, settings, clients: Clients) -> DataFrame:
+        if "answer" not in questions.columns:
+            questions = planning.planned(questions, planning.PROMPTS[name], _of(clients, "planner", name))
+        return parse(questions, settings)
+
+    return run
+
+
+# every factory takes (settings, clients)
+CHUNKERS: dict[str, Callable] = {"heading": lambda s, c: lambda documents: chunk_documents(documents, Chunking(s.chunk_target_chars, s.chunk_overlap_chars))}
+EMBEDDERS: dict[str, Callable] = {
+    "hash_mock": lambda s, c: lambda texts: hash_embed(texts, s.dimension),
+    "bge_m3_local": lambda s, c: (lambda client: lambda texts: model_embed(texts, client, s.dimension))(_of(c, "embedder", "bge_m3_local")),
+}
+VECTOR_STORES = ("in_memory", "table")
 QUERY_PROCESSORS: dict[str, Callable] = {
-    "identity": lambda q, s: planning.identity(q),
-    "normalize": lambda q, s: planning.normalize(q, s.aliases),
-    "expansion": lambda q, s: planning.expansion(q, s.expansions),
-    "rewrite": lambda q, s: planning.rewrite(q),
-    "hyde": lambda q, s: planning.hyde(q),
-    "multi_query": lambda q, s: planning.multi_query(q, s.max_queries),
-    "decomposition": lambda q, s: planning.decomposition(q, s.max_queries),
+    "identity": lambda q, s, c: planning.identity(q),
+    "normalize": lambda q, s, c: planning.normalize(q, s.aliases),
+    "expansion": lambda q, s, c: planning.expansion(q, s.expansions),
+    "rewrite": _parsed("rewrite", lambda q, s: planning.rewrite(q)),
+    "hyde": _parsed("hyde", lambda q, s: planning.hyde(q)),
+    "multi_query": _parsed("multi_query", lambda q, s: planning.multi_query(q, s.max_queries)),
+    "decomposition": _parsed("decomposition", lambda q, s: planning.decomposition(q, s.max_queries)),
+}
+#: None: candidates keep their order. Else a column over (query, text).
+RERANKERS: dict[str, Callable] = {
+    "noop": lambda s, c: None,
+    "lexical": lambda s, c: rerank.lexical_score,
+    "bge_local": lambda s, c: rerank.model_score(_of(c, "reranker", "bge_local")),
 }
-RERANKERS: dict[str, Callable] = {"noop": rerank.noop, "lexical": rerank.rerank, "bge_local": _needs_client}
 RETRIEVERS = ("dense", "bm25", "hybrid")
 EVIDENCE_SELECTORS: dict[str, Callable] = {"diversified": evidence.select_evidence}
-GENERATORS: dict[str, Callable] = {"mock": answers.mock_answer, "openrouter": _needs_client}
+#: None: the deterministic generator. Else (draft, repair).
+GENERATORS: dict[str, Callable] = {"mock": lambda s, c: None, "openrouter": lambda s, c: answers.model_drafts(_of(c, "generator", "openrouter"))}
+CONTROLLERS: dict[str, Callable] = {"heuristic": lambda s, c, chunks: strategies.Heuristic(), "llm": lambda s, c, chunks: strategies.Asked(_of(c, "controller", "llm"), chunks)}
 STRATEGIES = ("vanilla", "self_rag", "agentic_rag", "graph_rag")
 
 

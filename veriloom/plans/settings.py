@@ -19,6 +19,8 @@ class Retrieval:
     bm25_b: float = 0.75
     min_score: float = 0.0
     per_topic_limit: int = 2
+    #: Digits that scores are rounded to before ranking, so that the order of sums cannot decide; none.
+    score_digits: int | None = None
 
     def __post_init__(self):
         if self.top_k < 1 or self.candidate_top_k < self.top_k:
@@ -44,6 +46,9 @@ class Settings:
     vector_store: str = "in_memory"
     reranker: str = "noop"
     generator: str = "mock"
+    controller: str = "heuristic"
+    chunker: str = "heading"
+    evidence_selector: str = "diversified"
     strategy: str = "vanilla"
     max_steps: int = 4
     max_repairs: int = 1

@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.metrics import retrieval_summary
+from ..session import written
 from .engine import Engine, evaluate
+from .registry import Clients
 from .settings import Settings
 
-REQUIRED = ("count", "precision", "recall", "f1", "rr", "errors")
+MEANS = ("precision", "recall", "f1", "rr")
+REQUIRED = ("count", *MEANS, "errors")
 
 
 def config_hash(settings: Settings) -> str:
@@ -47,13 +50,26 @@ def check_suite(configs: dict[str, Settings], baseline: str, one_factor: bool =
             raise ValueError(f"{name} changes {len(changed)} settings: {', '.join(changed)}")
 
 
-def run_suite(chunks: DataFrame, configs: dict[str, Settings], baseline: str, questions: DataFrame, cases: DataFrame, gold: DataFrame, k: int = 10, one_factor: bool = True) -> DataFrame:
-    """(config_id, scope, count, metrics, errors): all cases under all configurations."""
+def run_suite(chunks: DataFrame, configs: dict[str, Settings], baseline: str, questions: DataFrame, cases: DataFrame, gold: DataFrame, k: int = 10, one_factor: bool = True, clients: Clients = Clients(), fail_fast: bool = False) -> DataFrame:
+    """(config_id, scope, count, metrics, errors, status, error): all cases under all configurations.
+
+    errors: cases whose question a configuration cannot take; they are missing from its means. A
+    configuration that fails as a whole is one row with status failed and its error, and the others
+    are run nevertheless, unless fail_fast.
+    """
     check_suite(configs, baseline, one_factor)
-    rows = evaluate({name: Engine(chunks, s) for name, s in configs.items()}, questions, cases, gold, k)
-    out = None
-    for name in configs:
-        part = retrieval_summary(rows.filter(F.col("config_id") == name)).withColumn("config_id", F.lit(name)).withColumn("errors", F.lit(0))
+    spark, out = chunks.sparkSession, None
+    for name, settings in configs.items():
+        try:
+            engine = Engine(chunks, settings, clients=clients)
+            rows = written(evaluate({name: engine}, questions, cases, gold, k), "suite-cases")
+            bad = engine.faults(questions).join(cases.select(F.col("case_id").alias("query_id")), "query_id").count()
+            part = retrieval_summary(rows).select("scope", "count", *MEANS, F.lit(bad).cast("long").alias("errors"), F.lit("completed").alias("status"), F.lit(None).cast("string").alias("error"))
+        except Exception as error:
+            if fail_fast:
+                raise
+            part = spark.createDataFrame([("all", 0, None, None, None, None, cases.count(), "failed", f"{type(error).__name__}: {str(error)[:500]}")], "scope string, count long, precision double, recall double, f1 double, rr double, errors long, status string, error string")
+        part = part.withColumn("config_id", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -8,8 +8,9 @@ profits from (adaptive execution, Arrow) are fixed.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -40,12 +41,22 @@ def local_session(cores: int = 8, memory: str = "8g", app: str = "veriloom", **c
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is what the cluster names in spark.checkpoint.dir; only where that is unset (tests,
-    local runs) is a temporary folder made and set.
+    It is what the cluster names in spark.checkpoint.dir; only where that is unset on a local
+    master (tests, local runs) is a temporary folder made and set.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: it has to name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-veriloom-"))
     return str(spark.sparkContext.getCheckpointDir()).rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once: written to the shared folder and read from there."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/veriloom-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+from urllib.parse import urlparse
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +21,18 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("ordinal", "e.*")
 
 
+def fetched(spark: SparkSession, url: str, hosts: list[str], fetch: Callable[[str], bytes]) -> DataFrame:
+    """Entries of a catalog that fetch(url) returns; a url that is not https or of another host raises."""
+    told = urlparse(url)
+    if told.scheme != "https" or told.hostname not in hosts:
+        raise ValueError(f"bad catalog url: {url}")
+    payload = json.loads(fetch(url).decode("utf-8-sig"))
+    if not isinstance(payload, list) or not all(isinstance(x, dict) for x in payload):
+        raise ValueError("a catalog is a list of objects")
+    names = [c.split(" ")[0] for c in ENTRY.split(", ")]
+    return spark.createDataFrame([(i, *(x.get(n) for n in names)) for i, x in enumerate(payload)], f"ordinal INT, {ENTRY}")
+
+
 def parsed(entries: DataFrame, hosts: list[str], url: str = "url") -> DataFrame:
     """entries with manual_key and snapshot_id from their url; the first of equal urls stays.
 

@@ -223,14 +223,24 @@ def navigation(html: str, url: str) -> tuple[str, str, list[dict], int]:
 
 
 def parse_navigation(indexes: DataFrame) -> DataFrame:
-    """(manual_id, vehicle_model, refs, topic fields): indexes has html and url."""
+    """(index_url, error, manual_id, vehicle_model, refs, topic fields): indexes has html and url.
+
+    An index that cannot be read is one row with its error and nothing else.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for html, url in zip(frame["html"], frame["url"], strict=True):
-                manual, model, topics, refs = navigation(html, url)
-                rows += [{"manual_id": manual, "vehicle_model": model, "refs": refs, "place": i, **t} for i, t in enumerate(topics)]
-            yield pd.DataFrame(rows, columns=["manual_id", "vehicle_model", "refs", "place", "topic_id", "title", "breadcrumbs", "source_url", "source_file"])
-
-    return indexes.select("html", "url").mapInPandas(run, f"manual_id string, vehicle_model string, refs int, place int, {TOPIC}")
+                try:
+                    if html is None:
+                        raise ValueError("no index page")
+                    manual, model, topics, refs = navigation(html, url)
+                except ValueError as error:
+                    rows.append({"index_url": url, "error": str(error)})
+                    continue
+                rows += [{"index_url": url, "manual_id": manual, "vehicle_model": model, "refs": refs, "place": i, **t} for i, t in enumerate(topics)]
+            told = pd.DataFrame(rows, columns=["index_url", "error", "manual_id", "vehicle_model", "refs", "place", "topic_id", "title", "breadcrumbs", "source_url", "source_file"])
+            yield told.astype({"refs": "Int32", "place": "Int32"})
+
+    return indexes.select("html", "url").mapInPandas(run, f"index_url string, error string, manual_id string, vehicle_model string, refs int, place int, {TOPIC}")
