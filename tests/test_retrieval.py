@@ -1,3 +1,4 @@
+import numpy as np
 import math
 
 import pytest
@@ -126,7 +127,7 @@ def test_searches_ask_for_whole_tables(spark, tmp_path):
     values = np.random.default_rng(3).normal(size=(2301, 8)).astype("float32")
     spark.createDataFrame([(i, v.tolist(), i % 5) for i, v in enumerate(values)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     unit = values.astype(float) / np.linalg.norm(values.astype(float), axis=1)[:, None]
-    for name, held in (("dense_topk_all", np.arange(2301)), ("dense_filtered_all", np.arange(3, 2301, 5))):
+    for name, held in (("dense_topk", np.arange(2301)), ("dense_filtered", np.arange(3, 2301, 5))):
         got = {(r.query_id, r.rank): r.chunk_id for r in queries.QUERIES[name](spark, str(tmp_path)).collect()}
         assert {q for q, _ in got} == set(range(0, 2301, 100))
         for q in range(0, 2301, 100):
@@ -139,7 +140,28 @@ def test_hybrid_answers_every_question(spark):
 
     data = "/root/testdata/sf0.001"
     items = {r.item_id for r in spark.read.parquet(f"{data}/benchmark.parquet").select("item_id").collect()}
-    got = queries.hybrid_rrf_all(spark, data).collect()
+    got = queries.hybrid_rrf(spark, data).collect()
     assert {r.query_id for r in got if r.dense_rank} == items and len(items) > 20
-    first = {tuple(r) for r in got if r.query_id < 20}
-    assert first == {tuple(r) for r in queries.hybrid_rrf(spark, data).collect()}
+
+
+def test_dense_beyond_the_bound(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    own, asked = rng.normal(size=(300, 4)), rng.normal(size=(40, 4))
+    table = lambda m, name: spark.createDataFrame([(i, i, v.tolist()) for i, v in enumerate(m)], f"{name} long, ordinal long, embedding array<float>")
+    rows, qs = table(own, "chunk_id"), table(asked, "query_id").drop("ordinal")
+    want = sorted(tuple(r) for r in dense.dense(rows, qs, 5, 6).collect())
+    monkeypatch.setattr(dense, "BROADCAST_VALUES", 8)
+    monkeypatch.setattr(dense, "BLOCK_VALUES", 64)
+    assert sorted(tuple(r) for r in dense.dense(rows, qs, 5, 6).collect()) == want and len(want) == 200
+
+
+def test_graph_over_many_partitions(spark):
+    rows = [(f"c{i:03d}", i, f"d{i % 40:02d}", "m", "k", "1", f"t{i % 3}", "T", [f"s{i % 2}"], "x") for i in range(200)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, ordinal long, document_id string, manual_id string, manual_key string, snapshot_id string, topic_id string, title string, section_path array<string>, text string").repartition(13)
+    want = set()
+    for key in (6, 8):
+        groups = {}
+        for r in sorted(rows, key=lambda r: (r[2], r[0])):
+            groups.setdefault(str(r[key]), []).append(r[0])
+        want |= {p for g in groups.values() for a, b in zip(g, g[1:]) for p in ((a, b), (b, a))}
+    assert {(r.src, r.dst) for r in graph.edges(chunks).collect()} == want

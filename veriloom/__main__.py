@@ -49,7 +49,7 @@ def main(args: list[str] | None = None) -> int:
     told = parser.parse_args(args)
     from pyspark.sql import SparkSession
 
-    from . import queries
+    from . import flows, queries  # noqa: F401  flows register beside the others
     from .functions.vectors import hash_embed
     from .operators import chunking, datasets, reports
     from .sources import html, tables

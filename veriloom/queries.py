@@ -2,10 +2,9 @@
 
 The tables stand in for the engine's: documents are chunks (source is the manual, lang the model,
 source-lang the topic), benchmark items are questions, embeddings are vectors, events are traces.
-All queries run over whole tables, but dense_topk, dense_filtered and hybrid_rrf, whose oracles fix
-the asked ids below 20; dense_topk_all, dense_filtered_all and hybrid_rrf_all ask for whole tables and
-have no oracle. Scores are rounded before ranking, in both dialects, so that the
-order of floating-point sums cannot decide a rank.
+All queries run over whole tables; vector searches ask with every vector whose id is divisible by
+100. Scores are rounded before ranking, in both dialects, so that the order of floating-point sums
+cannot decide a rank. Tables that a query uses twice are written once.
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .functions import filters, ids, text, vectors
 from .operators import answers, chunking, dense, evidence, fuse, graph, index, lexical, metrics, planning, reports, rerank, strategies
+from .session import written
 from .sources import catalog, html, tables
 from .streaming import traces
 
@@ -80,14 +80,13 @@ lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 )
 
 _COS = """
-qv AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 20),
+qv AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0),
 cos AS (SELECT query_id, vec_id AS chunk_id, label, round(coalesce(list_dot_product(q, embedding::DOUBLE[]) / nullif(sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 0), 0), 6) AS score FROM embeddings CROSS JOIN qv),
 near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM cos)"""
 
 
 def _lexical(spark: SparkSession, d: str, k: int | None = TOP_K) -> DataFrame:
-    chunks = _chunks(spark, d)
-    return lexical.bm25(lexical.postings(chunks), lexical.corpus_stats(chunks), _questions(spark, d), k, digits=DIGITS)
+    return lexical.search(_chunks(spark, d), _questions(spark, d), k, digits=DIGITS)
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -96,8 +95,7 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 def _dense(spark: SparkSession, d: str, k: int | None = TOP_K) -> DataFrame:
     rows = _vectors(spark, d)
-    asked = rows.filter("chunk_id < 20").select(F.col("chunk_id").alias("query_id"), "embedding")
-    return dense.dense(rows, asked, k, DIGITS)
+    return dense.dense(rows, _hundredth(rows), k, DIGITS)
 
 
 def _ranked(df: DataFrame, *more: str) -> DataFrame:
@@ -131,7 +129,7 @@ def bm25_filtered(spark, d):
     """Statistics follow the filter."""
     wanted = filters.RetrievalFilters(vehicle_model="en", manual_keys=["src1", "src2", "src3"])
     chunks = _chunks(spark, d).filter(wanted.predicate())
-    return _ranked(lexical.bm25(lexical.postings(chunks), lexical.corpus_stats(chunks), _questions(spark, d), TOP_K, digits=DIGITS))
+    return _ranked(lexical.search(chunks, _questions(spark, d), TOP_K, digits=DIGITS))
 
 
 @query(
@@ -150,8 +148,7 @@ def bm25_by_filter_group(spark, d):
     """Questions with different filters in one batch: statistics per filter signature."""
     chunks = _chunks(spark, d).withColumn("lang", F.col("vehicle_model"))
     asked = _questions(spark, d).withColumn("lang", F.when(F.col("query_id") % 2 == 0, "en").otherwise("fr"))
-    stats = chunks.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(text.tokens(F.col("text")))).alias("avgdl"))
-    return _ranked(lexical.bm25(lexical.postings(chunks, "text", "lang"), stats, asked, TOP_K, digits=DIGITS, group="lang"))
+    return _ranked(lexical.search(chunks, asked, TOP_K, digits=DIGITS, group="lang"))
 
 
 # ---- vectors -------------------------------------------------------------------------------
@@ -165,8 +162,7 @@ def dense_topk(spark, d):
 @query(f"WITH {_COS.replace('FROM embeddings CROSS JOIN qv', 'FROM embeddings CROSS JOIN qv WHERE label = 3')} SELECT query_id, chunk_id, score, rank FROM near WHERE rank <= {TOP_K}")
 def dense_filtered(spark, d):
     rows = _vectors(spark, d)
-    asked = rows.filter("chunk_id < 20").select(F.col("chunk_id").alias("query_id"), "embedding")
-    return _ranked(dense.dense(rows.filter("label = 3"), asked, TOP_K, DIGITS))
+    return _ranked(dense.dense(rows.filter("label = 3"), _hundredth(rows), TOP_K, DIGITS))
 
 
 def _hundredth(rows: DataFrame) -> DataFrame:
@@ -174,18 +170,6 @@ def _hundredth(rows: DataFrame) -> DataFrame:
     return rows.filter("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
 
 
-@query()
-def dense_topk_all(spark, d):
-    rows = _vectors(spark, d)
-    return _ranked(dense.dense(rows, _hundredth(rows), TOP_K, DIGITS))
-
-
-@query()
-def dense_filtered_all(spark, d):
-    rows = _vectors(spark, d)
-    return _ranked(dense.dense(rows.filter("label = 3"), _hundredth(rows), TOP_K, DIGITS))
-
-
 @query("""SELECT vec_id, len(embedding) AS dimension, round(list_min(embedding), 6)::DOUBLE AS min, round(list_max(embedding), 6)::DOUBLE AS max,
 round(list_avg(embedding::DOUBLE[]), 6) AS mean, round(list_stddev_pop(embedding::DOUBLE[]), 6) AS std, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS l2,
 array_to_string(list_transform(list_sort(list_transform(range(0, len(embedding)), lambda i: {'m': -abs(embedding[(i + 1)::INT]::DOUBLE), 'i': i}))[1:10], lambda r: r.i), ',') AS largest FROM embeddings""")
@@ -195,20 +179,25 @@ def vector_summary(spark, d):
     return s.select("vec_id", "s.dimension", r("min"), r("max"), r("mean"), r("std"), r("l2"), F.array_join(F.transform("s.largest", lambda x: x.cast("string")), ",").alias("largest"))
 
 
-@query("""WITH t AS (SELECT doc_id, lower(text) AS low, regexp_replace(lower(text), '[\\s\\p{Z}\\x{85}\\x{1c}-\\x{1f}]+', '', 'g') AS dense FROM documents),
+_HASHED = """WITH t AS (SELECT doc_id, lower(text) AS low, regexp_replace(lower(text), '[\\s\\p{Z}\\x{85}\\x{1c}-\\x{1f}]+', '', 'g') AS dense FROM documents),
 g AS (SELECT doc_id, unnest(list_concat(list_transform(range(1, greatest(length(dense), 1)), lambda i: dense[i:i+1]), regexp_extract_all(low, '[a-z0-9]+'))) AS token FROM t),
 c AS (SELECT doc_id, token, count(*) AS n FROM g GROUP BY ALL),
 h AS (SELECT doc_id, n, sha256(token) AS d FROM c),
-p AS (SELECT doc_id, (('0x' || d[1:8])::BIGINT % 64)::INT AS idx, CASE WHEN ('0x' || d[9:10])::INT % 2 = 0 THEN n ELSE -n END AS v FROM h)
-SELECT doc_id AS id, idx, sum(v)::BIGINT AS value FROM p GROUP BY ALL""")
+p AS (SELECT doc_id, (('0x' || d[1:8])::BIGINT % 64)::INT AS idx, CASE WHEN ('0x' || d[9:10])::INT % 2 = 0 THEN n ELSE -n END AS v FROM h)"""
+
+
+@query(f"{_HASHED} SELECT doc_id AS id, idx, sum(v)::BIGINT AS value FROM p GROUP BY ALL")
 def hash_embed(spark, d):
     """The deterministic embedder's sums before normalisation."""
     return vectors.token_hits(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), 64)
 
 
-@query()
+@query(_HASHED + """, s AS (SELECT doc_id, idx, sum(v)::DOUBLE AS value FROM p GROUP BY ALL), n AS (SELECT doc_id, sqrt(sum(value * value)) AS len FROM s GROUP BY 1)
+SELECT doc_id AS id, idx, round((value / len)::FLOAT::DOUBLE, 6) AS value FROM s JOIN n USING (doc_id) WHERE value <> 0""")
 def hash_embed_vectors(spark, d):
-    return vectors.hash_embed(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), 64)
+    """Unit vectors, one row per place that is not 0."""
+    rows = vectors.hash_embed(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), 64)
+    return rows.select("id", F.posexplode("embedding").alias("idx", "value")).filter("value <> 0").select("id", "idx", F.round(F.col("value").cast("double"), DIGITS).alias("value"))
 
 
 @query("SELECT count(*) AS n, count(DISTINCT chunk_id) AS ids, 64::BIGINT AS dimension, count(*) AS in_range FROM (SELECT range AS chunk_id FROM range(10000))")
@@ -220,23 +209,14 @@ def synthetic_loader(spark, d):
 
 # ---- fusion, rerank, evidence --------------------------------------------------------------
 
-# questions by both retrievers: items 0 to 19 as texts, vectors 0 to 19 as their dense side, ids shared
-_HYBRID = f"""WITH {_BM25}, {_COS},
-d AS (SELECT query_id, chunk_id, rank FROM near WHERE rank <= {TOP_K}), l AS (SELECT query_id, chunk_id, rank FROM lex WHERE rank <= {TOP_K} AND query_id < 20),
+# each question's vector: the one with its id modulo the number of vectors, whose ids have no gap
+_HYBRID = f"""WITH {_BM25}, {_COS.replace("SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0", "SELECT item_id AS query_id, embedding::DOUBLE[] AS q FROM benchmark JOIN embeddings ON vec_id = item_id % (SELECT count(*) FROM embeddings)")},
+d AS (SELECT query_id, chunk_id, rank FROM near WHERE rank <= {TOP_K}), l AS (SELECT query_id, chunk_id, rank FROM lex WHERE rank <= {TOP_K}),
 u AS (SELECT *, 0 AS source FROM d UNION ALL SELECT *, 1 FROM l),
 f AS (SELECT query_id, chunk_id, round(sum(1::DOUBLE / (60 + rank)), 6) AS score, min(source * 1000 + rank) AS seen, max(rank) FILTER (source = 0) AS dense_rank, max(rank) FILTER (source = 1) AS bm25_rank FROM u GROUP BY ALL),
 h AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen) AS rank, dense_rank, bm25_rank FROM f)"""
 
 
-def _hybrid(spark: SparkSession, d: str, k: int | None = TOP_K) -> DataFrame:
-    return fuse.hybrid(_dense(spark, d), _lexical(spark, d).filter("query_id < 20"), k, digits=DIGITS)
-
-
-@query(f"{_HYBRID} SELECT * FROM h WHERE rank <= {TOP_K}")
-def hybrid_rrf(spark, d):
-    return _ranked(_hybrid(spark, d), F.col("dense_rank").cast("long").alias("dense_rank"), F.col("bm25_rank").cast("long").alias("bm25_rank"))
-
-
 def _paired(spark: SparkSession, d: str) -> DataFrame:
     """Each question with vector query_id modulo the number of vectors, whose ids have no gap."""
     rows = _vectors(spark, d)
@@ -247,11 +227,11 @@ def _paired(spark: SparkSession, d: str) -> DataFrame:
     return _questions(spark, d).select("query_id", at.alias("chunk_id")).join(rows, "chunk_id").select("query_id", "embedding")
 
 
-@query()
-def hybrid_rrf_all(spark, d):
+@query(f"{_HYBRID} SELECT * FROM h WHERE rank <= {TOP_K}")
+def hybrid_rrf(spark, d):
     """Every benchmark question by both retrievers."""
-    near = dense.dense(_vectors(spark, d), _paired(spark, d), TOP_K, DIGITS)
-    fused = fuse.hybrid(near, _lexical(spark, d), TOP_K, digits=DIGITS)
+    near = written(dense.dense(_vectors(spark, d), _paired(spark, d), TOP_K, DIGITS), "near")
+    fused = fuse.hybrid(near, written(_lexical(spark, d), "lexical"), TOP_K, digits=DIGITS)
     return _ranked(fused, F.col("dense_rank").cast("long").alias("dense_rank"), F.col("bm25_rank").cast("long").alias("bm25_rank"))
 
 
@@ -274,7 +254,7 @@ def multi_query_rrf(spark, d):
     """Three sub-queries a question, fused and not truncated."""
     subs = fuse.sub_queries(_sub_plans(spark, d)).select((F.col("query_id") * 10 + F.col("query_index")).alias("query_id"), "text")
     chunks = _chunks(spark, d)
-    runs = lexical.bm25(lexical.postings(chunks), lexical.corpus_stats(chunks), subs, 20, digits=DIGITS)
+    runs = lexical.search(chunks, subs, 20, digits=DIGITS)
     return _ranked(fuse.multi_query(runs.select(F.expr("query_id div 10").alias("query_id"), (F.col("query_id") % 10).alias("query_index"), "chunk_id", "rank"), digits=DIGITS))
 
 
@@ -307,7 +287,9 @@ def rerank_trace_sample(spark, d):
 
 
 def _evidence(spark: SparkSession, d: str, per_topic: int, min_score: float = 5.0, top_k: int = 3) -> DataFrame:
-    told = _lexical(spark, d, 20).join(_chunks(spark, d).select("chunk_id", "topic_id", "content_hash"), "chunk_id")
+    chunks = _chunks(spark, d)
+    # texts are hashed after the join, where few are left
+    told = _lexical(spark, d, 20).join(chunks.select("chunk_id", "topic_id", "text"), "chunk_id").withColumn("content_hash", F.sha2("text", 256)).drop("text")
     return evidence.select_evidence(told, top_k, min_score, per_topic, 20)
 
 
@@ -352,7 +334,7 @@ def _gold(spark: SparkSession, d: str) -> DataFrame:
     grams = docs.withColumn("w", words("text")).select("doc_id", F.explode(F.array_distinct(F.expr("transform(sequence(1, greatest(size(w) - 4, 1)), i -> xxhash64(array_join(slice(w, i, 5), ' ')))"))).alias("k"))
     met = grams.join(asked.select("item_id", "k"), "k").select("doc_id", "item_id").distinct()
     held = met.join(docs, "doc_id").join(items, "item_id").filter(F.contains("text", F.col("needle")))
-    return held.select(F.col("item_id").alias("case_id"), F.col("doc_id").alias("chunk_id"))
+    return written(held.select(F.col("item_id").alias("case_id"), F.col("doc_id").alias("chunk_id")), "gold")
 
 
 def _cases(spark: SparkSession, d: str, gold: DataFrame) -> DataFrame:
@@ -363,7 +345,7 @@ def _cases(spark: SparkSession, d: str, gold: DataFrame) -> DataFrame:
 
 def _per_case(spark: SparkSession, d: str) -> DataFrame:
     gold = _gold(spark, d)
-    return metrics.retrieval_cases(_cases(spark, d, gold), gold, _lexical(spark, d).withColumnRenamed("query_id", "case_id"))
+    return metrics.retrieval_cases(_cases(spark, d, gold), gold, written(_lexical(spark, d), "hits").withColumnRenamed("query_id", "case_id"))
 
 
 _PER_CASE = f"""WITH {_BM25}, {_GOLD},
@@ -514,12 +496,22 @@ def agentic_merge(spark, d):
     """Two rounds, each with another part of the question."""
     plans = _sub_plans(spark, d)
     chunks = _chunks(spark, d)
-    posts, stats = lexical.postings(chunks), lexical.corpus_stats(chunks)
-    rounds = [lexical.bm25(posts, stats, plans.select("query_id", F.col("queries")[i].alias("text")), TOP_K, digits=DIGITS) for i in (0, 1)]
+    rounds = [lexical.search(chunks, plans.select("query_id", F.col("queries")[i].alias("text")), TOP_K, digits=DIGITS) for i in (0, 1)]
     return _ranked(fuse.merge_best(*rounds))
 
 
-_ANSWER = """rtrim_ AS (SELECT 1)"""
+@query(ORACLES["agentic_merge"])
+def agentic_loop(spark, d):
+    """The loop itself: a controller asks for two parts of each question, then answers."""
+    parts = written(_sub_plans(spark, d), "parts")
+    chunks = _chunks(spark, d)
+
+    def act(questions, candidates, step):
+        asked = F.get("queries", F.lit(step))
+        action = F.lit("retrieve" if step < 2 else "answer")
+        return questions.select("query_id").join(parts, "query_id").select("query_id", action.alias("action"), asked.alias("query"))
+
+    return _ranked(strategies.agentic(_questions(spark, d), lambda q: lexical.search(chunks, q, TOP_K, digits=DIGITS), act, 4))
 
 
 @query(f"""WITH {_BM25},
@@ -530,7 +522,7 @@ SELECT item_id AS query_id, coalesce('根据知识库正文，' || head || CASE
 FROM benchmark LEFT JOIN h ON h.query_id = item_id""")
 def mock_answer(spark, d):
     """Vanilla strategy end to end with the deterministic generator."""
-    out = strategies.vanilla(_questions(spark, d), _lexical(spark, d, 20), _chunks(spark, d), 3, 0.0, 2)
+    out = strategies.vanilla(_questions(spark, d), written(_lexical(spark, d, 20), "hits"), _chunks(spark, d), 3, 0.0, 2)
     return out.select("query_id", "answer", "refused", "citation_validated", F.size("citations").cast("long").alias("n_citations"))
 
 
@@ -569,21 +561,51 @@ def chunk_hash_ids(spark, d):
 def _packed(spark: SparkSession, d: str) -> DataFrame:
     blocks = F.filter(F.split("text", "\n"), lambda b: b != "")
     rows = _t(spark, d, "documents").select("doc_id", blocks.alias("blocks"))
-    cut = F.flatten(F.transform("blocks", lambda b: chunking._split_in(b, 900)))
+    cut = F.flatten(F.transform("blocks", lambda b: chunking.split_block(b, 900)))
     return rows.withColumn("cut", cut).select("doc_id", F.posexplode(chunking.pack_blocks("cut")).alias("part", "body"))
 
 
-@query()
+_SLICED = "CASE WHEN length(b) <= 900 THEN [b] ELSE list_transform(range(0, ((length(b) - 1) // 900 + 1)::BIGINT), lambda i: substr(b, (i * 900 + 1)::BIGINT, 900)) END"
+
+
+@query(f"""WITH b AS (SELECT doc_id, flatten(list_transform(list_filter(string_split(text, chr(10)), lambda x: x <> ''), lambda b: {_SLICED})) AS cut FROM documents WHERE text <> ''),
+r AS (SELECT doc_id, string_split(list_reduce(cut, lambda acc, x: CASE WHEN length(string_split(acc, chr(1))[-1]) + 1 + length(x) > 900
+    THEN acc || chr(1) || right(string_split(acc, chr(1))[-1], 120) || chr(10) || x ELSE acc || chr(10) || x END), chr(1)) AS bodies FROM b WHERE len(cut) > 0),
+u AS (SELECT doc_id, unnest(bodies) AS body, unnest(range(0, len(bodies))) AS part FROM r)
+SELECT doc_id, part, length(body) AS chars, sha256(body) AS body_sha256 FROM u""")
 def chunk_pack(spark, d):
+    """Lines as blocks (their texts have no CJK sentence ends, so long ones are sliced), packed with overlap."""
     return _packed(spark, d).select("doc_id", F.col("part").cast("long").alias("part"), F.length("body").cast("long").alias("chars"), F.sha2("body", 256).alias("body_sha256"))
 
 
-@query("""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(replace(replace(text, '. ', '.' || chr(1)), chr(10), chr(1)), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '') AS parts FROM documents)
-SELECT doc_id, len(parts) AS n, sha256(array_to_string(parts, '|')) AS parts_sha256 FROM s""")
+@query(r"""WITH b AS (SELECT doc_id, replace(text, '. ', '。') AS b FROM documents),
+s AS (SELECT doc_id, b, list_filter(list_transform(string_split(regexp_replace(b, '([。！？；])', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), lambda x: x <> '') AS ss FROM b),
+p AS (SELECT doc_id, CASE WHEN length(b) <= 400 THEN [b]
+  WHEN len(ss) <= 1 THEN list_transform(range(0, ((length(b) - 1) // 400 + 1)::BIGINT), lambda i: substr(b, (i * 400 + 1)::BIGINT, 400))
+  ELSE string_split(list_reduce(ss, lambda acc, x: CASE WHEN length(string_split(acc, chr(1))[-1]) + length(x) > 400 THEN acc || chr(1) || x ELSE acc || x END), chr(1)) END AS parts FROM s)
+SELECT doc_id, len(parts) AS n, sha256(array_to_string(parts, '|')) AS parts_sha256 FROM p""")
 def sentence_split(spark, d):
-    """Latin sentence ends in place of CJK ones, which these texts lack."""
-    parts = F.filter(F.transform(F.split("text", r"(?<=\.) |\n"), lambda s: F.btrim(s, F.lit(" \t\r"))), lambda s: s != "")
-    return _t(spark, d, "documents").select("doc_id", F.size(parts).cast("long").alias("n"), F.sha2(F.array_join(parts, "|"), 256).alias("parts_sha256"))
+    """Whole texts as blocks, with CJK sentence ends in place of Latin ones."""
+    rows = _t(spark, d, "documents").select("doc_id", F.replace(F.col("text"), F.lit(". "), F.lit("。")).alias("b"))
+    parts = chunking.split_block("b", 400)
+    return rows.select("doc_id", parts.alias("parts")).select("doc_id", F.size("parts").cast("long").alias("n"), F.sha2(F.array_join("parts", "|"), 256).alias("parts_sha256"))
+
+
+_MARKED = "'标题：t' || chr(10) || '正文：' || chr(10) || replace(text, '. ', '。')"
+_BODY = r"regexp_replace(replace(text, '. ', '。'), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')"
+
+
+@query(rf"""WITH b AS (SELECT doc_id, {_BODY} AS body FROM documents),
+h AS (SELECT *, substr(body, 1, 700) AS head FROM b),
+l AS (SELECT *, list_max([CASE WHEN contains(head, c) THEN 700 - position(c IN reverse(head)) + 1 ELSE 0 END FOR c IN ['。', '；', chr(10)]]) AS last FROM h)
+SELECT doc_id, sha256(body) AS body_sha256, sha256(substr(body, 1, 240)) AS excerpt_sha256,
+ sha256(CASE WHEN length(body) <= 700 THEN body WHEN last - 1 >= 350 THEN regexp_replace(substr(head, 1, last), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') ELSE regexp_replace(head, '[\s\p{{Z}}]+$', '') || '…' END) AS reference_sha256 FROM l""")
+def body_and_reference(spark, d):
+    """Body, citation excerpt and reference body of chunk texts."""
+    marked = F.concat(F.lit("标题：t\n正文：\n"), F.replace(F.col("text"), F.lit(". "), F.lit("。")))
+    rows = _t(spark, d, "documents").select("doc_id", marked.alias("text"))
+    digest = lambda c, n: F.sha2(c, 256).alias(n)
+    return rows.select("doc_id", digest(text.body(F.col("text")), "body_sha256"), digest(F.substring(text.body(F.col("text")), 1, answers.EXCERPT_CHARS), "excerpt_sha256"), digest(text.reference_body(F.col("text")), "reference_sha256"))
 
 
 @query()

@@ -229,6 +229,8 @@ def parse_navigation(indexes: DataFrame) -> DataFrame:
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["index_url", "error", "manual_id", "vehicle_model", "refs", "place", "topic_id", "title", "breadcrumbs", "source_url", "source_file"]
+        none = dict.fromkeys(columns)
         for frame in frames:
             rows = []
             for html, url in zip(frame["html"], frame["url"], strict=True):
@@ -237,10 +239,10 @@ def parse_navigation(indexes: DataFrame) -> DataFrame:
                         raise ValueError("no index page")
                     manual, model, topics, refs = navigation(html, url)
                 except ValueError as error:
-                    rows.append({"index_url": url, "error": str(error)})
+                    rows.append(none | {"index_url": url, "error": str(error)})
                     continue
-                rows += [{"index_url": url, "manual_id": manual, "vehicle_model": model, "refs": refs, "place": i, **t} for i, t in enumerate(topics)]
-            told = pd.DataFrame(rows, columns=["index_url", "error", "manual_id", "vehicle_model", "refs", "place", "topic_id", "title", "breadcrumbs", "source_url", "source_file"])
+                rows += [none | {"index_url": url, "manual_id": manual, "vehicle_model": model, "refs": refs, "place": i, **t} for i, t in enumerate(topics)]
+            told = pd.DataFrame(rows, columns=columns, dtype=object)
             yield told.astype({"refs": "Int32", "place": "Int32"})
 
     return indexes.select("html", "url").mapInPandas(run, f"index_url string, error string, manual_id string, vehicle_model string, refs int, place int, {TOPIC}")
