@@ -61,7 +61,7 @@ def crawl(targets: DataFrame, known: DataFrame, fetch: Callable[[], Callable], r
                     except Exception as error:  # what a page's client raises is that page's failure
                         out["error"] = f"{type(error).__name__}: {error}"
                 told.append(out)
-            yield pd.DataFrame(told, columns=[c.split(" ")[0] for c in PAGE.split(", ")]).astype({"http": "Int32"})
+            yield pd.DataFrame(told, columns=[c.split(" ")[0] for c in PAGE.split(", ")], dtype=object).astype({"http": "Int32"})
 
     return rows.mapInPandas(run, PAGE)
 
