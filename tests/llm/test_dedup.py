@@ -253,27 +253,25 @@ def template_rows(n, seed=4, words=60, own=14):
     return rows
 
 
-def test_wide_buckets_by_rare_shingles(spark, monkeypatch):
+def test_wide_buckets_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(N, "BLOCK", 16)
     rows = template_rows(150, own=22) + [(900, None)]
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in N.near_dedup(wide(spark, rows)).collect()}
     want = plain_near(rows)
     assert got == want and len({c for _, c, _ in want.values()}) >= 150  # they do stay apart
-    short = [(i, " ".join(f"w{(i * 7 + k * k) % 23}" for k in range(9))) for i in range(120)]
-    got = {r.doc_id: r.component_id for r in N.near_dedup(wide(spark, short)).collect()}
-    assert got == {i: c for i, (_, c, _) in plain_near(short).items()}
-
-
-def test_work_of_a_wide_bucket_grows_with_its_texts(spark):
-    """Rows that wide buckets are spelled out to, and pairs: in proportion to the documents."""
-    told = []
-    for n in (400, 1600):
-        rows = spark.createDataFrame(template_rows(n, own=22), "doc_id long, text string")
-        reps = N.signed(rows).cache()
-        texts = rows.select("doc_id", F.col("text").cast("binary").alias("body"))
-        told.append(N._wide_pairs(rows.select("doc_id", F.col("doc_id").alias("label")), reps, texts).count())
-        reps.unpersist()
-    assert told[0] >= 40 and told[1] <= 5 * told[0]
+
+
+def test_unlike_members_of_a_bucket_move_no_text(spark, monkeypatch):
+    """A bucket of documents of one template, too unlike to link: signatures alone tell them apart."""
+    monkeypatch.setattr(N, "BLOCK", 64)
+    rows = [(i, t) for i, t in template_rows(600, own=90) if i < 600]
+    reps = N.signed(spark.createDataFrame(rows, "doc_id long, text string")).cache()
+    bucket = reps.select("doc_id", F.element_at("bands", 1).alias("bucket"))
+    shared = bucket.select(F.lit(7).cast("long").alias("bucket"), F.lit(-1).cast("long").alias("hub"), F.lit(600).cast("long").alias("size"), "doc_id")
+    # all of them are put into one bucket, which takes the place of their first band
+    reps = reps.withColumn("bands", F.transform("bands", lambda x, i: F.when(i == 0, F.lit(7).cast("long")).otherwise(x)))
+    none = spark.createDataFrame([], "node long, component long")
+    assert N._blocks(shared, none, reps).count() == 0
 
 
 def test_near_of_little(spark):

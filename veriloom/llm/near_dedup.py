@@ -14,14 +14,10 @@ all pairs of a bucket:
    pruned by set sizes (exactly) and by signature (4.5 standard deviations below the threshold),
    and the rest confirmed on full sets computed from whole texts;
 2. confirmed links give components;
-3. rest: in a bucket of up to BLOCK documents that still lie in different components, pairs between
-   components are confirmed on full sets, each pair in the first bucket that it shares; a link
-   joins its components at once, so a bucket yields fewer links than members;
-4. wide: members of larger buckets that still are mixed (pages of one template, too unlike to link)
-   are told apart by their rarest shingles. Ordered by how many of these members hold them, two
-   sets of n and m shingles with similarity 0.75 share one of the first n - ceil(0.75 n) + 1 of
-   the one and as many of the other. So pairs between components that share such a shingle
-   are all that can link; they are pruned by size and signature and confirmed like stars.
+3. rest: in a bucket whose members still lie in different components, pairs between components are
+   looked at within blocks of the bucket, each pair in the first bucket that it shares: first by
+   sizes and signatures alone, then, of the documents that these leave a partner in the block, on full
+   sets; a link joins its components at once, so a block yields fewer links than members.
 
 Members of one component need no further comparison, as components and not single links are the
 outcome.
@@ -30,9 +26,8 @@ Scale: texts move once, and only those of documents that share a bucket move on.
 a paired text is streamed past its star's set, in chunks of CHUNK members, so that a hub costs no
 task more than that. All groups (copies, buckets, hubs) are counted before the shuffle, and joined
 by plain equi-joins that adaptive execution can split; groups with more than a thousandth of all
-rows by broadcast. A bucket of any size costs in proportion to its members' texts: those of wide
-buckets are spelled out as shingles once, and their rare shingles are few documents' by
-their order. A rare shingle that more than BLOCK of them hold is compared in blocks of signatures.
+rows by broadcast. Signatures of a mixed bucket go to each pair of its blocks, a few hundred bytes
+a document; texts only go to the blocks in which they have a partner left.
 
 Defined results: null, empty and blank texts have no shingle and link with nothing; repeated rows
 are copies; a null doc_id links with nothing; an empty table gives an empty result; other columns
@@ -199,13 +194,39 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return dealt.select("a", "chunk", "b", "body").mapInArrow(_confirm, "a long, b long")
 
 
-def _between(group: pd.DataFrame) -> pd.DataFrame:
-    """Links that join components within a bucket: a spanning set of them."""
-    group = group.sort_values("doc_id", ignore_index=True)
+def _partners(group: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """By member of a sorted block: members of other components behind it that may link, and the labels,
+    which may be changed between one member and the next."""
     sig = np.frombuffer(b"".join(group["bytes"]), np.uint8).reshape(len(group), -1)
     bands = np.stack(group["bands"].to_numpy())
-    doc, n, hub, label = (group[c].to_numpy() for c in ("doc_id", "n_shingles", "hub", "label"))
+    doc, n, part, hub, label = (group[c].to_numpy().copy() for c in ("doc_id", "n_shingles", "part", "hub", "label"))
+    apart = group["one"].iloc[0] != group["two"].iloc[0]
     here = int(np.argmax(bands[0] == group["bucket"].iloc[0]))
+    for i in range(len(group) - 1):
+        rest = np.arange(i + 1, len(group))
+        rest = rest[(label[rest] != label[i]) & (np.minimum(n[rest], n[i]) * WHOLE >= np.maximum(n[rest], n[i]) * SIMILAR)]
+        rest = rest[(doc[rest] != hub[i]) & (doc[i] != hub[i])]  # the star has seen pairs with the hub
+        if apart:
+            rest = rest[part[rest] != part[i]]
+        if len(rest):
+            rest = rest[((bands[rest] == bands[i]).argmax(1) == here) & (_alike(sig[rest], sig[i]) >= ESTIMATE)]
+        yield i, rest, label
+
+
+def _left(group: pd.DataFrame) -> pd.DataFrame:
+    """The documents of a block that sizes and signatures leave a partner there."""
+    group = group.sort_values("doc_id", ignore_index=True)
+    met = np.zeros(len(group), bool)
+    for i, rest, _ in _partners(group):
+        met[rest] = True
+        met[i] |= len(rest) > 0
+    return group.loc[met, ["bucket", "one", "two", "hub", "doc_id", "label", "part"]]
+
+
+def _between(group: pd.DataFrame) -> pd.DataFrame:
+    """Links that join components within a block of a bucket: a spanning set of them."""
+    group = group.sort_values("doc_id", ignore_index=True)
+    doc = group["doc_id"].to_numpy()
     sets: dict[int, np.ndarray] = {}
     hashes = WordHashes()
 
@@ -215,12 +236,7 @@ def _between(group: pd.DataFrame) -> pd.DataFrame:
         return sets[i]
 
     a, b = [], []
-    for i in range(len(group) - 1):
-        rest = np.arange(i + 1, len(group))
-        rest = rest[(label[rest] != label[i]) & (np.minimum(n[rest], n[i]) * WHOLE >= np.maximum(n[rest], n[i]) * SIMILAR)]
-        rest = rest[(doc[rest] != hub[i]) & (doc[i] != hub[i])]  # the star has seen pairs with the hub
-        if len(rest):
-            rest = rest[((bands[rest] == bands[i]).argmax(1) == here) & (_alike(sig[rest], sig[i]) >= ESTIMATE)]
+    for i, rest, label in _partners(group):
         for j in rest:
             if label[j] == label[i]:
                 continue
@@ -228,86 +244,35 @@ def _between(group: pd.DataFrame) -> pd.DataFrame:
             if WHOLE * both >= SIMILAR * (len(full(i)) + len(full(j)) - both):
                 a.append(doc[i])
                 b.append(doc[j])
-                label = np.where(label == label[j], label[i], label)
+                label[label == label[j]] = label[i]
     return pd.DataFrame({"a": a, "b": b}, dtype=np.int64)
 
 
-def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per document and shingle."""
-    hashes = WordHashes()
-    for batch in batches:
-        sets = [shingles(body.lower().split(), hashes) for body in batch.column(1).to_pylist()]
-        at = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
-        held = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(held.view(np.int64))], ["doc_id", "shingle"])
+BLOCK_ROW = "bucket long, one int, two int, hub long, doc_id long, label long, part int"
 
 
-def _rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first shingles of each document. Rows by (doc_id, df, shingle)."""
-    last, seen = None, 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        doc, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-        place = np.arange(len(doc)) - np.repeat(starts, np.diff(np.r_[starts, len(doc)]))
-        if doc[0] == last:
-            place[: starts[1] if len(starts) > 1 else None] += seen
-        last, seen = doc[-1], place[-1] + 1
-        kept = (place < n - -(-n * SIMILAR // WHOLE) + 1) & (batch.column(2).to_numpy() > 1)
-        yield batch.filter(pa.array(kept)).select([0, 2, 3])
-
-
-def _block_pairs(group: pd.DataFrame) -> pd.DataFrame:
-    """Pairs between components in two blocks of a shingle's documents that sizes and signatures leave possible."""
-    sig = np.frombuffer(b"".join(group["bytes"]), np.uint8).reshape(len(group), -1)
-    doc, n, label, part = (group[c].to_numpy() for c in ("doc_id", "n_shingles", "label", "part"))
-    one, two = group["one"].iloc[0], group["two"].iloc[0]
-    a, b = [], []
-    for i in np.flatnonzero(part == one):
-        rest = np.flatnonzero((part == two) & (label != label[i]) & ((doc > doc[i]) if one == two else True))
-        rest = rest[np.minimum(n[rest], n[i]) * WHOLE >= np.maximum(n[rest], n[i]) * SIMILAR]
-        rest = rest[_alike(sig[rest], sig[i]) >= ESTIMATE]
-        a += [doc[i]] * len(rest)
-        b += doc[rest].tolist()
-    return pd.DataFrame({"a": a, "b": b}, dtype=np.int64)
-
-
-def _wide_pairs(members: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) between components that share a rare shingle. members: (doc_id, label) of wide buckets."""
-    told = materialise(members.join(reps.select("doc_id", "n_shingles"), "doc_id"), "wide-members")
-    spelled = materialise(texts.join(told.select("doc_id"), "doc_id", "left_semi").select("doc_id", "body").mapInArrow(_spelled, "doc_id long, shingle long"), "wide-shingles")
-    counts = materialise(spelled.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")), "wide-counts")
-    ranked = with_group(spelled, counts, "shingle", "df", spelled.count()).join(told.select("doc_id", "n_shingles"), "doc_id")
-    order = ["doc_id", "df", "shingle"]
-    rare = materialise(ranked.select("doc_id", "n_shingles", "df", "shingle").repartition("doc_id").sortWithinPartitions(*order).mapInArrow(_rarest, "doc_id long, df long, shingle long"), "rare-shingles")
-    sizes = materialise(rare.groupBy("shingle").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1), "rare-sizes")
-    shared = materialise(rare.join(sizes, "shingle").join(told, "doc_id").select("shingle", "size", "doc_id", "label", "n_shingles"), "rare-shared")
-    few = shared.filter(F.col("size") <= BLOCK)
-    side = lambda n: few.select("shingle", F.col("doc_id").alias(n), F.col("label").alias(f"l_{n}"), F.col("n_shingles").alias(f"n_{n}"))
-    pairs = side("a").join(side("b"), "shingle").filter((F.col("a") < F.col("b")) & (F.col("l_a") != F.col("l_b")) & _sized("n_a", "n_b")).select("a", "b").distinct()
+def _blocks(shared: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
+    """Rows of BLOCK_ROW: documents of mixed buckets with a partner left, once per such block.
+    shared: (bucket, hub, size, doc_id)."""
+    known = labels.select(F.col("node").alias("doc_id"), "component")
+    told = materialise(shared.filter(F.col("size") > 2).join(known, "doc_id", "left").select("bucket", "hub", "size", "doc_id", F.coalesce("component", "doc_id").alias("label")), "labelled")
+    mixed = told.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter(F.col("x") != F.col("y")).select("bucket")
+    rows = told.join(materialise(mixed, "mixed"), "bucket")
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    many = shared.filter(F.col("size") > BLOCK).withColumn("part", F.pmod(F.xxhash64("doc_id"), parts).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), parts - 1)))
-    many = many.select("shingle", F.least("part", "with").alias("one"), F.greatest("part", "with").alias("two"), "doc_id", "label", "n_shingles", "part").join(reps.select("doc_id", "bytes"), "doc_id")
-    return pruned(pairs.unionByName(many.groupBy("shingle", "one", "two").applyInPandas(_block_pairs, "a long, b long")).distinct(), reps)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), parts).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = rows.select("bucket", F.least("part", "with").alias("one"), F.greatest("part", "with").alias("two"), "hub", "doc_id", "label", "part")
+    rows = rows.join(reps.select("doc_id", "n_shingles", "bands", "bytes"), "doc_id")
+    return materialise(rows.groupBy("bucket", "one", "two").applyInPandas(_left, BLOCK_ROW), "blocks")
 
 
 def _rest_links(shared: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """Links between components that still meet in a bucket. shared: (bucket, hub, size, doc_id)."""
-    known = labels.select(F.col("node").alias("doc_id"), "component")
-    told = materialise(shared.filter(F.col("size") > 2).join(known, "doc_id", "left").select("bucket", "hub", "size", "doc_id", F.coalesce("component", "doc_id").alias("label")), "labelled")
-    mixed = told.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter(F.col("x") != F.col("y")).select("bucket")
-    rows = materialise(told.join(materialise(mixed, "mixed"), "bucket"), "mixed-members")
-    small, wide = rows.filter(F.col("size") <= BLOCK), rows.filter(F.col("size") > BLOCK)
-    needed = small.select("doc_id").distinct()
-    out = None
-    if not needed.isEmpty():
-        held = materialise(texts.join(needed, "doc_id", "left_semi").join(reps.select("doc_id", "n_shingles", "bands", "bytes"), "doc_id"), "mixed-texts")
-        out = small.select("bucket", "hub", "doc_id", "label").join(held, "doc_id").groupBy("bucket").applyInPandas(_between, "a long, b long").distinct()
-    if not wide.isEmpty():
-        more = confirmed(_wide_pairs(wide.select("doc_id", "label").distinct(), reps, texts), texts)
-        out = more if out is None else out.unionByName(more)
-    return out
+    """Links between components that still meet in a bucket."""
+    rows = _blocks(shared, labels, reps)
+    needed = rows.select("doc_id").distinct()
+    if needed.isEmpty():
+        return None
+    told = materialise(texts.join(needed, "doc_id", "left_semi").join(reps.select("doc_id", "n_shingles", "bands", "bytes"), "doc_id"), "mixed-texts")
+    return rows.join(told, "doc_id").groupBy("bucket", "one", "two").applyInPandas(_between, "a long, b long").distinct()
 
 
 def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
