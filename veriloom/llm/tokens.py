@@ -11,7 +11,7 @@ import struct
 from functools import lru_cache
 
 #: Words a worker remembers; the memory starts anew beyond that.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 
 
 @lru_cache(1)

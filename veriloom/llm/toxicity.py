@@ -50,7 +50,9 @@ BITS = 18
 SPAN_MARGINAL = 0.5
 FAINT = 0.1
 THRESHOLD = 0.7
-REMEMBERED = 400_000
+#: Texts that are scored together.
+SCORED = 256
+REMEMBERED = 150_000
 _EDGE = ".,;:!?\"'()[]{}<>|*#$%&+-=_/\\"
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -304,8 +306,8 @@ def score_documents(docs: DataFrame, model: dict, text: str = "text", score: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for whole_batch in batches:
-            for at in range(0, whole_batch.num_rows, 512):
-                batch = whole_batch.slice(at, 512)
+            for at in range(0, whole_batch.num_rows, SCORED):
+                batch = whole_batch.slice(at, SCORED)
                 texts = batch.column(batch.num_columns - 1).to_pylist()
                 value, marginal, lengths = scorer(texts)
                 columns = [*batch.columns[:-1], pa.array(value)]
