@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,6 +66,28 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+_held: dict[str, object] = {}
+
+
+def let_go() -> None:
+    """Drop what earlier tasks left in this worker and return free memory to the machine.
+
+    Spark reuses workers: without it, the memories of all operators that one has served add up.
+    """
+    _held.clear()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def hold[V](name: str, make: Callable[[], V]) -> V:
+    """What a worker keeps from task to task: one thing at a time."""
+    if name not in _held:
+        let_go()
+        _held[name] = make()
+    return _held[name]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """checkpoint() for small iterative state that follows a shuffle."""
     shared_folder(df.sparkSession)

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, materialise, mix64, whole, with_group
+from .common import discard, let_go, materialise, mix64, whole, with_group
 from .components import components
 
 SHINGLE = 5
@@ -117,6 +117,7 @@ def band_keys(values: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    let_go()
     hashes, seen = WordHashes(), {}
     for batch in batches:
         out: list[list] = [[], [], [], []]

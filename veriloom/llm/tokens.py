@@ -10,6 +10,8 @@ from __future__ import annotations
 import struct
 from functools import lru_cache
 
+from .common import hold
+
 #: Words a worker remembers; the memory starts anew beyond that.
 REMEMBERED = 200_000
 
@@ -75,10 +77,9 @@ class WordEncoder(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
-@lru_cache(2)
 def encoder(path: str) -> WordEncoder:
     """One per worker and vocabulary file."""
-    return WordEncoder(path)
+    return hold(f"encoder {path}", lambda: WordEncoder(path))
 
 
 def vocabulary(name: str) -> str:

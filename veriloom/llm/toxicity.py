@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, whole
+from .common import free_name, let_go, whole
 
 TRAIN_TOXIC = 2000
 TRAIN_CLEAN = 2000
@@ -299,18 +299,23 @@ def learned_rows(docs: DataFrame, labels: DataFrame, may_learn: Column, text: st
 def score_documents(docs: DataFrame, model: dict, text: str = "text", score: str = "score", spans_as: str | None = "spans") -> DataFrame:
     """docs with a score, and offending offsets as a JSON list of [start, end, marginal], in place of
     columns of these names."""
-    body = whole(text).cast("binary").alias(free_name(docs, "body"))
-    docs = docs.select(*(c for c in docs.columns if c not in (score, spans_as)), body)
-    schema = T.StructType([*docs.schema.fields[:-1], T.StructField(score, T.DoubleType()), *([T.StructField(spans_as, T.StringType())] if spans_as else [])])
+    kept = [c for c in docs.columns if c not in (score, spans_as)]
+    width = len(kept)
+    if text in kept and docs.schema[text].dataType == T.StringType():
+        at_text, docs = kept.index(text), docs.select(kept)
+    else:  # a column that the output replaces, or that is named or typed another way
+        at_text, docs = width, docs.select(*kept, whole(text).alias(free_name(docs, "body")))
+    schema = T.StructType([*docs.schema.fields[:width], T.StructField(score, T.DoubleType()), *([T.StructField(spans_as, T.StringType())] if spans_as else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         scorer = Scorer(model)
         for whole_batch in batches:
             for at in range(0, whole_batch.num_rows, SCORED):
                 batch = whole_batch.slice(at, SCORED)
-                texts = batch.column(batch.num_columns - 1).to_pylist()
+                texts = [t or b"" for t in batch.column(at_text).cast(pa.binary()).to_pylist()]
                 value, marginal, lengths = scorer(texts)
-                columns = [*batch.columns[:-1], pa.array(value)]
+                columns = [*batch.columns[:width], pa.array(value)]
                 if spans_as:
                     ends = np.cumsum(lengths)
                     peak = np.maximum.reduceat(np.r_[marginal, 0], np.minimum(ends - lengths, len(marginal))) if len(texts) else marginal
