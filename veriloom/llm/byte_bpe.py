@@ -10,8 +10,9 @@
 Decoding takes ids alone: each id is joined with the token-byte table (as many rows as the
 vocabulary has), and the bytes are put together by position.
 
-Scale: texts are read once and never shuffled. What moves is a chunk's positions (compressed), and its
-distinct pre-tokens and their ids, in blocks. The number of hash buckets follows the number of
+Scale: texts are read once and never shuffled, and neither are positions: chunks are written
+(compressed) in buckets of files by chunk, where the ids come to them. What moves is a chunk's distinct
+pre-tokens and their ids, in blocks. The number of hash buckets follows the number of
 distinct pre-tokens of all chunks, so that a bucket holds about BUCKET_WORDS of them. A pre-token that
 every chunk holds would fill its bucket as chunks get more; from BUCKET_CHUNKS chunks on buckets are
 salted by chunk, so that it is encoded once per so many chunks. A chunk's memory is bounded by
@@ -25,11 +26,13 @@ become U+FFFD first; an empty table gives an empty result; other columns are ign
 from __future__ import annotations
 
 import base64
+import uuid
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 import zstandard
@@ -38,16 +41,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import shared_folder
 from .common import discard, hold, let_go, materialise, parts_for, whole
 from .tokens import vocabulary
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Text of a chunk.
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 16 << 20
 #: Pre-tokens, each once per chunk, that a bucket holds on average.
 BUCKET_WORDS = 200_000
 #: Chunks that send to one bucket at most, on average.
 BUCKET_CHUNKS = 65_536
+#: Positions and ids that are looked up at once, but for a longer text's.
+STEP = 1 << 18
 #: Units a worker remembers within a chunk.
 REMEMBERED = 500_000
 
@@ -224,31 +230,61 @@ def encoded_blocks(blocks: DataFrame, path: str) -> DataFrame:
 
 
 def _assembled(left: pa.Table, right: pa.Table) -> pa.Table:
-    """A chunk's documents with their ids."""
+    """A chunk's documents with their ids, put together STEP positions at a time."""
     blocks = [_two_back(ids) for _, ids in sorted(zip(right["bucket"].to_pylist(), right["ids"].to_pylist(), strict=True))]
-    counts = np.concatenate([np.zeros(0, np.uint32), *(_numbers_back(c) for c, _ in blocks)]).astype(np.int64)
+    counts = np.concatenate([np.zeros(0, np.uint32), *(_numbers_back(c) for c, _ in blocks)])
     values = np.concatenate([np.zeros(0, np.uint32), *(_numbers_back(v) for _, v in blocks)])
-    lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]), pa.array(values))
+    lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]), pa.array(values))
     del blocks
-    docs, out = [], []
+    out = []
     for ids, lengths, places in zip(left["docs"].to_pylist(), left["lengths"].to_pylist(), left["places"].to_pylist(), strict=True):
         runs, rank = map(_numbers_back, _two_back(places))
-        at = rank[runs].astype(np.int64)
-        ends = np.concatenate([[0], np.cumsum(counts[at])])[np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)]
-        flat = memoryview(np.ascontiguousarray(lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)).astype("<u4", copy=False)).cast("B")
-        docs += ids
-        out += [bytes(flat[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-    return pa.table({"doc_id": pa.array(docs, pa.int64()), "n_tokens": pa.array([len(x) // 4 for x in out], pa.int64()), "ids": pa.array(out, pa.binary())})
-
-
-def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, list[DataFrame]]:
+        ends = np.cumsum([0, *lengths])
+        doc = 0
+        while doc < len(ids):
+            upto = max(doc + 1, int(np.searchsorted(ends, ends[doc] + STEP, "right")) - 1)
+            held, tokens = [], np.zeros(upto - doc, np.int64)
+            for at in range(int(ends[doc]), int(ends[upto]), STEP):
+                which = rank[runs[at : min(at + STEP, int(ends[upto]))]]
+                held.append(lists.take(pa.array(which)).flatten().to_numpy())
+                if upto > doc + 1:
+                    tokens = np.diff(np.concatenate([[0], np.cumsum(counts[which], dtype=np.int64)])[ends[doc : upto + 1] - ends[doc]])
+                else:
+                    tokens[0] += len(held[-1])
+            flat = np.concatenate([np.zeros(0, np.uint32), *held]).astype("<u4", copy=False)
+            offsets = np.concatenate([[0], np.cumsum(4 * tokens)]).astype(np.int32)
+            packed = pa.BinaryArray.from_buffers(pa.binary(), upto - doc, [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+            out.append(pa.RecordBatch.from_arrays([pa.array(ids[doc:upto], pa.int64()), pa.array(tokens), packed], ["doc_id", "n_tokens", "ids"]))
+            doc = upto
+    return pa.Table.from_batches(out)
+
+
+def _bucketed(df: DataFrame, by: str) -> DataFrame:
+    """materialise(), dealt into files by a key: a later grouping by it does not shuffle the table."""
+    spark = df.sparkSession
+    name = f"veriloom_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("path", path).bucketBy(parts, by).saveAsTable(name)
+    table = spark.table(name)
+    table.written_to, table.named = path, name
+    return table
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """doc_id, n_tokens and ids (little-endian unsigned 32-bit numbers): one row per document; and the
-    tables that it reads, for discard() after use."""
-    chunks = materialise(chunked(docs, text, key), "byte-bpe-chunks")
+    table of chunks that it reads, for drop() after use."""
+    chunks = _bucketed(chunked(docs, text, key), "chunk")
     held = chunks.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
     blocks = dealt(chunks, parts_for(held[1], BUCKET_WORDS), parts_for(held[0], BUCKET_CHUNKS))
     left = chunks.select("chunk", "docs", "lengths", "places").groupBy("chunk")
-    return left.cogroup(encoded_blocks(blocks, path).groupBy("chunk")).applyInArrow(_assembled, ENCODED), [chunks]
+    return left.cogroup(encoded_blocks(blocks, path).groupBy("chunk")).applyInArrow(_assembled, ENCODED), chunks
+
+
+def drop(chunks: DataFrame) -> None:
+    """The end of a table of chunks."""
+    chunks.sparkSession.sql(f"DROP TABLE IF EXISTS {chunks.named}")
+    discard(chunks)
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -262,16 +298,21 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded
 
         tokens = hold(f"token bytes {path}", table)
         for batch in batches:
-            given = batch.column(at).to_pylist()
-            packed = [x or b"" for x in given]
-            told = tokens.take(pa.array(np.frombuffer(b"".join(packed), "<u4")))
-            if told.null_count:
-                raise ValueError("an id that the vocabulary does not have")
-            offsets = np.frombuffer(told.buffers()[1], np.int64)[told.offset :] if len(told) else np.zeros(1, np.int64)
-            data = memoryview(told.buffers()[2]) if len(told) else b""
-            ends = offsets[np.cumsum([0, *(len(x) // 4 for x in packed)])].tolist()
-            out = [None if x is None else bytes(data[a:b]) for x, a, b in zip(given, ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, decoded])
+            sizes = np.cumsum([0, *((pc.binary_length(batch.column(at)).fill_null(0).to_numpy(zero_copy_only=False) // 4).tolist())])
+            row = 0
+            while row < batch.num_rows:
+                upto = max(row + 1, int(np.searchsorted(sizes, sizes[row] + STEP, "right")) - 1)
+                part = batch.slice(row, upto - row)
+                row = upto
+                given = part.column(at).to_pylist()
+                told = tokens.take(pa.array(np.frombuffer(b"".join(x or b"" for x in given), "<u4")))
+                if told.null_count:
+                    raise ValueError("an id that the vocabulary does not have")
+                offsets = np.frombuffer(told.buffers()[1], np.int64)[told.offset :] if len(told) else np.zeros(1, np.int64)
+                data = memoryview(told.buffers()[2]) if len(told) else b""
+                ends = offsets[np.cumsum([0, *(len(x or b"") // 4 for x in given)])].tolist()
+                out = [None if x is None else bytes(data[a:b]) for x, a, b in zip(given, ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, decoded])
 
     at = rows.columns.index(ids)
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(decoded, T.BinaryType())]))
@@ -280,8 +321,8 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts encoded; the ids alone decoded."""
     path = vocabulary(VOCABULARY)
-    rows, tables = encode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), path)
+    rows, chunks = encode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), path)
     told = decode(rows, path).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
     out = materialise(told, "byte-bpe")
-    discard(*tables)
+    drop(chunks)
     return out
