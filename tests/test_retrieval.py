@@ -150,8 +150,7 @@ def test_dense_beyond_the_bound(spark, monkeypatch):
     table = lambda m, name: spark.createDataFrame([(i, i, v.tolist()) for i, v in enumerate(m)], f"{name} long, ordinal long, embedding array<float>")
     rows, qs = table(own, "chunk_id"), table(asked, "query_id").drop("ordinal")
     want = sorted(tuple(r) for r in dense.dense(rows, qs, 5, 6).collect())
-    monkeypatch.setattr(dense, "BROADCAST_VALUES", 8)
-    monkeypatch.setattr(dense, "BLOCK_VALUES", 64)
+    monkeypatch.setattr(dense, "BROADCAST_VALUES", 64)
     assert sorted(tuple(r) for r in dense.dense(rows, qs, 5, 6).collect()) == want and len(want) == 200
 
 

@@ -101,7 +101,7 @@ def _ingest(spark, told) -> int:
     stored = table.read() if table.generation() else None
     cache = held.read().select("cache_key", "dimension", F.col("embedding").alias("vector")) if held.generation() else None
     out = ingest(entries, spark.read.parquet(told.pages), stored, cache, config, fail_fast=told.fail_fast or told.command == "ingest", force_embed=told.force_embed)
-    table.replace(out.index)
+    table.apply(out.changed, out.stale)
     fresh = out.cache.select(F.col("cache_key").alias("chunk_id"), "cache_key", "dimension", F.col("vector").alias("embedding"))
     held.upsert(fresh)
     print(tables.markdown(out.manuals.orderBy("manual_key"), "Manuals"))

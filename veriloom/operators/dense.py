@@ -1,14 +1,13 @@
 """Exact cosine top-k for a batch of query vectors.
 
-A stated set of queries is compared against all vectors. Up to BROADCAST_VALUES vector values the
-queries are broadcast (their number is checked) and each task keeps its own k best per query, so that
-only k rows per query and task are shuffled. Beyond that queries and vectors are packed into blocks, a
-row each, and every pair of blocks gives its k best per query: nothing passes through the driver.
+A stated set of queries is compared against all vectors. Queries go to the tasks (their number is
+checked: at most BROADCAST_VALUES values at once, more in groups of that size), and each task keeps its
+own k best per query over all its batches, so that only k rows per query and task are shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..session import written
 from .lexical import ranked
 
 #: 32 MB of doubles.
 BROADCAST_VALUES = 4_000_000
-#: Values of a block beyond that: 1 MB of doubles.
-BLOCK_VALUES = 131_072
 
 
 def check_dimension(vectors: DataFrame, dimension: int, column: str = "embedding") -> DataFrame:
@@ -30,37 +28,66 @@ def check_dimension(vectors: DataFrame, dimension: int, column: str = "embedding
     return vectors.filter(F.assert_true(F.size(column) == dimension, F.lit(f"vector size is not {dimension}")).isNull())
 
 
-def _local_best(ids: list, id_type: pa.DataType, matrix: np.ndarray, k: int | None, min_digits: int | None):
-    lengths = np.linalg.norm(matrix, axis=1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[list[np.ndarray]] = [[] for _ in ids]
-        chunk_type = pa.int64()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            chunk_type = batch.column(0).type
-            values = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
-            own = np.linalg.norm(values, axis=1)
-            scale = own[:, None] * lengths[None, :]
-            scores = np.divide(values @ matrix.T, scale, out=np.zeros_like(scale), where=scale != 0)
-            if min_digits is not None:
-                scores = np.round(scores, min_digits)
-            ordinal, names = batch.column(1).to_numpy(), np.array(batch.column(0).to_pylist(), object)
-            for q in range(len(ids)):
-                s = scores[:, q]
-                pick = np.lexsort((ordinal, -s))[: k or len(s)]
-                best[q].append(np.array([names[pick], ordinal[pick], s[pick]], object))
-                if k and len(best[q]) > 8:
-                    held = np.concatenate(best[q], 1)
-                    best[q] = [held[:, np.lexsort((held[1].astype(np.int64), -held[2].astype(float)))[:k]]]
-        for q, parts in enumerate(best):
+class best_rows:
+    """The k best rows per query, kept over a task's batches of (chunk_id, ordinal, embedding)."""
+
+    def __init__(self, ids: list, id_type: pa.DataType, matrix: np.ndarray, k: int | None, digits: int | None):
+        self.ids, self.id_type, self.matrix, self.k, self.digits = ids, id_type, matrix, k, digits
+        self.lengths = np.linalg.norm(matrix, axis=1)
+        self.held: list[list[pa.RecordBatch]] = [[] for _ in ids]
+        self.waiting = np.zeros(len(ids), np.int64)
+
+    def add(self, batch: pa.RecordBatch, which: np.ndarray | None = None) -> None:
+        """Compare a batch with all queries, or with those at the places which."""
+        if not batch.num_rows:
+            return
+        which = np.arange(len(self.ids)) if which is None else which
+        values = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+        scale = np.linalg.norm(values, axis=1)[:, None] * self.lengths[None, which]
+        scores = np.divide(values @ self.matrix[which].T, scale, out=np.zeros_like(scale), where=scale != 0)
+        if self.digits is not None:
+            scores = np.round(scores, self.digits)
+        ordinal = batch.column(1).to_numpy()
+        for i, q in enumerate(which):
+            s = scores[:, i]
+            pick = np.arange(len(s))
+            if self.k and len(s) > self.k:  # ties with the k-th stay for the order by ordinal
+                pick = np.flatnonzero(s >= np.partition(s, -self.k)[-self.k])
+            pick = pick[np.lexsort((ordinal[pick], -s[pick]))[: self.k or len(s)]]
+            self.held[q].append(pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pick)), pa.array(ordinal[pick]), pa.array(s[pick])], ["chunk_id", "ordinal", "score"]))
+            self.waiting[q] += 1
+            if self.k and self.waiting[q] > 8:
+                self.held[q], self.waiting[q] = [self._first(q)], 1
+
+    def _first(self, q: int) -> pa.RecordBatch:
+        told = pa.Table.from_batches(self.held[q]).combine_chunks().to_batches()[0]
+        pick = np.lexsort((told.column(1).to_numpy(), -told.column(2).to_numpy()))
+        return told.take(pa.array(pick[: self.k or len(pick)]))
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        for q, parts in enumerate(self.held):
             if parts:
-                held = np.concatenate(parts, 1)
-                pick = np.lexsort((held[1].astype(np.int64), -held[2].astype(float)))[: k or held.shape[1]]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[q]] * len(pick), id_type), pa.array(held[0, pick].tolist(), chunk_type), pa.array(held[1, pick].tolist(), pa.int64()), pa.array(held[2, pick].astype(float))], ["query_id", "chunk_id", "ordinal", "score"])
-
-    return run
+                told = self._first(q)
+                yield pa.RecordBatch.from_arrays([pa.array([self.ids[q]] * told.num_rows, self.id_type), *told.columns], ["query_id", "chunk_id", "ordinal", "score"])
+
+
+def in_groups(queries: DataFrame, search: Callable[[list], DataFrame], schema: T.StructType, values: int) -> DataFrame:
+    """search() over rows of queries (query_id, embedding, ...), in groups of at most so many values, by
+    hash of the id. Beyond one group each group's result is written before the next is asked."""
+    n, size = queries.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    groups = max(1, -(-n * (size or 1) // values))
+    if groups == 1:
+        held = queries.collect() if n else []
+        return search(held) if held else queries.sparkSession.createDataFrame([], schema)
+    # hashes fill groups unevenly: twice as many keep all but astronomically rare ones within the bound
+    told = written(queries.withColumn("_g", F.pmod(F.xxhash64("query_id"), F.lit(2 * groups))), "query-groups")
+    out = None
+    for g in range(2 * groups):
+        held = told.filter(F.col("_g") == g).collect()
+        if held:
+            part = written(search(held), "group-hits")
+            out = part if out is None else out.unionByName(part)
+    return out
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int | None = 10, digits: int | None = None) -> DataFrame:
@@ -76,40 +103,18 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int | None = 10, digits: in
     rows = vectors.select("chunk_id", F.col("ordinal").cast("long").alias("ordinal"), "embedding")
     if n:
         rows = check_dimension(rows, size)
-    if n * (size or 1) <= BROADCAST_VALUES:
-        held = queries.select("query_id", "embedding").collect()
-        if not held:
-            return ranked(rows.sparkSession.createDataFrame([], schema), k, F.col("score").desc(), F.col("ordinal"))
-        matrix = np.array([r["embedding"] for r in held], float)
-        hits = rows.mapInArrow(_local_best([r["query_id"] for r in held], to_arrow_type(schema["query_id"].dataType), matrix, k, digits), schema)
-    else:
-        asked = _blocks(queries.select("query_id", F.lit(0).cast("long").alias("o"), "embedding"), "q", max(1, BLOCK_VALUES // size))
-        blocks = _blocks(rows, "v", max(1, BLOCK_VALUES // size)).crossJoin(asked)  # blocks of a stated query set
-        hits = blocks.mapInArrow(_block_best(size, to_arrow_type(schema["query_id"].dataType), k, digits), schema)
-    return ranked(hits, k, F.col("score").desc(), F.col("ordinal"))
-
+    kind = to_arrow_type(schema["query_id"].dataType)
 
-def _blocks(rows: DataFrame, name: str, most: int) -> DataFrame:
-    """(key, ordinal, embedding) rows packed: ids, ordinals and values of up to `most` of them a row."""
-    kind = rows.dtypes[0][1]
+    def search(held: list) -> DataFrame:
+        ids, matrix = [r["query_id"] for r in held], np.array([r["embedding"] for r in held], float)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, most):
-                part = batch.slice(at, most)
-                values = part.column(2).flatten().cast(pa.float64()).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.list_(t)) for x, t in ((part.column(0).to_pylist(), part.column(0).type), (part.column(1).to_pylist(), pa.int64()), (values, pa.float64()))], [f"{name}_ids", f"{name}_ordinals", f"{name}_values"])
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = best_rows(ids, kind, matrix, k, digits)
+            for batch in batches:
+                best.add(batch)
+            yield from best.out()
 
-    return rows.mapInArrow(run, f"{name}_ids array<{kind}>, {name}_ordinals array<bigint>, {name}_values array<double>")
+        return rows.mapInArrow(run, schema)
 
-
-def _block_best(size: int, id_type: pa.DataType, k: int | None, digits: int | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ids, ordinals, values, asked, _, matrix = (batch.column(j)[i] for j in range(6))
-                rows = pa.RecordBatch.from_arrays([ids.values, ordinals.values, pa.FixedSizeListArray.from_arrays(values.values, size)], ["chunk_id", "ordinal", "embedding"])
-                best = _local_best(asked.as_py(), id_type, matrix.values.to_numpy().reshape(-1, size), k, digits)
-                yield from best(iter([rows]))
-
-    return run
+    hits = in_groups(queries.select("query_id", "embedding"), search, schema, BROADCAST_VALUES)
+    return ranked(hits, k, F.col("score").desc(), F.col("ordinal"))

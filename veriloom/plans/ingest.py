@@ -28,12 +28,15 @@ SCOPE = ("manual_id", "snapshot_id")
 class Ingestion:
     """What a run yields: all frames are written or read from written ones.
 
-    chunks: of completed manuals. index: the index after the run. cache: vectors to append to the
-    cache. manuals: status, error and counts per manual. report: one row of counters.
+    chunks: of completed manuals. index: the index after the run. changed, stale: what has to be
+    upserted and deleted (chunk_id) to come from the index before to that. cache: vectors to append to
+    the cache. manuals: status, error and counts per manual. report: one row of counters.
     """
 
     chunks: DataFrame
     index: DataFrame
+    changed: DataFrame
+    stale: DataFrame
     cache: DataFrame
     manuals: DataFrame
     report: DataFrame
@@ -71,12 +74,12 @@ def ingest(entries: DataFrame, pages: DataFrame, stored: DataFrame | None = None
     name = f"{settings.embedder}:{settings.dimension}"
     vectors, fresh = index.embed_through_cache(pending, cache, embed, name, settings.dimension, "shown")
     vectors, fresh = written(vectors.drop("shown"), "vectors"), written(fresh, "fresh-vectors")
-    gone = index.stale(stored, good, SCOPE).select("chunk_id")
+    gone = written(index.stale(stored, good, SCOPE).select("chunk_id"), "stale")
     rest = stored.join(gone, "chunk_id", "left_anti").join(vectors.select("chunk_id"), "chunk_id", "left_anti")
     after = vectors.unionByName(rest, allowMissingColumns=True) if "embedding" in rest.columns else vectors
     states = index.sync_states(spark.createDataFrame([], "chunk_id string, content_hash string") if force_embed else stored, good, cache, name, "shown")
     told = reports.ingestion_report(states.select("topic_id", "state", F.lit(False).alias("stale"))).drop("stale")
     total = manuals.agg(F.sum("topics").alias("found"), F.sum("documents").alias("documents"), F.count_if(F.col("status") == "completed").alias("completed"), F.count_if(F.col("status") == "failed").alias("failed"))
     report = told.crossJoin(F.broadcast(gone.agg(F.count(F.lit(1)).alias("stale")))).crossJoin(F.broadcast(total))  # one row each
-    return Ingestion(good.drop("shown"), written(after, "index"), fresh, manuals, written(report, "ingest-report"))
+    return Ingestion(good.drop("shown"), written(after, "index"), vectors, gone, fresh, manuals, written(report, "ingest-report"))
 

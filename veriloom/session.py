@@ -7,6 +7,7 @@ profits from (adaptive execution, Arrow) are fixed.
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -54,9 +55,27 @@ def shared_folder(spark: SparkSession) -> str:
     return str(spark.sparkContext.getCheckpointDir()).rstrip("/")
 
 
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and its class of paths."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def signature(spark: SparkSession, path: str) -> str:
+    """What tells a table's state: its files' names, lengths and times."""
+    fs, at = file_system(spark, path)
+    told = sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(at(path)))
+    return hashlib.sha256(repr((path, told)).encode()).hexdigest()
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder."""
+    return f"{shared_folder(spark)}/veriloom-{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, computed once: written to the shared folder and read from there."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/veriloom-{name}-{uuid.uuid4().hex}"
+    path = own_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.filters import RetrievalFilters
+from .snapshots import KeyedTable
 
 CHUNK = "chunk_id STRING, document_id STRING, manual_id STRING, manual_key STRING, manual_name STRING, manual_version STRING, snapshot_id STRING, vehicle_model STRING, topic_id STRING, title STRING, text STRING, section_path ARRAY<STRING>, source_url STRING, content_hash STRING, metadata MAP<STRING, STRING>"
 
@@ -23,45 +24,37 @@ def read_chunks(spark: SparkSession, glob: str) -> DataFrame:
 
 
 class VectorTable:
-    """A vector collection on a folder: parquet by embedder and chunker, replaced as generations.
+    """A vector collection on a folder: one embedder's vectors by chunk_id, with snapshots.
 
-    Readers see the last complete generation; a new one is a new folder, so that a write that an
-    executor's loss or a crash ends leaves the old one as it is.
+    Upserts and deletions write what they change and are merged when read (KeyedTable).
     """
 
     def __init__(self, spark: SparkSession, path: str, dimension: int):
-        self.spark, self.path, self.dimension = spark, path.rstrip("/"), dimension
-
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+        self.rows, self.dimension = KeyedTable(spark, path, "chunk_id"), dimension
 
     def generation(self) -> int:
-        fs, path = self._fs()
-        if not fs.exists(path(self.path)):
-            return 0
-        names = [s.getPath().getName() for s in fs.listStatus(path(self.path))]
-        done = [int(n[1:]) for n in names if n.startswith("g") and fs.exists(path(f"{self.path}/{n}/_SUCCESS"))]
-        return max(done, default=0)
-
-    def read(self) -> DataFrame:
-        g = self.generation()
-        if not g:
-            raise ValueError(f"no vectors at {self.path}")
-        return self.spark.read.parquet(f"{self.path}/g{g}")
+        """The newest snapshot's version, 0 before the first."""
+        held = self.rows.manifest()
+        return held.version if held else 0
+
+    def read(self, version: int | None = None) -> DataFrame:
+        return self.rows.read(version)
+
+    def _checked(self, rows: DataFrame) -> DataFrame:
+        return rows.filter(F.assert_true(F.size("embedding") == self.dimension, F.lit("vector size does not match the collection")).isNull())
 
     def replace(self, rows: DataFrame) -> None:
-        checked = rows.filter(F.assert_true(F.size("embedding") == self.dimension, F.lit("vector size does not match the collection")).isNull())
-        checked.write.parquet(f"{self.path}/g{self.generation() + 1}")
+        self.rows.replace(self._checked(rows))
 
     def upsert(self, rows: DataFrame) -> None:
-        from ..operators.index import upsert
-
-        self.replace(upsert(self.read(), rows) if self.generation() else rows)
+        self.rows.upsert(self._checked(rows))
 
     def delete(self, ids: DataFrame) -> None:
-        self.replace(self.read().join(ids.select("chunk_id"), "chunk_id", "left_anti"))
+        self.rows.delete(ids)
+
+    def apply(self, rows: DataFrame, ids: DataFrame) -> None:
+        """Upserts and deletions as one snapshot."""
+        self.rows.apply(self._checked(rows), ids)
 
     def retrieve(self, ids: DataFrame) -> DataFrame:
         return self.read().join(ids.select("chunk_id"), "chunk_id", "left_semi")
