@@ -282,6 +282,16 @@ def test_near_of_little(spark):
     assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (None, None, True)]
 
 
+def test_near_of_one_doc_id_with_several_texts(spark):
+    """Each text links by itself under its doc_id."""
+    text = lambda n, end="": " ".join(f"w{n}x{k}" for k in range(40)) + end
+    rows = [(1, text(1)), (1, text(2)), (2, text(1, " more")), (3, text(2, " more")), (4, text(4)), (4, None), (4, text(4)), (0, text(4, " x")), (None, text(1)), (5, text(5)), (5, text(6)), (6, text(7))]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, row string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in N.near_dedup(docs).collect()), key=repr)
+    want = [(1, 36, 1, True), (1, 36, 1, True), (2, 37, 1, False), (3, 37, 1, False), (4, 36, 0, False), (4, 0, 4, True), (4, 36, 0, False), (0, 37, 0, True), (None, 36, None, True), (5, 36, 5, True), (5, 36, 5, True), (6, 36, 6, True)]
+    assert got == sorted(want, key=repr)
+
+
 def test_min_max_estimates():
     rng = np.random.default_rng(0)
     far = []

@@ -30,8 +30,9 @@ rows by broadcast. Signatures of a mixed bucket go to each pair of its blocks, a
 a document; texts only go to the blocks in which they have a partner left.
 
 Defined results: null, empty and blank texts have no shingle and link with nothing; repeated rows
-are copies; a null doc_id links with nothing; an empty table gives an empty result; other columns
-are ignored.
+are copies; rows of one doc_id with different texts are texts of their own, which link each by itself
+under that doc_id; a null doc_id links with nothing; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -276,9 +277,30 @@ def _rest_links(shared: DataFrame, labels: DataFrame, reps: DataFrame, texts: Da
     return rows.join(told, "doc_id").groupBy("bucket", "one", "two").applyInPandas(_between, "a long, b long").distinct()
 
 
+def _numbered(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """Rows in the order of their doc_id, with a number each: row (null without a doc_id), doc_id, text."""
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).sort(F.col("doc_id").asc_nulls_last(), "text")
+    return materialise(rows.select(F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id()).alias("row"), "doc_id", "text"), "numbered")
+
+
+def _by_rows(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """near_dedup() where one doc_id stands at different texts: rows are told apart by their number,
+    and the smallest number of a component is its smallest doc_id."""
+    rows = _numbered(docs, text, key)
+    told = near_dedup(rows, key="row").withColumnRenamed("doc_id", "row")
+    named = rows.select("row", "doc_id").filter(F.col("row").isNotNull())
+    out = told.filter(F.col("row").isNotNull()).join(named, "row").join(named.select(F.col("row").alias("component_id"), F.col("doc_id").alias("component")), "component_id")
+    out = out.select("doc_id", "n_shingles", "component").unionByName(told.filter(F.col("row").isNull()).select(F.col("row").alias("doc_id"), "n_shingles", F.col("component_id").alias("component")))
+    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
+
+
 def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per document."""
     rows = materialise(signed(docs, text, key), "signed")
+    text_of = F.coalesce("copy_key", F.lit(b""))
+    if not rows.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(text_of).alias("a"), F.max(text_of).alias("b")).filter("a != b").isEmpty():
+        discard(rows)
+        return _by_rows(docs, text, key)
     copies = materialise(rows.filter(F.col("copy_key").isNotNull()).groupBy("copy_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")), "copies")
     reps = materialise(rows.filter(F.col("copy_key").isNotNull()).join(copies.select(F.col("rep").alias("doc_id"), F.col("copy_key").alias("own")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "representatives")
     spread = reps.select("doc_id", F.explode("bands").alias("bucket"))
