@@ -154,37 +154,35 @@ class PostingIndex:
         """BM25 as in lexical.bm25(); without k every block is scored."""
         n, avgdl = self.stats().first()
         terms = query_tokens(queries)
-        asked, held = terms.join(self.tokens().select("token", "df"), "token"), self._held(terms)
+        # written, so that the joins below know how small it is
+        asked, held = written(terms.join(self.tokens().select("token", "df"), "token"), "asked"), self._held(terms)
         if held is None:  # segments of chunks without any token
             hits = queries.select("query_id").limit(0)
             empty = hits.withColumn("chunk_id", F.lit(None).cast("long")).withColumn("ordinal", F.lit(0).cast("long")).withColumn("score", F.lit(0.0)).withColumn("rank", F.lit(0))
             return Found(empty, hits.select("query_id", F.lit(0).alias("asked"), F.lit(0).alias("scored")))
         weigh = lambda tf, dl: F.col("qtf") * term_weight(F.lit(n), F.col("df"), F.col(tf), F.col(dl), F.lit(avgdl), k1, b)
         where = ["segment", "range"]
-        met = written(held.select("token", *where, "most_tf", "least_dl").join(asked, "token").select("query_id", *where, "token", "qtf", "df", weigh("most_tf", "least_dl").alias("bound")), "met-blocks")
-        sums = met.groupBy("query_id", *where).agg(F.sum("bound").alias("bound"), F.count(F.lit(1)).alias("blocks"))
-        packed = held.select("token", *where, F.arrays_zip(*(F.col(c) for c in ("chunk_ids", "ordinals", "tfs", "dls"))).alias("p"))
+        met = held.select("token", *where, "most_tf", "least_dl").join(asked, "token")
+        sums = written(met.groupBy("query_id", *where).agg(F.sum(weigh("most_tf", "least_dl")).alias("bound"), F.count(F.lit(1)).alias("blocks")), "range-bounds")
+        packed = held.select("token", *where, "chunk_ids", "ordinals", "tfs", "dls").join(asked, "token")
 
         def scored(ranges: DataFrame | None) -> DataFrame:
-            needed = met.select("query_id", *where, "token", "qtf", "df")
-            if ranges is not None:
-                needed = needed.join(ranges, ["query_id", *where], "left_semi")
-            rows = needed.join(packed, ["token", *where]).select("query_id", "qtf", "df", F.inline("p").alias("chunk_id", "ordinal", "tf", "dl"))
+            needed = packed if ranges is None else packed.join(ranges.select("query_id", *where), ["query_id", *where])
+            postings = F.inline(F.arrays_zip("chunk_ids", "ordinals", "tfs", "dls")).alias("chunk_id", "ordinal", "tf", "dl")
             score = F.sum(weigh("tf", "dl"))
-            hits = rows.groupBy("query_id", "chunk_id", "ordinal").agg((F.round(score, digits) if digits is not None else score).alias("score"))
+            hits = needed.select("query_id", "qtf", "df", postings).groupBy("query_id", "chunk_id", "ordinal").agg((F.round(score, digits) if digits is not None else score).alias("score"))
             return hits.filter(F.col("score") > 0)
 
         best = [F.col("score").desc(), F.col("ordinal").desc()]
         if k is None:
             return Found(ranked(scored(None), None, *best), sums.groupBy("query_id").agg(F.sum("blocks").alias("asked"), F.sum("blocks").alias("scored")))
-        sums = written(sums, "range-bounds")
-        first = ranked(sums, probes, F.col("bound").desc(), *where).select("query_id", *where)
+        first = written(ranked(sums, probes, F.col("bound").desc(), *where).select("query_id", *where, "blocks"), "first-ranges")
         found = written(ranked(scored(first), k, *best), "first-hits")
         threshold = found.filter(F.col("rank") == k).select("query_id", F.col("score").alias("threshold"))
         rest = sums.join(first, ["query_id", *where], "left_anti").join(threshold, "query_id", "left")
-        rest = rest.filter(F.col("threshold").isNull() | (F.col("bound") >= F.col("threshold") - SLACK)).select("query_id", *where, "blocks")
+        rest = written(rest.filter(F.col("threshold").isNull() | (F.col("bound") >= F.col("threshold") - SLACK)).select("query_id", *where, "blocks"), "more-ranges")
         hits = ranked(found.drop("rank").unionByName(scored(rest)), k, *best)
-        used = sums.join(first, ["query_id", *where], "left_semi").select("query_id", "blocks").unionByName(rest.select("query_id", "blocks"))
+        used = first.select("query_id", "blocks").unionByName(rest.select("query_id", "blocks"))
         report = sums.groupBy("query_id").agg(F.sum("blocks").alias("asked")).join(used.groupBy("query_id").agg(F.sum("blocks").alias("scored")), "query_id")
         return Found(hits, report)
 
