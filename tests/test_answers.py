@@ -1,4 +1,7 @@
+import time
+
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veriloom.operators import answers, datasets, metrics, planning, reports, strategies
@@ -6,7 +9,7 @@ from veriloom.plans.engine import Engine, evaluate
 from veriloom.plans import suite
 from veriloom.plans.registry import QUERY_PROCESSORS, Clients, require
 from veriloom.plans.settings import Query, Retrieval, Settings, load_mapping, settings
-from veriloom.streaming import traces
+from veriloom.streaming import store, traces
 
 
 @pytest.mark.parametrize(("text", "n", "valid"), [("none", 3, False), ("[0]", 3, False), ("[9]", 3, False), ("a [1] b [1]", 3, True), ("[1][7]", 3, False), ("[2] [3]", 3, True)])
@@ -350,3 +353,68 @@ def test_streams_agree_with_batch(spark, tmp_path):
     batch = {(r.trace_id, r.created_at) for r in traces.sessions(rows, "30 minutes").collect()}
     emitted = {(r.trace_id, r.created_at) for r in spark.table("sessions").collect()}
     assert emitted and emitted <= batch
+
+
+def _by_machine(events, ttl_us=None, max_events=None):
+    """Rows of the trace store for events (trace, id, ts_us, status) in the order of time."""
+    out, held = [], {}
+    for trace, i, ts, status in sorted(events, key=lambda e: e[2]):
+        state = held.get(trace)
+        if state and ttl_us is not None and ts > state["updated"] + ttl_us:
+            out.append((trace, "expired", None, state["n"], state["status"]))
+            state = None
+        state = held[trace] = state or {"n": 0, "refused": 0, "updated": ts, "status": "running"}
+        if max_events is not None and state["n"] >= max_events:
+            if not state["refused"]:
+                out.append((trace, "full", None, state["n"], state["status"]))
+            state["refused"] += 1
+            continue
+        state |= {"n": state["n"] + 1, "updated": ts, "status": status if status in traces.TERMINAL else state["status"]}
+        out.append((trace, "event", i, state["n"], state["status"]))
+    return out, held
+
+
+def test_trace_store_over_restarts(spark, tmp_path):
+    """Batches and restarts don't matter: the rows are those of a machine that sees one event after the other."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "completed").otherwise("running")
+    rows = rows.select((F.col("user_id") % 6).alias("trace_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), status.alias("status")).withColumn("part", F.ntile(3).over(Window.orderBy("ts")))
+    events = [(r.trace_id, r.event_id, r.us, r.status) for r in rows.withColumn("us", F.unix_micros("ts")).collect()]
+    ttl = 40 * 3600
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("trace_id long, event_id long, ts timestamp, status string").parquet(str(tmp_path / "in"))
+    for part in (1, 2, 3):  # each run is a restart from the checkpoint
+        rows.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        store.run_store(stream, str(tmp_path / "told"), str(tmp_path / "cp"), ttl_seconds=ttl, max_events=20)
+    told = spark.read.parquet(str(tmp_path / "told"))
+    want, held = _by_machine(events, ttl * 1_000_000, 20)
+    now = max(e[2] for e in events)
+    gone = {t for t, s in held.items() if s["updated"] + ttl * 1_000_000 < now - 1000}
+    want += [(t, "expired", None, held[t]["n"], held[t]["status"]) for t in gone]
+    got = [(r.trace_id, r.kind, r.event_id, r.n_events, r.status) for r in told.filter("kind <> 'snapshot'").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and {k for _, k, *_ in got} == {"event", "expired", "full"}
+    latest = {r.trace_id: r for r in store.latest(told).collect()}
+    assert {t: (r.n_events, r.refused, r.status) for t, r in latest.items()} == {t: (s["n"], s["refused"], s["status"]) for t, s in held.items()}
+    assert {t for t, r in latest.items() if r.expired} == gone
+
+
+def test_trace_store_without_expiry(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1, 10, "running"), ("a", 2, 20, "completed"), ("b", 3, 5, None), ("a", 4, 30, "running"), (None, 5, 1, "failed")], "trace_id string, event_id long, s long, status string")
+    rows.select("trace_id", "event_id", F.timestamp_seconds("s").alias("ts"), "status").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("trace_id string, event_id long, ts timestamp, status string").parquet(str(tmp_path / "in"))
+    with pytest.raises(ValueError, match="does not end"):
+        store.run_store(stream, str(tmp_path / "told"), str(tmp_path / "cp"), event_time=False)
+    store.run_store(stream, str(tmp_path / "told"), str(tmp_path / "cp"))
+    latest = {r.trace_id: (r.n_events, r.status, r.expired) for r in store.latest(spark.read.parquet(str(tmp_path / "told"))).collect()}
+    assert latest == {"a": (3, "completed", False), "b": (1, "running", False), None: (1, "failed", False)}
+    with store.with_state_store(spark):
+        timed = store.trace_store(stream, ttl_seconds=3600, event_time=False)
+        query = timed.writeStream.format("memory").queryName("timed_store").option("checkpointLocation", str(tmp_path / "cp2")).trigger(processingTime="1 second").start()
+    try:
+        for _ in range(120):
+            if spark.table("timed_store").filter("kind = 'snapshot'").count() == 3:
+                break
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert {r.trace_id: r.n_events for r in store.latest(spark.table("timed_store")).collect()} == {"a": 3, "b": 1, None: 1}

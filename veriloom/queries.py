@@ -18,7 +18,7 @@ from .functions import filters, ids, text, vectors
 from .operators import answers, cells, chunking, dense, evidence, fuse, graph, index, lexical, metrics, planning, postings, reports, rerank, strategies
 from .session import own_folder, signature, written
 from .sources import catalog, html, tables
-from .streaming import traces
+from .streaming import store, traces
 
 DIGITS = 6
 TOP_K = 10
@@ -827,6 +827,29 @@ def trace_ttl(spark, d):
     return traces.expired(rows.crossJoin(F.broadcast(now)), F.col("now"), 6 * 3600).select("trace_id")  # now is one row
 
 
+def _told(spark: SparkSession, d: str, **settings) -> DataFrame:
+    """The newest state of each trace, as the stream over events has told it."""
+    table = _t(spark, d, "events").schema
+    stream = spark.readStream.schema(table).parquet(f"{d}/events.parquet")
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "completed").otherwise("running")
+    events = stream.select(F.col("user_id").alias("trace_id"), "event_id", "ts", status.alias("status"))
+    folder = own_folder(spark, "trace-store")
+    store.run_store(events, f"{folder}/told", f"{folder}/checkpoint", **settings)
+    return store.latest(spark.read.parquet(f"{folder}/told"))
+
+
+@query(f"WITH {_EV}, {_SNAP} SELECT trace_id, n_events, status, epoch_us(created_at) AS created_us, epoch_us(updated_at) AS updated_us FROM snap")
+def trace_stream(spark, d):
+    """trace_snapshot from the stateful stream over events."""
+    return _told(spark, d).select("trace_id", "n_events", "status", "created_us", "updated_us")
+
+
+@query(ORACLES["trace_ttl"])
+def trace_stream_ttl(spark, d):
+    """trace_ttl from the stream: traces whose expiry was emitted and that did not begin anew."""
+    return _told(spark, d, ttl_seconds=6 * 3600).filter("expired").select("trace_id")
+
+
 @query(f"WITH {_EV}, {_SNAP} SELECT trace_id FROM snap ORDER BY created_at DESC, trace_id DESC LIMIT 10")
 def trace_evict(spark, d):
     return traces.live(_snap(spark, d), F.lit("2000-01-01").cast("timestamp_ntz"), 0, 10).select("trace_id")
