@@ -290,22 +290,36 @@ def model_answers(spark, d):
 _COUNTS = {"single_chunk": 12, "multi_chunk_same_topic": 6, "multi_topic": 4, "cross_manual": 3, "unanswerable": 2}
 
 
-@query(r"""WITH r AS (SELECT doc_id AS id, source AS m, source || '-' || lang AS t, 'part ' || (doc_id % 7) AS s FROM documents WHERE length(regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) >= 80),
-c1 AS (SELECT *, row_number() OVER (ORDER BY m, t) AS n FROM (SELECT *, row_number() OVER (PARTITION BY m, t ORDER BY s, id) AS rn FROM r) WHERE rn = 1 QUALIFY n <= 12),
+_DATASET = r"""WITH r AS (SELECT doc_id AS id, source AS m, source || '-' || lang AS t, 'part ' || (doc_id % 7) AS s, 'part ' || (doc_id % 7) AS p FROM documents WHERE length(regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) >= 80),
+c1 AS (SELECT *, row_number() OVER (ORDER BY m, t) AS n FROM (SELECT *, row_number() OVER (PARTITION BY m, t ORDER BY p, id) AS rn FROM r) WHERE rn = 1 QUALIFY n <= 12),
 r2 AS (SELECT * FROM r WHERE id NOT IN (SELECT id FROM c1)),
-c2 AS (SELECT m, t, list(id ORDER BY rn) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY m, t ORDER BY s, id) AS rn FROM r2) WHERE rn <= 2 GROUP BY m, t HAVING count(DISTINCT s) = 2 ORDER BY m, t LIMIT 6),
+c2 AS (SELECT m, t, list(id ORDER BY rn) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY m, t ORDER BY p, id) AS rn FROM r2) WHERE rn <= 2 GROUP BY m, t HAVING count(DISTINCT s) = 2 ORDER BY m, t LIMIT 6),
 r3 AS (SELECT * FROM r2 WHERE id NOT IN (SELECT unnest(ids) FROM c2)),
-c3 AS (SELECT m, list(id ORDER BY t) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY t) AS k FROM (SELECT *, row_number() OVER (PARTITION BY m, t ORDER BY s, id) AS rn FROM r3) WHERE rn = 1) WHERE k <= 2 GROUP BY m HAVING count(*) = 2 ORDER BY m LIMIT 4),
+c3 AS (SELECT m, list(id ORDER BY t) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY t) AS k FROM (SELECT *, row_number() OVER (PARTITION BY m, t ORDER BY p, id) AS rn FROM r3) WHERE rn = 1) WHERE k <= 2 GROUP BY m HAVING count(*) = 2 ORDER BY m LIMIT 4),
 r4 AS (SELECT * FROM r3 WHERE id NOT IN (SELECT unnest(ids) FROM c3)),
-c4 AS (SELECT s, list(id ORDER BY m) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY m) AS k FROM (SELECT *, row_number() OVER (PARTITION BY s, m ORDER BY t, id) AS rn FROM r4) WHERE rn = 1) WHERE k <= 2 GROUP BY s HAVING count(*) = 2 ORDER BY s LIMIT 3)
+c4 AS (SELECT s, list(id ORDER BY m) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY m) AS k FROM (SELECT *, row_number() OVER (PARTITION BY s, m ORDER BY t, p, id) AS rn FROM r4) WHERE rn = 1) WHERE k <= 2 GROUP BY s HAVING count(*) = 2 ORDER BY s LIMIT 3)
 SELECT 'single-' || lpad(n::VARCHAR, 3, '0') AS case_id, 'single_chunk' AS question_type, true AS answerable, id::VARCHAR AS gold FROM c1
 UNION ALL SELECT 'same-topic-' || lpad((row_number() OVER (ORDER BY m, t))::VARCHAR, 3, '0'), 'multi_chunk_same_topic', true, array_to_string(ids, ',') FROM c2
 UNION ALL SELECT 'multi-topic-' || lpad((row_number() OVER (ORDER BY m))::VARCHAR, 3, '0'), 'multi_topic', true, array_to_string(ids, ',') FROM c3
 UNION ALL SELECT 'cross-manual-' || lpad((row_number() OVER (ORDER BY s))::VARCHAR, 3, '0'), 'cross_manual', true, array_to_string(ids, ',') FROM c4
-UNION ALL SELECT 'unanswerable-' || lpad(i::VARCHAR, 3, '0'), 'unanswerable', false, '' FROM range(1, 3) t(i)""")
+UNION ALL SELECT 'unanswerable-' || lpad(i::VARCHAR, 3, '0'), 'unanswerable', false, '' FROM range(1, 3) t(i)"""
+
+
+@query(_DATASET)
 def eval_dataset_builder(spark, d):
     """Cases chosen among all readable chunks (their texts all have the tag `general`)."""
-    out = datasets.build_cases(_chunks(spark, d), _COUNTS)
+    return _built(_chunks(spark, d))
+
+
+@query(_DATASET.replace("'part ' || (doc_id % 7) AS p", "'ch ' || (doc_id % 3) || '/part ' || (doc_id % 7) AS p"))
+def eval_dataset_paths(spark, d):
+    """Paths of two parts: chunks are in the order of whole paths, sections are their last parts."""
+    chapter = F.concat(F.lit("ch "), (F.col("chunk_id") % 3).cast("string"))
+    return _built(_chunks(spark, d).withColumn("section_path", F.array(chapter, F.col("section_path")[0])))
+
+
+def _built(chunks: DataFrame) -> DataFrame:
+    out = datasets.build_cases(chunks, _COUNTS)
     return out.select("case_id", "question_type", "answerable", F.array_join(F.transform("gold_chunk_ids", lambda x: x.cast("string")), ",").alias("gold"))
 
 

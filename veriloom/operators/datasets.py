@@ -29,11 +29,12 @@ def readable(chunks: DataFrame) -> DataFrame:
     rows = rows.filter(~section.isin(*GENERIC_SECTIONS) & (F.length(body(F.col("text"))) >= BODY_LEAST))
     first = Window.partitionBy("chunk_id").orderBy("manual_key", "topic_id", F.array_join("section_path", "/"))
     rows = rows.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
-    return rows.withColumn("section", section).withColumn("tag", content_tag(F.concat_ws(" ", "title", F.array_join("section_path", " "), "text")))
+    rows = rows.withColumn("section", section).withColumn("path", F.array_join("section_path", "/"))
+    return rows.withColumn("tag", content_tag(F.concat_ws(" ", "title", F.array_join("section_path", " "), "text")))
 
 
 #: The order in which chunks are looked at.
-ORDER = ("manual_key", "topic_id", "section", "chunk_id")
+ORDER = ("manual_key", "topic_id", "path", "chunk_id")
 
 
 def _nth(rows: DataFrame, by: list[str], n: int = 1) -> DataFrame:
@@ -73,14 +74,10 @@ def neighbours(free: DataFrame, count: int) -> DataFrame:
 def across_topics(free: DataFrame, count: int) -> DataFrame:
     """Per manual its first topic's first chunk, with that of the first topic of another tag, or the second."""
     heads = _nth(free, ["manual_key", "topic_id"]).drop("place")
-    here = Window.partitionBy("manual_key").orderBy(*ORDER)
-    heads = heads.withColumn("place", F.row_number().over(here)).withColumn("lead", F.first("tag").over(here))
-    told = heads.groupBy("manual_key").agg(
-        F.min_by("chunk_id", "place").alias("one"),
-        F.min_by("chunk_id", F.when(F.col("place") > 1, F.struct(F.col("tag").eqNullSafe(F.col("lead")), "place"))).alias("two"),
-        F.count(F.lit(1)).alias("topics"),
-    )
-    return _first_groups(told.filter("topics > 1").select("manual_key", F.array("one", "two").alias("chunk_ids")), ["manual_key"], count)
+    lead = heads.groupBy("manual_key").agg(F.min_by(F.struct("chunk_id", "tag"), F.struct(*ORDER)).alias("lead"))
+    others = heads.join(lead, "manual_key").filter(F.col("chunk_id") != F.col("lead.chunk_id"))
+    told = others.groupBy("manual_key").agg(F.min("lead.chunk_id").alias("one"), F.min_by("chunk_id", F.struct(F.col("tag").eqNullSafe(F.col("lead.tag")), *ORDER)).alias("two"))
+    return _first_groups(told.select("manual_key", F.array("one", "two").alias("chunk_ids")), ["manual_key"], count)
 
 
 def across_manuals(free: DataFrame, count: int) -> DataFrame:
@@ -95,7 +92,7 @@ KINDS = (("single_chunk", "single", singles), ("multi_chunk_same_topic", "same-t
 
 def build_cases(chunks: DataFrame, counts: dict[str, int] = CASE_COUNTS) -> DataFrame:
     """(case_id, question_type, answerable, gold_chunk_ids); raises where too few are found."""
-    free = written(readable(chunks).select(*ORDER, "tag"), "readable")
+    free = written(readable(chunks).select(*ORDER, "section", "tag"), "readable")
     none = F.expr(f"cast(array() as array<{dict(free.dtypes)['chunk_id']}>)")
     out = chunks.sparkSession.range(counts["unanswerable"]).select(F.format_string("unanswerable-%03d", F.col("id") + 1).alias("case_id"), F.lit("unanswerable").alias("question_type"), F.lit(False).alias("answerable"), none.alias("gold_chunk_ids"))
     for kind, prefix, find in KINDS:
