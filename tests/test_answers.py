@@ -1,3 +1,4 @@
+import json
 import time
 
 import pytest
@@ -312,6 +313,31 @@ def test_faulty_questions_and_failing_configurations(spark, chunks):
         suite.run_suite(chunks, {"a": base, "b": Settings(retrieval=base.retrieval, reranker="bge_local")}, "a", questions, cases, gold, clients=broken, fail_fast=True)
 
 
+def test_cases_that_fail_while_running(spark, chunks):
+    """A planner and a reranker that fail for some questions: these have errors, the others metrics."""
+    questions = spark.createDataFrame([(1, "red light"), (2, "battery bad plan"), (3, "seat bad pair"), (4, " ")], "query_id int, text string")
+    cases = spark.createDataFrame([(i, "single", True) for i in (1, 2, 3, 4)], "case_id int, question_type string, answerable boolean")
+    gold = spark.createDataFrame([(1, "c0")], "case_id int, chunk_id string")
+
+    def plan(prompt):
+        if "bad plan" in prompt:
+            raise OSError("planner is down")
+        return json.dumps({"query": prompt.splitlines()[-1]})
+
+    def score(pairs):
+        if any("bad pair" in q for q, _ in pairs):
+            raise ValueError("cannot score")
+        return [1.0 if "light" in t else 0.0 for _, t in pairs]
+
+    told = Settings(reranker="bge_local", query=Query(processor="rewrite"), retrieval=Retrieval(retriever="bm25"))
+    clients = Clients(planner=lambda: plan, reranker=lambda: score)
+    got = {r.case_id: r for r in evaluate({"a": Engine(chunks, told, clients=clients)}, questions, cases, gold).collect()}
+    assert got[1].rr == 1.0 and got[1].error is None and got[2].error == "OSError: planner is down" and got[2].rr is None
+    assert got[3].error == "ValueError: cannot score" and got[4].error == "query is empty"
+    with pytest.raises(Exception, match="planner is down"):
+        Engine(chunks, told, clients=clients).retrieve(questions).collect()
+
+
 def test_settings(tmp_path):
     (tmp_path / "base.json").write_text('{"dimension": 8, "retrieval": {"top_k": 2}}')
     (tmp_path / "top.json").write_text('{"extends": "base.json", "retrieval": {"rrf_k": 10}}')

@@ -103,10 +103,33 @@ def asking(client: Callable[[], Callable[[str], str]]):
     return ask
 
 
-def planned(questions: DataFrame, prompt: str, client: Callable[[], Callable[[str], str]]) -> DataFrame:
-    """questions with a planner's answer: client() is called once per worker, its result per question."""
+def asking_or_error(client: Callable[[], Callable[[str], str]]):
+    """asking() that keeps what a prompt raises: (answer, error)."""
+    held: list = []
+
+    @F.pandas_udf("answer string, error string")
+    def ask(prompt: pd.Series) -> pd.DataFrame:
+        out = []
+        for p in prompt:
+            try:
+                if not held:
+                    held.append(client())
+                out.append((None if p is None else held[0](p), None))
+            except Exception as error:
+                out.append((None, f"{type(error).__name__}: {str(error)[:500]}"))
+        return pd.DataFrame(out, columns=["answer", "error"], dtype=object)
+
+    return ask
+
+
+def planned(questions: DataFrame, prompt: str, client: Callable[[], Callable[[str], str]], capture: bool = False) -> DataFrame:
+    """questions with a planner's answer: client() is called once per worker, its result per question.
+    capture: what a question's call raises becomes its error, and the others go on."""
     before, after = prompt.replace("{{", "{").replace("}}", "}").split("{question}")
-    return questions.withColumn("answer", asking(client)(F.concat(F.lit(before), "text", F.lit(after))))
+    asked = F.concat(F.lit(before), "text", F.lit(after))
+    if not capture:
+        return questions.withColumn("answer", asking(client)(asked))
+    return questions.withColumn("_told", asking_or_error(client)(asked)).withColumns({"answer": F.col("_told.answer"), "error": F.col("_told.error")}).drop("_told")
 
 
 def faults(questions: DataFrame, processor: str, most_chars: int) -> DataFrame:

@@ -44,15 +44,39 @@ def rerank(pairs: DataFrame, score: Column | None = None) -> DataFrame:
 
 
 def model_score(load: Callable[[], Callable[[list[tuple[str, str]]], list[float]]]):
-    """A pandas UDF (query, text) over a model that is loaded once per worker."""
+    """A pandas UDF (query, text) over a model that is loaded once per worker.
+
+    Its attribute captured is one that keeps what a pair raises: (score, error). Pairs of a batch that
+    raises are scored one by one.
+    """
     held: list = []
 
+    def one(pairs: list[tuple[str, str]]) -> tuple[float | None, str | None]:
+        try:
+            if not held:
+                held.append(load())
+            return float(held[0](pairs)[0]), None
+        except Exception as error:
+            return None, f"{type(error).__name__}: {str(error)[:500]}"
+
+    @F.pandas_udf("score double, error string")
+    def captured(query: pd.Series, text: pd.Series) -> pd.DataFrame:
+        pairs = list(zip(query, text, strict=True))
+        try:
+            if not held:
+                held.append(load())
+            told = [(float(x), None) for x in held[0](pairs)]
+        except Exception:
+            told = [one([p]) for p in pairs]
+        return pd.DataFrame(told, columns=["score", "error"], dtype=object)
+
     @F.pandas_udf(DoubleType())
     def scored(query: pd.Series, text: pd.Series) -> pd.Series:
         if not held:
             held.append(load())
         return pd.Series(held[0](list(zip(query, text, strict=True))), dtype=float)
 
+    scored.captured = captured
     return scored
 
 

@@ -77,11 +77,29 @@ class Engine:
 
     def retrieve(self, questions: DataFrame, top_k: int | None = None) -> DataFrame:
         """query_id, chunk_id, score, rank, recall_score, rerank_score."""
+        return self._retrieved(questions, top_k)[0]
+
+    def tried(self, questions: DataFrame, top_k: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """retrieve(), and (query_id, error) of the questions that can't be taken or that fail on the way
+        in a planner or reranker; these have no hits, and the others are not held up."""
+        errors, name = questions.select("query_id").limit(0).withColumn("error", F.lit("")), self.settings.query.processor
+        if name in planning.PROMPTS and "answer" not in questions.columns:
+            bad = planning.faults(questions, "identity", QUESTION_CHARS)
+            client = registry.client_of(self.clients, "planner", name)
+            asked = written(planning.planned(questions.join(bad.select("query_id"), "query_id", "left_anti"), planning.PROMPTS[name], client, capture=True), "planned")
+            errors = bad.unionByName(asked.filter(F.col("error").isNotNull()).select("query_id", "error"))
+            questions = asked.filter(F.col("error").isNull()).drop("error")
+        bad = self.faults(questions)
+        hits, late = self._retrieved(questions.join(bad.select("query_id"), "query_id", "left_anti"), top_k, capture=True)
+        errors = errors.unionByName(bad)
+        return hits, errors if late is None else errors.unionByName(late)
+
+    def _retrieved(self, questions: DataFrame, top_k: int | None, capture: bool = False) -> tuple[DataFrame, DataFrame | None]:
         k = top_k or self.settings.retrieval.top_k
         if not 1 <= k <= TOP_K_MOST:
             raise ValueError(f"top_k is 1 to {TOP_K_MOST}")
         if self.settings.strategy == "graph_rag":  # neither processors nor rerankers apply
-            return rerank.noop(strategies.graph(questions, self.chunks, k).select("query_id", "chunk_id", "score", "rank"))
+            return rerank.noop(strategies.graph(questions, self.chunks, k).select("query_id", "chunk_id", "score", "rank")), None
         candidate_k = max(k, self.settings.retrieval.candidate_top_k)
         plans = written(self.plan(questions), "plans")
         subs = fuse.sub_queries(plans).select(F.struct("query_id", "query_index").alias("query_id"), "text")
@@ -91,12 +109,18 @@ class Engine:
         single = runs.join(alone, "query_id", "left_semi").select("query_id", "chunk_id", "score", "rank")
         fused = fuse.multi_query(runs.join(alone, "query_id", "left_anti"), self.settings.retrieval.rrf_k, self.settings.retrieval.score_digits).select("query_id", "chunk_id", "score", "rank")
         hits = single.unionByName(fused)
+        errors = None
         if self.rerank_score is None:
             out = rerank.noop(hits)
         else:
             pairs = hits.join(plans.select("query_id", F.col("text").alias("query")), "query_id").join(self.chunks.select("chunk_id", "text"), "chunk_id")
-            out = rerank.rerank(pairs, self.rerank_score(F.col("query"), F.col("text")))
-        return out.filter(F.col("rank") <= k).select("query_id", "chunk_id", "score", "rank", "recall_score", "rerank_score")
+            if capture and hasattr(self.rerank_score, "captured"):
+                pairs = written(pairs.withColumn("_told", self.rerank_score.captured(F.col("query"), F.col("text"))), "scored-pairs")
+                errors = pairs.filter(F.col("_told.error").isNotNull()).groupBy("query_id").agg(F.min("_told.error").alias("error"))
+                out = rerank.rerank(pairs.join(errors.select("query_id"), "query_id", "left_anti"), F.col("_told.score"))
+            else:
+                out = rerank.rerank(pairs, self.rerank_score(F.col("query"), F.col("text")))
+        return out.filter(F.col("rank") <= k).select("query_id", "chunk_id", "score", "rank", "recall_score", "rerank_score"), errors
 
     def _by_struct(self, subs: DataFrame, k: int) -> DataFrame:
         key = F.to_json("query_id")
@@ -123,17 +147,19 @@ class Engine:
 
 
 def evaluate(engines: dict[str, Engine], questions: DataFrame, cases: DataFrame, gold: DataFrame, k: int = 10) -> DataFrame:
-    """All configurations over all cases: config_id and per-case metrics.
+    """All configurations over all cases: config_id and per-case metrics, or the case's error.
 
-    Questions that a configuration cannot take (Engine.faults) are left out of its rows.
+    Cases whose question a configuration can't take, or that fail while running (Engine.tried), have an
+    error and no metrics; answerable cases without one have metrics.
     """
     from ..operators.metrics import retrieval_cases
 
     out = None
     for name, engine in engines.items():
-        bad = engine.faults(questions).select("query_id")
-        hits = engine.retrieve(questions.join(bad, "query_id", "left_anti"), k).withColumnRenamed("query_id", "case_id")
-        rows = retrieval_cases(cases.join(bad.withColumnRenamed("query_id", "case_id"), "case_id", "left_anti"), gold, hits).withColumn("config_id", F.lit(name))
+        hits, errors = engine.tried(questions, k)
+        bad = written(errors.groupBy(F.col("query_id").alias("case_id")).agg(F.min("error").alias("error")), "case-errors")
+        rows = retrieval_cases(cases.join(bad.select("case_id"), "case_id", "left_anti"), gold, hits.withColumnRenamed("query_id", "case_id")).withColumn("error", F.lit(None).cast("string"))
+        rows = rows.unionByName(cases.select("case_id", "question_type").join(bad, "case_id"), allowMissingColumns=True).withColumn("config_id", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
     return out
 

@@ -31,7 +31,7 @@ class Clients:
     controller: Load | None = None
 
 
-def _of(clients: Clients, role: str, name: str) -> Load:
+def client_of(clients: Clients, role: str, name: str) -> Load:
     client = getattr(clients, role)
     if client is None:
         raise RuntimeError(f"{name} needs a {role} client: pass Clients({role}=...) to the engine")
@@ -59,7 +59,7 @@ def _parsed(name: str, parse: Callable) -> Callable:
 
     def run(questions: DataFrame, settings, clients: Clients) -> DataFrame:
         if "answer" not in questions.columns:
-            questions = planning.planned(questions, planning.PROMPTS[name], _of(clients, "planner", name))
+            questions = planning.planned(questions, planning.PROMPTS[name], client_of(clients, "planner", name))
         return parse(questions, settings)
 
     return run
@@ -69,7 +69,7 @@ def _parsed(name: str, parse: Callable) -> Callable:
 CHUNKERS: dict[str, Callable] = {"heading": lambda s, c: lambda documents: chunk_documents(documents, Chunking(s.chunk_target_chars, s.chunk_overlap_chars))}
 EMBEDDERS: dict[str, Callable] = {
     "hash_mock": lambda s, c: lambda texts: hash_embed(texts, s.dimension),
-    "bge_m3_local": lambda s, c: (lambda client: lambda texts: model_embed(texts, client, s.dimension))(_of(c, "embedder", "bge_m3_local")),
+    "bge_m3_local": lambda s, c: (lambda client: lambda texts: model_embed(texts, client, s.dimension))(client_of(c, "embedder", "bge_m3_local")),
 }
 VECTOR_STORES = ("in_memory", "table")
 QUERY_PROCESSORS: dict[str, Callable] = {
@@ -85,13 +85,13 @@ QUERY_PROCESSORS: dict[str, Callable] = {
 RERANKERS: dict[str, Callable] = {
     "noop": lambda s, c: None,
     "lexical": lambda s, c: rerank.lexical_score,
-    "bge_local": lambda s, c: rerank.model_score(_of(c, "reranker", "bge_local")),
+    "bge_local": lambda s, c: rerank.model_score(client_of(c, "reranker", "bge_local")),
 }
 RETRIEVERS = ("dense", "bm25", "hybrid")
 EVIDENCE_SELECTORS: dict[str, Callable] = {"diversified": evidence.select_evidence}
 #: None: the deterministic generator. Else (draft, repair).
-GENERATORS: dict[str, Callable] = {"mock": lambda s, c: None, "openrouter": lambda s, c: answers.model_drafts(_of(c, "generator", "openrouter"))}
-CONTROLLERS: dict[str, Callable] = {"heuristic": lambda s, c, chunks: strategies.Heuristic(), "llm": lambda s, c, chunks: strategies.Asked(_of(c, "controller", "llm"), chunks)}
+GENERATORS: dict[str, Callable] = {"mock": lambda s, c: None, "openrouter": lambda s, c: answers.model_drafts(client_of(c, "generator", "openrouter"))}
+CONTROLLERS: dict[str, Callable] = {"heuristic": lambda s, c, chunks: strategies.Heuristic(), "llm": lambda s, c, chunks: strategies.Asked(client_of(c, "controller", "llm"), chunks)}
 STRATEGIES = ("vanilla", "self_rag", "agentic_rag", "graph_rag")
 
 

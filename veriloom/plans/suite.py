@@ -53,9 +53,9 @@ def check_suite(configs: dict[str, Settings], baseline: str, one_factor: bool =
 def run_suite(chunks: DataFrame, configs: dict[str, Settings], baseline: str, questions: DataFrame, cases: DataFrame, gold: DataFrame, k: int = 10, one_factor: bool = True, clients: Clients = Clients(), fail_fast: bool = False) -> DataFrame:
     """(config_id, scope, count, metrics, errors, status, error): all cases under all configurations.
 
-    errors: cases whose question a configuration cannot take; they are missing from its means. A
-    configuration that fails as a whole is one row with status failed and its error, and the others
-    are run nevertheless, unless fail_fast.
+    errors: cases whose question a configuration cannot take or that fail while they run; they are
+    missing from its means. A configuration that fails as a whole, or in every case, is one row with
+    status failed and its error, and the others are run nevertheless, unless fail_fast.
     """
     check_suite(configs, baseline, one_factor)
     spark, out = chunks.sparkSession, None
@@ -63,8 +63,11 @@ def run_suite(chunks: DataFrame, configs: dict[str, Settings], baseline: str, qu
         try:
             engine = Engine(chunks, settings, clients=clients)
             rows = written(evaluate({name: engine}, questions, cases, gold, k), "suite-cases")
-            bad = engine.faults(questions).join(cases.select(F.col("case_id").alias("query_id")), "query_id").count()
-            part = retrieval_summary(rows).select("scope", "count", *MEANS, F.lit(bad).cast("long").alias("errors"), F.lit("completed").alias("status"), F.lit(None).cast("string").alias("error"))
+            failed = rows.filter(F.col("error").isNotNull())
+            bad = failed.count()
+            if bad and bad == cases.count():
+                raise RuntimeError(failed.agg(F.min("error")).first()[0])
+            part = retrieval_summary(rows.filter(F.col("error").isNull())).select("scope", "count", *MEANS, F.lit(bad).cast("long").alias("errors"), F.lit("completed").alias("status"), F.lit(None).cast("string").alias("error"))
         except Exception as error:
             if fail_fast:
                 raise
