@@ -1,15 +1,19 @@
 import json
+import os
 import time
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from veriloom.operators import answers, datasets, metrics, planning, reports, strategies
+from veriloom.functions.filters import RetrievalFilters
+from veriloom.operators import answers, cells, datasets, evidence, metrics, planning, postings, reports, strategies
+from veriloom.plans import registry
 from veriloom.plans.engine import Engine, evaluate
 from veriloom.plans import suite
 from veriloom.plans.registry import QUERY_PROCESSORS, Clients, require
 from veriloom.plans.settings import Query, Retrieval, Settings, load_mapping, settings
+from veriloom.sources.tables import VectorTable
 from veriloom.streaming import store, traces
 
 
@@ -59,6 +63,29 @@ def test_engine_retrieves(spark, chunks, questions, retriever):
         engine.retrieve(questions, 51)
 
 
+def test_engine_runs_on_what_the_settings_name(spark, chunks, questions, tmp_path, monkeypatch):
+    key = lambda rows: sorted((r.query_id, r.rank, r.chunk_id, round(r.score, 6)) for r in rows.collect())
+    plain = Engine(chunks, Settings(retrieval=Retrieval(retriever="hybrid")))
+    want = key(plain.retrieve(questions, 3))
+    table = VectorTable(spark, str(tmp_path / "v"), 64)
+    table.upsert(chunks.select("chunk_id", "embedding"))
+    stores = {"table": table, "cells": cells.CellIndex.build(chunks.select("chunk_id", "ordinal", "embedding"), str(tmp_path / "c"))}
+    index = postings.build(chunks, str(tmp_path / "p"))
+    for name, store_of in stores.items():
+        told = Settings(vector_store=name, retrieval=Retrieval(retriever="hybrid"))
+        with pytest.raises(RuntimeError, match="needs a store"):
+            Engine(chunks, told)
+        with Engine(chunks.drop("embedding"), told, index, vectors=store_of) as engine:
+            assert key(engine.retrieve(questions, 3)) == want
+            assert key(engine.filtered(RetrievalFilters(manual_keys=["k"])).retrieve(questions, 3)) == want
+            paths = [p for _, p in engine._owned]
+            assert paths
+        assert not any(os.path.exists(p.removeprefix("file:")) for p in paths) and not engine._owned
+    monkeypatch.setitem(registry.EVIDENCE_SELECTORS, "none", lambda told, *a: evidence.select_evidence(told, *a).withColumn("selected", F.lit(False)))
+    chosen = Engine(chunks, Settings(evidence_selector="none", retrieval=Retrieval(retriever="bm25"))).chat(questions).collect()
+    assert chosen and all(r.refused for r in chosen)
+
+
 def test_engine_evaluates(spark, chunks, questions):
     cases = spark.createDataFrame([(1, "single", True), (2, "none", False)], "case_id int, question_type string, answerable boolean")
     gold = spark.createDataFrame([(1, "c0")], "case_id int, chunk_id string")

@@ -1,9 +1,12 @@
 import json
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from veriloom import __main__ as cli
+from veriloom.operators import reports
 from veriloom.plans.ingest import ingest
 from veriloom.plans.settings import Settings
 from veriloom.sources import catalog, crawl
@@ -105,6 +108,29 @@ def test_command_line_flows(spark, tmp_path, capsys):
     assert cli.main(["evaluate", *places, str(tmp_path / "e"), "--config", str(tmp_path / "base.json")]) == 0
 
 
+def test_percentiles_survive_outliers(spark, monkeypatch):
+    """Intervals are refined until few values are left, however far away a single one is."""
+    monkeypatch.setattr(reports, "MEET", 50)
+    monkeypatch.setattr(reports, "BUCKETS", 8)
+    rng = random.Random(4)
+    inf = float("inf")
+    groups = {"a": [rng.random() for _ in range(900)] + [1e300], "b": [inf, -inf] + [rng.gauss(0, 1) for _ in range(400)], "c": [2.5] * 700 + [1e-310, -1e308], None: [10.0 ** rng.uniform(-9, 9) for _ in range(500)]}
+    met = []
+    within = reports._within
+    monkeypatch.setattr(reports, "_within", lambda rows, state, by: met.append(state.agg(F.max("here")).first()[0]) or within(rows, state, by))
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, v double")
+    got = {r.k: [r.p50, r.p95, r.p99] for r in reports.latency_percentiles(df, "v", "k").collect()}
+    for k, vs in groups.items():
+        ordered = sorted(vs)
+        want = []
+        for q in (0.5, 0.95, 0.99):
+            at = q * (len(vs) - 1)
+            low, high = ordered[math.floor(at)], ordered[math.ceil(at)]
+            want.append(low if low == high else low + (high - low) * (at - math.floor(at)))
+        assert got[k] == pytest.approx(want)
+    assert met[-1] <= 50 and len(met) > 2
+
+
 def test_percentiles_are_exact(spark):
     import numpy as np
 

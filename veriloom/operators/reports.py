@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 #: Cells of equal width that a label's values are counted in.
 BUCKETS = 4096
+#: Values that may meet in one task to be ranked.
+MEET = 10_000
 LATENCY_BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 
 
@@ -46,32 +50,56 @@ def latency_histogram(requests: DataFrame, value: str, *labels: str, bounds: tup
 def latency_percentiles(requests: DataFrame, value: str, *labels: str, shares: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
     """Exact percentiles (linear between neighbours) by label, as p50, p95, ...; null values don't count.
 
-    A percentile is met by rank: values are counted by leading bits first, in a table of at most
-    BUCKETS rows per label, and only the buckets that hold a wanted rank are looked at again, where
-    equal values are one row. No label's values come together in one task.
+    A percentile is met by rank. Each round cuts the interval that holds a rank into BUCKETS cells of
+    equal width and counts them; the cell of the rank, from its smallest to its largest value, is the next
+    interval. That ends when every interval holds at most MEET values, or equal ones: an outlier costs
+    a round, as the interval after it ends at the values themselves. No more than MEET values of a label
+    ever meet in one task.
     """
-    rows = requests.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*labels, F.col(value).cast("double").alias("v"))
-    edges = rows.groupBy(*labels).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n"))
-    edges = edges.select(*(F.col(c).alias(f"l_{c}") for c in labels), "low", "high", "n")
-    mine = [F.col(c).eqNullSafe(F.col(f"l_{c}")) for c in labels]
-    rows = rows.join(edges, mine) if labels else rows.crossJoin(F.broadcast(edges))  # one row
-    cell = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * BUCKETS), F.lit(BUCKETS - 1))).otherwise(F.lit(0))
-    rows = rows.withColumn("cell", cell.cast("int"))
-    cells = rows.groupBy(*labels, "cell").agg(F.count(F.lit(1)).alias("here"), F.max("n").alias("n"))
-    before = Window.partitionBy(*labels).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("ahead", F.coalesce(F.sum("here").over(before), F.lit(0)))
-    wanted = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), (F.lit(q) * (F.col("n") - 1)).alias("at")) for i, q in enumerate(shares))))
-    asked = cells.select(*labels, "cell", "here", "ahead", wanted.alias("w")).select(*labels, "cell", "here", "ahead", F.col("w.i").alias("i"), F.col("w.at").alias("at"), F.explode(F.array(F.floor("w.at"), F.ceil("w.at"))).alias("rank"))
-    asked = asked.filter((F.col("rank") >= F.col("ahead")) & (F.col("rank") < F.col("ahead") + F.col("here"))).distinct()
-    asked = asked.select(*(F.col(c).alias(f"a_{c}") for c in labels), F.col("cell").alias("a_cell"), "ahead", "i", "at", "rank")
-    near = [F.col(c).eqNullSafe(F.col(f"a_{c}")) for c in labels] + [F.col("cell") == F.col("a_cell")]
-    values = rows.groupBy(*labels, "cell", "v").agg(F.count(F.lit(1)).alias("times"))
-    upto = Window.partitionBy(*labels, "cell").orderBy("v")
-    values = values.join(F.broadcast(asked.select(*(F.col(f"a_{c}") for c in labels), "a_cell").distinct()), near, "left_semi").withColumn("upto", F.sum("times").over(upto))
-    met = values.join(asked, near).filter((F.col("ahead") + F.col("upto") > F.col("rank")) & (F.col("ahead") + F.col("upto") - F.col("times") <= F.col("rank")))
-    told = met.groupBy(*labels, "i", "at").agg(F.min_by("v", "rank").alias("a"), F.max_by("v", "rank").alias("b"))
-    told = told.withColumn("p", F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at")))
-    return told.groupBy(*labels).agg(*(F.max(F.when(F.col("i") == i, F.col("p"))).alias(f"p{round(q * 100)}") for i, q in enumerate(shares)))
+    by = [f"_l{i}" for i in range(len(labels) or 1)]
+    keys = [F.col(c).alias(n) for n, c in zip(by, labels)] or [F.lit(0).alias(by[0])]
+    rows = requests.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, F.col(value).cast("double").alias("v"))
+    span = [F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("here")]
+    wanted = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), (F.lit(q) * (F.col("here") - 1)).alias("at")) for i, q in enumerate(shares))))
+    state = rows.groupBy(*by).agg(*span).withColumn("w", wanted).withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("w.at"), F.ceil("w.at")))))
+    state = written(state.select(*by, "low", "high", "here", "w.i", "w.at", "rank", F.lit(0).cast("long").alias("ahead")), "ranks")
+    open_ = (F.col("here") > MEET) & (F.col("low") < F.col("high"))
+    while not state.filter(open_).isEmpty():
+        cells = _within(rows, state.filter(open_), by).withColumn("cell", _cell()).groupBy(*by, "low", "high", "cell").agg(F.count(F.lit(1)).alias("held"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        before = Window.partitionBy(*by, "low", "high").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+        cells = cells.withColumn("before", F.coalesce(F.sum("held").over(before), F.lit(0)))
+        met = _joined(state.filter(open_), cells, by).filter((F.col("rank") >= F.col("ahead") + F.col("before")) & (F.col("rank") < F.col("ahead") + F.col("before") + F.col("held")))
+        met = met.select(*by, F.col("lo").alias("low"), F.col("hi").alias("high"), F.col("held").alias("here"), "i", "at", "rank", (F.col("ahead") + F.col("before")).alias("ahead"))
+        state = written(state.filter(~open_).unionByName(met), "ranks")
+    values = _within(rows, state.filter("low < high"), by).groupBy(*by, "low", "high", "v").agg(F.count(F.lit(1)).alias("times"))
+    values = values.withColumn("upto", F.sum("times").over(Window.partitionBy(*by, "low", "high").orderBy("v")))
+    found = _joined(state.filter("low < high"), values, by).filter((F.col("ahead") + F.col("upto") > F.col("rank")) & (F.col("ahead") + F.col("upto") - F.col("times") <= F.col("rank")))
+    told = found.select(*by, "i", "at", "rank", "v").unionByName(state.filter("low = high").select(*by, "i", "at", "rank", F.col("low").alias("v")))
+    told = told.groupBy(*by, "i", "at").agg(F.min_by("v", "rank").alias("a"), F.max_by("v", "rank").alias("b"))
+    told = told.withColumn("p", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))))
+    out = told.groupBy(*by).agg(*(F.max(F.when(F.col("i") == i, F.col("p"))).alias(f"p{round(q * 100)}") for i, q in enumerate(shares)))
+    return out.select(*(F.col(n).alias(c) for n, c in zip(by, labels)), *(f"p{round(q * 100)}" for q in shares))
+
+
+def _cell() -> Column:
+    """The cell of v between low and high, which may be infinite."""
+    inside = F.floor((F.col("v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2) * BUCKETS)
+    last = F.lit(BUCKETS - 1)
+    cell = F.when(F.col("v") == F.col("low"), 0).when((F.col("v") == F.col("high")) | (F.col("low") == float("-inf")), last).otherwise(F.least(inside, last))
+    return cell.cast("int")
+
+
+def _within(rows: DataFrame, state: DataFrame, by: list[str]) -> DataFrame:
+    """Rows with each interval that holds them."""
+    spans = state.select(*(F.col(c).alias(f"s{c}") for c in by), "low", "high").distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"s{c}")) for c in by]
+    return rows.join(spans, [*same, F.col("v").between(F.col("low"), F.col("high"))]).select(*by, "low", "high", "v")
+
+
+def _joined(state: DataFrame, parts: DataFrame, by: list[str]) -> DataFrame:
+    """Wanted ranks with the parts of their interval."""
+    renamed = parts.select(*(F.col(c).alias(f"s{c}") for c in (*by, "low", "high")), *(c for c in parts.columns if c not in (*by, "low", "high")))
+    return state.join(renamed, [F.col(c).eqNullSafe(F.col(f"s{c}")) for c in (*by, "low", "high")])
 
 
 def suite_status(runs: DataFrame, suite: str = "suite_id") -> DataFrame:

@@ -35,10 +35,10 @@ def coerced_action(value: str) -> Column:
     return F.when(F.lower(word).isin(*ACTIONS), F.lower(word)).otherwise("stop")
 
 
-def vanilla(questions: DataFrame, hits: DataFrame, chunks: DataFrame, top_k: int = 3, min_score: float = 0.0, per_topic: int = 2, repairs: int = 1, candidate_k: int = 20, drafts: tuple | None = None) -> DataFrame:
-    """Candidates to evidence to answers. drafts: (draft, repair) of a model generator."""
+def vanilla(questions: DataFrame, hits: DataFrame, chunks: DataFrame, top_k: int = 3, min_score: float = 0.0, per_topic: int = 2, repairs: int = 1, candidate_k: int = 20, drafts: tuple | None = None, select: Callable = evidence.select_evidence) -> DataFrame:
+    """Candidates to evidence to answers. drafts: (draft, repair) of a model generator; select: the evidence selector."""
     told = hits.filter(F.col("rank") <= candidate_k).join(chunks.select("chunk_id", "topic_id", "content_hash"), "chunk_id")
-    chosen = evidence.select_evidence(told, top_k, min_score, per_topic, candidate_k)
+    chosen = select(told, top_k, min_score, per_topic, candidate_k)
     rows = answers.gathered(questions, chosen, chunks)
     return answers.finished(rows, repairs) if drafts is None else answers.finished(rows, repairs, draft=drafts[0], repair=drafts[1])
 

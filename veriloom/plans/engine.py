@@ -1,4 +1,4 @@
-"""The engine: questions in, ranked hits or answers out, as one lazy plan per batch."""
+"""The engine: questions in, ranked hits or answers out, in a few jobs per batch."""
 
 from __future__ import annotations
 
@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.filters import RetrievalFilters
-from ..operators import answers, dense, evidence, fuse, lexical, planning, rerank, strategies
-from ..session import written
+from ..operators import answers, evidence, fuse, lexical, planning, rerank, strategies
+from ..operators.cells import CellIndex
+from ..operators.postings import PostingIndex
+from ..session import cleared, collecting, written
+from ..sources.tables import VectorTable
 from . import registry
 from .registry import Clients, require
 from .settings import Settings
@@ -21,28 +24,43 @@ class Engine:
     """Retrieval and answering over a chunk table.
 
     chunks: chunk_id, ordinal, text, topic_id, content_hash, title, section_path, source_url, and an
-    embedding where a dense or hybrid retriever is asked for. All components are what the settings
-    name; those that are models need their client.
+    embedding where a dense or hybrid retriever is asked for over vectors in memory. All components are
+    what the settings name; those that are models need their client, and stored vectors their store.
+    Tables written on the way belong to the engine until close().
     """
 
-    def __init__(self, chunks: DataFrame, settings: Settings = Settings(), postings: DataFrame | None = None, clients: Clients = Clients()):
+    def __init__(self, chunks: DataFrame, settings: Settings = Settings(), postings: DataFrame | PostingIndex | None = None, clients: Clients = Clients(), vectors: VectorTable | CellIndex | None = None):
         self.chunks, self.settings, self.clients = chunks, settings, clients
         named = lambda of, name, what: require(of, name, what)(settings, clients)
         require(registry.RETRIEVERS, settings.retrieval.retriever, "retriever")
         require(registry.QUERY_PROCESSORS, settings.query.processor, "query processor")
         require(registry.STRATEGIES, settings.strategy, "strategy")
-        require(registry.VECTOR_STORES, settings.vector_store, "vector store")
-        require(registry.EVIDENCE_SELECTORS, settings.evidence_selector, "evidence selector")
-        self.chunk = named(registry.CHUNKERS, settings.chunker, "chunker")
+        require(registry.CHUNKERS, settings.chunker, "chunker")  # documents come as chunks already
+        store = require(registry.VECTOR_STORES, settings.vector_store, "vector store")
+        self.select = require(registry.EVIDENCE_SELECTORS, settings.evidence_selector, "evidence selector")
         self.embed = named(registry.EMBEDDERS, settings.embedder, "embedder")
         self.rerank_score = named(registry.RERANKERS, settings.reranker, "reranker")
         self.drafts = named(registry.GENERATORS, settings.generator, "generator")
         self.controller = require(registry.CONTROLLERS, settings.controller, "controller")(settings, clients, chunks)
-        self._postings = postings
+        if settings.vector_store != "in_memory" and settings.retrieval.retriever != "bm25" and vectors is None:
+            raise RuntimeError(f"{settings.vector_store} needs a store: pass vectors=... to the engine")
+        self._near = store(chunks, vectors)
+        self._postings, self._vectors = postings, vectors
+        self._owned: list = []
 
     def filtered(self, filters: RetrievalFilters) -> Engine:
         """The same engine over the chunks a filter lets through: corpus statistics follow."""
-        return Engine(self.chunks.filter(filters.predicate()), self.settings, clients=self.clients)
+        return Engine(self.chunks.filter(filters.predicate()), self.settings, clients=self.clients, vectors=self._vectors)
+
+    def close(self) -> None:
+        """Delete the tables that this engine has written; its results can't be read any more."""
+        cleared(self._owned)
+
+    def __enter__(self) -> Engine:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     def health(self) -> dict:
         """Component names, and the number of chunks."""
@@ -54,6 +72,8 @@ class Engine:
         r = self.settings.retrieval
 
         def bm25() -> DataFrame:
+            if isinstance(self._postings, PostingIndex):
+                return self._postings.search(queries, k, r.bm25_k1, r.bm25_b, r.score_digits).hits
             if self._postings is None:
                 return lexical.search(self.chunks, queries, k, r.bm25_k1, r.bm25_b, r.score_digits)
             return lexical.bm25(self._postings, lexical.corpus_stats(self.chunks), queries, k, r.bm25_k1, r.bm25_b, r.score_digits)
@@ -61,10 +81,11 @@ class Engine:
         if r.retriever == "bm25":
             return bm25().select("query_id", "chunk_id", "score", "rank")
         vectors = self.embed(queries.select(F.col("query_id").alias("id"), "text")).withColumnRenamed("id", "query_id")
-        near = dense.dense(self.chunks, vectors, k, r.score_digits)
+        near = self._near(vectors, k, r.score_digits)
         if r.retriever == "dense":
             return near.select("query_id", "chunk_id", "score", "rank")
-        return fuse.hybrid(near, bm25(), k, r.rrf_k, r.score_digits).select("query_id", "chunk_id", "score", "rank")
+        # either ranking is read twice
+        return fuse.hybrid(written(near, "near"), written(bm25(), "lexical"), k, r.rrf_k, r.score_digits).select("query_id", "chunk_id", "score", "rank")
 
     def plan(self, questions: DataFrame) -> DataFrame:
         size = F.length("text").between(1, QUESTION_CHARS)
@@ -77,11 +98,16 @@ class Engine:
 
     def retrieve(self, questions: DataFrame, top_k: int | None = None) -> DataFrame:
         """query_id, chunk_id, score, rank, recall_score, rerank_score."""
-        return self._retrieved(questions, top_k)[0]
+        with collecting(self._owned):
+            return self._retrieved(questions, top_k)[0]
 
     def tried(self, questions: DataFrame, top_k: int | None = None) -> tuple[DataFrame, DataFrame]:
         """retrieve(), and (query_id, error) of the questions that can't be taken or that fail on the way
         in a planner or reranker; these have no hits, and the others are not held up."""
+        with collecting(self._owned):
+            return self._tried(questions, top_k)
+
+    def _tried(self, questions: DataFrame, top_k: int | None) -> tuple[DataFrame, DataFrame]:
         errors, name = questions.select("query_id").limit(0).withColumn("error", F.lit("")), self.settings.query.processor
         if name in planning.PROMPTS and "answer" not in questions.columns:
             bad = planning.faults(questions, "identity", QUESTION_CHARS)
@@ -130,9 +156,13 @@ class Engine:
 
     def chat(self, questions: DataFrame) -> DataFrame:
         """Answers: text, citations, evidence, refused, citation_validated; rounds and asked for self_rag."""
+        with collecting(self._owned):
+            return self._answered(questions)
+
+    def _answered(self, questions: DataFrame) -> DataFrame:
         r = self.settings.retrieval
-        wide = Engine(self.chunks, replace(self.settings, retrieval=replace(r, top_k=min(TOP_K_MOST, r.candidate_top_k))), self._postings, self.clients)
-        ask = lambda q: wide.retrieve(q).select("query_id", "chunk_id", "score", "rank")
+        wide = Engine(self.chunks, replace(self.settings, retrieval=replace(r, top_k=min(TOP_K_MOST, r.candidate_top_k))), self._postings, self.clients, self._vectors)
+        ask = lambda q: wide._retrieved(q, None)[0].select("query_id", "chunk_id", "score", "rank")
         rounds = None
         if self.settings.strategy == "self_rag":
             hits, rounds = strategies.self_reflective(questions, ask, self.controller.assess)
@@ -140,7 +170,7 @@ class Engine:
             hits = strategies.agentic(questions, ask, self.controller.act, self.settings.max_steps)
         else:
             hits = ask(questions)
-        out = strategies.vanilla(questions, hits, self.chunks, r.top_k, r.min_score, r.per_topic_limit, self.settings.max_repairs, r.candidate_top_k, self.drafts)
+        out = strategies.vanilla(questions, hits, self.chunks, r.top_k, r.min_score, r.per_topic_limit, self.settings.max_repairs, r.candidate_top_k, self.drafts, self.select)
         if rounds is not None:
             out = strategies.supported_or_refused(out, self.controller.supported()).join(rounds, "query_id")
         return out

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import hash_embed
-from ..operators import answers, evidence, planning, rerank, strategies
+from ..operators import answers, dense, evidence, planning, rerank, strategies
 from ..operators.chunking import Chunking, chunk_documents
 
 Load = Callable[[], Callable]
@@ -71,7 +71,31 @@ EMBEDDERS: dict[str, Callable] = {
     "hash_mock": lambda s, c: lambda texts: hash_embed(texts, s.dimension),
     "bge_m3_local": lambda s, c: (lambda client: lambda texts: model_embed(texts, client, s.dimension))(client_of(c, "embedder", "bge_m3_local")),
 }
-VECTOR_STORES = ("in_memory", "table")
+
+
+def _of_table(chunks: DataFrame, vectors) -> Callable:
+    """Stored vectors of the chunks there are, by their ordinals."""
+    return lambda queries, k, digits: dense.dense(vectors.read().select("chunk_id", "embedding").join(chunks.select("chunk_id", "ordinal"), "chunk_id"), queries, k, digits)
+
+
+def _of_cells(chunks: DataFrame, vectors) -> Callable:
+    """The cell index, exact. It holds all chunks; those that are filtered out are found by none."""
+    held = vectors.rows().count() if vectors is not None else 0
+
+    def search(queries: DataFrame, k: int, digits: int | None) -> DataFrame:
+        if chunks.count() == held:
+            return vectors.search(queries, k, exact=True, digits=digits).hits
+        return dense.dense(vectors.rows().select("chunk_id", "embedding").join(chunks.select("chunk_id", "ordinal"), "chunk_id"), queries, k, digits)
+
+    return search
+
+
+#: Of (chunks, stored vectors): a search (queries, k, digits) -> hits.
+VECTOR_STORES: dict[str, Callable] = {
+    "in_memory": lambda chunks, vectors: lambda queries, k, digits: dense.dense(chunks, queries, k, digits),
+    "table": _of_table,
+    "cells": _of_cells,
+}
 QUERY_PROCESSORS: dict[str, Callable] = {
     "identity": lambda q, s, c: planning.identity(q),
     "normalize": lambda q, s, c: planning.normalize(q, s.aliases),

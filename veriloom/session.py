@@ -10,6 +10,8 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,9 +75,32 @@ def own_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/veriloom-{name}-{uuid.uuid4().hex}"
 
 
+_collecting: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("collecting", default=None)
+
+
+@contextmanager
+def collecting(owned: list[tuple[SparkSession, str]]):
+    """Tables written meanwhile are noted in owned, for whoever clears them."""
+    token = _collecting.set(owned)
+    try:
+        yield
+    finally:
+        _collecting.reset(token)
+
+
+def cleared(owned: list[tuple[SparkSession, str]]) -> None:
+    """Delete the tables noted in owned: no plan reads them any more."""
+    while owned:
+        spark, path = owned.pop()
+        fs, at = file_system(spark, path)
+        fs.delete(at(path), True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, computed once: written to the shared folder and read from there."""
     spark = df.sparkSession
     path = own_folder(spark, name)
+    if (owned := _collecting.get()) is not None:
+        owned.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
