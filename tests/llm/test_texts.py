@@ -447,6 +447,21 @@ def test_templates_of_given_pages(spark):
     held_to_plain_templates(spark, [(r.page_id, r.url) for r in pages] + [(10_000_000 + i, r.url) for i, r in enumerate(pages)] + [(20_000_000 + i, r.url) for i, r in enumerate(pages[:50])])
 
 
+def test_url_traps_end_within_a_few_rounds(spark, monkeypatch):
+    """Paths of hundreds of segments: rounds end where evidence ends, templates are those of a level by level tree."""
+    rounds = []
+    write = U.materialise
+    monkeypatch.setattr(U, "materialise", lambda df, name: rounds.append(name) or write(df, name))
+    trap = lambda n: "/".join("ab"[i % 2] for i in range(n))
+    paths = [trap(n) for n in range(1, 201)]  # each a part of the next
+    paths += [f"{trap(150)}/x{i}/{trap(i)}" for i in range(40)]  # one long way, then a wildcard
+    paths += [f"deep/{i}/{trap(10 * i)}" for i in range(5)]  # too few for anything
+    paths += ["a", "a/b", "a-b/c", "a.b"]
+    rows = [(i, f"http://h.com/{p}") for i, p in enumerate(paths)] + [(1000 + i, f"http://k.com/{'z/' * 60}s{i % 3}") for i in range(100)]
+    held_to_plain_templates(spark, rows)
+    assert rounds.count("url-children") <= 9
+
+
 def test_url_rows_repeat(spark):
     rows = [(7, "https://example.com/en/1"), (7, "https://example.com/en/1"), (7, "https://example.org/x"), (None, None), (None, "https://example.org/x")]
     got = U.url_filter(spark.createDataFrame(rows, "page_id long, url string").withColumn("template", F.lit("clash"))).collect()

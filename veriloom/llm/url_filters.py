@@ -20,8 +20,10 @@ Scale: pages are reduced to counts per (host, node, segment) before each level's
 more than 1/HOT_SHARE of all children meet them by broadcast (there are fewer than HOT_SHARE); a
 node's compared children are at most 1 / KEEP_SHARE or VARIETY. The way
 back to pages is an equi-join on a written table, which adaptive execution splits where a host or
-segment is hot. A node whose pages all go on alike takes the rest of their path at once, so levels
-end where paths stop branching, and a level only moves the pages that go on.
+segment is hot. Levels are not as many as segments: where no evidence can come up below a node, its pages take the
+rest of their paths at once (all go on alike, or are parts of one path, or are fewer than
+VARIETY: too few for a wildcard, and so for a merge), and pages that go one way until they end or part
+take that way at once. So levels end where paths stop branching, and a level only moves the pages that go on.
 
 Defined results: a null url, or one without `://`, has an empty host and path, fits no rule and is
 allowed; equal page_ids are judged row by row; an empty table gives an empty result.
@@ -95,37 +97,50 @@ def _branches(kids: DataFrame) -> DataFrame:
     return groups.select("host", "node", F.concat(F.lit("("), F.array_join(F.sort_array("segs"), "|"), F.lit(")")).alias("step"), F.explode("segs").alias("seg"))
 
 
+def _equal(a: Column, b: Column) -> Column:
+    """How many leading segments are equal."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(True).alias("going"))
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), start, lambda s, x: F.struct((s["n"] + F.when(s["going"] & x, 1).otherwise(0)).alias("n"), (s["going"] & x).alias("going")), lambda s: s["n"])
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """pages (host, path, ruled, ...) with their template."""
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
     rows = pages.withColumn("segs", segments)
     # how a path ends: a number, with or without an extension
     rows = rows.withColumn("numeric", F.coalesce(F.element_at(F.when(F.size("segs") > 0, F.col("segs")), -1).rlike(r"^[0-9]+(\.[a-z]+)?$"), F.lit(False)).cast("int"))
-    rows = materialise(rows.withColumn("node", F.lit("")), "url-level")
+    # along: segments below the node that the path shares with one path of the node before, null if it is part of that
+    rows = materialise(rows.withColumn("node", F.lit("")).withColumn("along", F.lit(0)), "url-level")
     done = [rows.filter(F.size("segs") == 0)]
     left = rows.filter(F.size("segs") > 0)
     while not left.isEmpty():
         # segs: what of a path is left below its node
         told = left.withColumn("seg", F.get("segs", F.lit(0))).withColumn("rest", F.array_join("segs", "/"))
         shares = [F.count(F.lit(1)).alias("n"), F.sum("numeric").alias("tails"), F.count_if(F.size("segs") > 1).alias("deeper"), F.count_if(F.col("ruled") == "block").alias("blocked"), F.count_if(F.col("ruled") == "allow").alias("allowed")]
-        children = materialise(told.groupBy("host", "node", "seg").agg(*shares, F.min("rest").alias("low"), F.max("rest").alias("high")), "url-children")
-        nodes = materialise(children.groupBy("host", "node").agg(F.count(F.lit(1)).alias("variety"), F.sum("n").alias("all_n"), (F.min("low") == F.max("high")).alias("alike")), "url-nodes")
+        children = materialise(told.groupBy("host", "node", "seg").agg(*shares, F.min("rest").alias("low"), F.max("rest").alias("high"), F.min("along").alias("along")), "url-children")
+        nodes = children.groupBy("host", "node").agg(F.count(F.lit(1)).alias("variety"), F.sum("n").alias("all_n"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("along").alias("along"))
+        alone = (F.col("low") == F.col("high")) | F.col("along").isNull() | (F.col("all_n") < VARIETY)
+        nodes = materialise(nodes.select("host", "node", "variety", "all_n", alone.alias("alone"), F.greatest(F.lit(1), "along", F.least(_equal(F.split("low", "/"), F.split("high", "/")), F.size(F.split("low", "/")) - 1, F.size(F.split("high", "/")) - 1)).alias("jump"), F.col("high").alias("trunk")), "url-nodes")
         hot = nodes.filter(F.col("variety") * HOT_SHARE > children.count())  # fewer than HOT_SHARE rows
+        children = children.drop("low", "high", "along")
         met = children.join(F.broadcast(hot), ["host", "node"], "left")
-        rest = met.filter(F.col("variety").isNull()).drop("variety", "all_n", "alike").join(nodes, ["host", "node"])
+        rest = met.filter(F.col("variety").isNull()).select(children.columns).join(nodes, ["host", "node"])
         met = met.filter(F.col("variety").isNotNull()).unionByName(rest)
         wild = (F.col("variety") >= VARIETY) & (F.col("n") < F.col("all_n") * KEEP_SHARE)
-        met = materialise(met.select("host", "node", "seg", *COUNTS, "alike", wild.alias("wild")), "url-met")
+        met = materialise(met.select("host", "node", "seg", *COUNTS, "alone", "jump", "trunk", wild.alias("wild")), "url-met")
         merged = _branches(met.filter(~F.col("wild") & (F.col("n") >= LEAST)).select("host", "node", "seg", *COUNTS))
-        steps = met.filter("wild").select("host", "node", "seg", "alike", F.lit("*").alias("step")).unionByName(
-            met.filter(~F.col("wild")).join(merged, ["host", "node", "seg"], "left").select("host", "node", "seg", "alike", F.coalesce("step", "seg").alias("step")))
+        steps = met.filter("wild").select("host", "node", "seg", "alone", "jump", "trunk", F.lit("*").alias("step")).unionByName(
+            met.filter(~F.col("wild")).join(merged, ["host", "node", "seg"], "left").select("host", "node", "seg", "alone", "jump", "trunk", F.coalesce("step", "seg").alias("step")))
         told = told.join(materialise(steps, "url-steps"), ["host", "node", "seg"])
-        told = told.withColumn("node", F.concat("node", F.lit("/"), F.when(F.col("alike"), F.col("rest")).otherwise(F.col("step"))))
-        told = told.withColumn("segs", F.when(F.col("alike"), F.slice("segs", 1, 0)).otherwise(F.slice("segs", F.lit(2), F.size("segs"))))
+        ahead = F.when(F.col("alone"), F.col("rest")).when(F.col("jump") > 1, F.array_join(F.slice("segs", F.lit(1), F.col("jump")), "/")).otherwise(F.col("step"))
+        told = told.withColumn("node", F.concat("node", F.lit("/"), ahead))
+        part = F.startswith(F.concat("trunk", F.lit("/")), F.concat("rest", F.lit("/")))
+        told = told.withColumn("along", F.when(~part, _equal(F.col("segs"), F.split("trunk", "/")) - F.col("jump")))
+        told = told.withColumn("segs", F.when(F.col("alone"), F.slice("segs", 1, 0)).otherwise(F.slice("segs", F.col("jump") + 1, F.size("segs"))))
         rows = materialise(told.select(rows.columns), "url-level")
         done.append(rows.filter(F.size("segs") == 0))
         left = rows.filter(F.size("segs") > 0)
-    return reduce(DataFrame.unionByName, done).drop("segs", "numeric").withColumnRenamed("node", "template")
+    return reduce(DataFrame.unionByName, done).drop("segs", "numeric", "along").withColumnRenamed("node", "template")
 
 
 def judged_templates(rows: DataFrame) -> DataFrame:
