@@ -112,14 +112,14 @@ def strict_topics(spark, d):
     return out.select("topic_id", "place", "s.title", "s.level", F.array_join("s.path", ">").alias("path"), F.array_join("s.blocks", "|").alias("blocks"), F.array_join("s.images.url", "|").alias("images"))
 
 
-@query("""SELECT doc_id, sha256('车型：' || lang || chr(10) || '手册版本：v' || (doc_id % 3) || chr(10) || '路径：' || source || ' > ' || lang || chr(10) || '标题：' || lang || chr(10) || '正文：' || chr(10) || substr(text, 1, 300)) AS text_sha256 FROM documents WHERE doc_id % 3 > 0
-UNION ALL SELECT doc_id, sha256('车型：' || lang || chr(10) || '路径：' || source || ' > ' || lang || chr(10) || '标题：' || lang || chr(10) || '正文：' || chr(10) || substr(text, 1, 300)) FROM documents WHERE doc_id % 3 = 0""")
+@query("""SELECT doc_id, sha256('车型：' || lang || chr(10) || '手册版本：v' || (doc_id % 3) || chr(10) || '路径：' || source || ' > ' || lang || chr(10) || '标题：' || lang || chr(10) || '正文：' || chr(10) || text) AS text_sha256 FROM documents WHERE doc_id % 3 > 0
+UNION ALL SELECT doc_id, sha256('车型：' || lang || chr(10) || '路径：' || source || ' > ' || lang || chr(10) || '标题：' || lang || chr(10) || '正文：' || chr(10) || text) FROM documents WHERE doc_id % 3 = 0""")
 def chunk_text(spark, d):
-    """Chunk texts with their prefix lines; the version line only where there is one."""
+    """Whole texts as chunks with their prefix lines; the version line only where there is one."""
     rows = _t(spark, d, "documents")
-    section = F.struct(F.col("lang").alias("title"), F.lit(1).alias("level"), F.array("lang").alias("path"), F.array(F.substring("text", 1, 300)).alias("blocks"), F.expr("cast(array() as array<struct<url: string>>)").alias("images"))
+    section = F.struct(F.col("lang").alias("title"), F.lit(1).alias("level"), F.array("lang").alias("path"), F.array("text").alias("blocks"), F.expr("cast(array() as array<struct<url: string>>)").alias("images"))
     documents = rows.select(F.col("doc_id").cast("string").alias("document_id"), F.lit("m").alias("manual_id"), F.lit("1").alias("snapshot_id"), F.col("lang").alias("vehicle_model"), F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("v"), (F.col("doc_id") % 3).cast("string"))).alias("manual_version"), F.col("doc_id").cast("string").alias("topic_id"), F.lit("t").alias("title"), F.array("source").alias("breadcrumb"), F.lit("u").alias("source_url"), F.array(section).alias("sections"))
-    return chunking.chunk_documents(documents).select(F.col("document_id").cast("long").alias("doc_id"), F.sha2("text", 256).alias("text_sha256"))
+    return chunking.chunk_documents(documents, chunking.Chunking(1_000_000, 0)).select(F.col("document_id").cast("long").alias("doc_id"), F.sha2("text", 256).alias("text_sha256"))
 
 
 # ---- sources and stores --------------------------------------------------------------------

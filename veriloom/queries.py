@@ -280,14 +280,16 @@ def hybrid_rrf(spark, d):
 
 
 _MULTI = """qs AS (SELECT item_id, regexp_extract_all(text, '[^ ]+') AS w FROM benchmark),
-sub AS (SELECT item_id * 10 + i AS item_id, CASE i WHEN 0 THEN array_to_string(w[1:5], ' ') WHEN 1 THEN array_to_string(w[6:10], ' ') ELSE array_to_string(w[1:10], ' ') END AS text FROM qs, range(3) r(i))"""
+sub AS (SELECT item_id * 10 + i AS item_id, CASE i WHEN 0 THEN array_to_string(w[1:(len(w) // 2)::INT], ' ') WHEN 1 THEN array_to_string(w[(len(w) // 2 + 1)::INT:], ' ') ELSE array_to_string(w, ' ') END AS text FROM qs, range(3) r(i))"""
 
 
 def _sub_plans(spark: SparkSession, d: str) -> DataFrame:
+    """Each question's first half, second half and whole."""
     words = F.filter(F.split("text", " "), lambda w: w != "")
     rows = _questions(spark, d).withColumn("w", words)
+    half = F.floor(F.size("w") / 2).cast("int")
     part = lambda a, n: F.array_join(F.slice("w", a, n), " ")
-    return rows.select("query_id", F.array(part(1, 5), part(6, 5), part(1, 10)).alias("queries"))
+    return rows.select("query_id", F.array(part(F.lit(1), half), part(half + 1, F.size("w") - half), F.array_join("w", " ")).alias("queries"))
 
 
 @query(f"""WITH {_MULTI}, {_BM25.replace('FROM benchmark', 'FROM sub')},
@@ -297,8 +299,7 @@ SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER
 def multi_query_rrf(spark, d):
     """Three sub-queries a question, fused and not truncated."""
     subs = fuse.sub_queries(_sub_plans(spark, d)).select((F.col("query_id") * 10 + F.col("query_index")).alias("query_id"), "text")
-    chunks = _chunks(spark, d)
-    runs = lexical.search(chunks, subs, 20, digits=DIGITS)
+    runs = _index(spark, d).search(subs, 20, digits=DIGITS).hits
     return _ranked(fuse.multi_query(runs.select(F.expr("query_id div 10").alias("query_id"), (F.col("query_id") % 10).alias("query_index"), "chunk_id", "rank"), digits=DIGITS))
 
 
