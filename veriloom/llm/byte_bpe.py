@@ -305,8 +305,9 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded
                 part = batch.slice(row, upto - row)
                 row = upto
                 given = part.column(at).to_pylist()
-                told = tokens.take(pa.array(np.frombuffer(b"".join(x or b"" for x in given), "<u4")))
-                if told.null_count:
+                asked = np.frombuffer(b"".join(x or b"" for x in given), "<u4")
+                told = tokens.take(pa.array(asked[asked < len(tokens)]))
+                if len(told) < len(asked) or told.null_count:
                     raise ValueError("an id that the vocabulary does not have")
                 offsets = np.frombuffer(told.buffers()[1], np.int64)[told.offset :] if len(told) else np.zeros(1, np.int64)
                 data = memoryview(told.buffers()[2]) if len(told) else b""
