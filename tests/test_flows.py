@@ -9,7 +9,7 @@ from veriloom import __main__ as cli
 from veriloom.operators import reports
 from veriloom.plans.ingest import ingest
 from veriloom.plans.settings import Settings
-from veriloom.sources import catalog, crawl
+from veriloom.sources import catalog, crawl, tables
 
 ROOT = "https://h.io/app/manuals"
 
@@ -93,7 +93,7 @@ def test_command_line_flows(spark, tmp_path, capsys):
     args = [str(tmp_path / "catalog.json"), str(tmp_path / "pages"), str(tmp_path / "index"), "--host", "h.io"]
     assert cli.main(["batch", *args]) == 1 and "no navigation list" in capsys.readouterr().out
     assert cli.main(["ingest", *args, "--select", "manual a|/a/"]) == 0
-    assert spark.read.parquet(str(tmp_path / "index" / "vectors" / "g2")).count() == 1
+    assert tables.VectorTable(spark, str(tmp_path / "index" / "vectors"), 64).count() == 1
     with pytest.raises(RuntimeError):
         cli.main(["ingest", *args])
     chunks = spark.createDataFrame([("c0", 0, "red light"), ("c1", 1, "seat belt")], "chunk_id string, ordinal long, text string")
