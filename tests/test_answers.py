@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from veriloom import queries
 from veriloom.functions.filters import RetrievalFilters
 from veriloom.operators import answers, cells, datasets, evidence, metrics, planning, postings, reports, strategies
 from veriloom.plans import registry
@@ -471,3 +472,16 @@ def test_trace_store_without_expiry(spark, tmp_path):
     finally:
         query.stop()
     assert {r.trace_id: r.n_events for r in store.latest(spark.table("timed_store")).collect()} == {"a": 3, "b": 1, None: 1}
+
+
+@pytest.mark.parametrize("files", [0, 3])
+def test_trace_queries_over_a_file_and_a_folder(spark, tmp_path, files):
+    """The stream reads its table whether it is one file or a folder of files."""
+    held = "/root/testdata/sf0.001"
+    if files:
+        spark.read.parquet(f"{held}/events.parquet").repartition(files).write.parquet(str(tmp_path / "events.parquet"))
+        held = str(tmp_path)
+    want = {(r.trace_id, r.n_events, r.status) for r in queries.trace_snapshot(spark, held).collect()}
+    assert {(r.trace_id, r.n_events, r.status) for r in queries.trace_stream(spark, held).collect()} == want and want
+    gone = {r.trace_id for r in queries.trace_ttl(spark, held).collect()}
+    assert {r.trace_id for r in queries.trace_stream_ttl(spark, held).collect()} == gone and gone
