@@ -187,6 +187,18 @@ def test_dataset_builder_chooses_among_all_chunks(spark):
     assert got == want and len({c for k, g in want.items() if k.startswith("cross") for c in g}) == 2
 
 
+def test_dataset_builder_with_fewer_cases(spark):
+    """Where a kind has fewer cases than asked for, they are raised or told as they are, and the other kinds with them."""
+    rows = [(f"c{m}-{t}-{s}", f"m{m}", f"t{t}", "T", ["one section"], "正文：" + "x" * 90) for m in range(4) for t in range(3) for s in range(3)]
+    df = spark.createDataFrame(rows, "chunk_id string, manual_key string, topic_id string, title string, section_path array<string>, text string")
+    counts = {"single_chunk": 2, "multi_chunk_same_topic": 2, "multi_topic": 3, "cross_manual": 2, "unanswerable": 1}
+    with pytest.raises(RuntimeError, match="only 0 of 2 multi_chunk_same_topic"):
+        datasets.build_cases(df, counts)
+    want = plain_cases([r.asDict() for r in datasets.readable(df).collect()], counts)
+    got = {r.case_id: list(r.gold_chunk_ids) for r in datasets.build_cases(df, counts, complete=False).collect()}
+    assert got == want and [k.rsplit("-", 1)[0] for k in sorted(want)] == ["cross-manual", "multi-topic", "multi-topic", "multi-topic", "single", "single", "unanswerable"]
+
+
 def plain_cases(rows, counts):
     """Case ids with their chunks, by one pass over ordered rows for each kind."""
     rows = sorted(rows, key=lambda r: (r["manual_key"], r["topic_id"], r["section"], r["chunk_id"]))
