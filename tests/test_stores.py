@@ -75,6 +75,32 @@ def test_appended_segments(spark, tmp_path):
         index.search(asked)
 
 
+def test_postings_are_packed_a_few_ranges_at_a_time(spark, tmp_path, monkeypatch):
+    """However many chunks a partition has, no batch that is packed holds more than BATCH_ROWS of them."""
+    seen, plain = spark.sparkContext.accumulator(0), postings._blocks
+    small = spark.sparkContext.accumulator(0)
+
+    def noted(kind, size):
+        run = plain(kind, size)
+
+        def watched(batches):
+            def each():
+                for batch in batches:
+                    seen.add(batch.num_rows)
+                    small.add(batch.num_rows if batch.num_rows <= postings.BATCH_ROWS else 0)
+                    yield batch
+
+            return run(each())
+
+        return watched
+
+    monkeypatch.setattr(postings, "_blocks", noted)
+    chunks = spark.range(2000).select(F.col("id").alias("chunk_id"), F.col("id").alias("ordinal"), F.concat(F.lit("a b"), (F.col("id") % 9).cast("string")).alias("text")).coalesce(1)
+    index = postings.build(chunks, str(tmp_path / "index"))
+    assert seen.value == small.value == 2000
+    assert {(r.token, r.df, r.cf) for r in index.tokens().collect()} == {("a", 2000, 2000)} | {(f"b{i}", n, n) for i, n in ((i, len(range(i, 2000, 9))) for i in range(9))}
+
+
 def test_postings_of_nothing(spark, tmp_path):
     asked = spark.createDataFrame(QUESTIONS, "query_id int, text string")
     index = postings.build(spark.createDataFrame([(1, 1, "  "), (2, 2, None)], "chunk_id long, ordinal long, text string"), str(tmp_path / "p"))

@@ -10,7 +10,7 @@ PROBES ranges of the largest sums are scored first; the k-th best score found th
 of all other ranges only those whose sum reaches it are scored. What is left out cannot be among the
 first k, so the result is that of scoring everything.
 
-Scale: building shuffles blocks, not occurrences: a range lies in one task. Blocks are written by token
+Scale: building shuffles blocks, not occurrences: a range lies in one task, which packs a few ranges at a time. Blocks are written by token
 bucket, balanced by size, so that a token of every range is no single file or task; searches read only
 the buckets of asked tokens and, for bounds, not the packed columns. The work of a search is in
 proportion to the asked blocks, its scoring to those that are left.
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import tokens
-from ..session import file_system, written
-from .lexical import K1, B, query_tokens, ranked, term_weight
+from ..session import batch_rows, file_system, written
+from .lexical import BATCH_ROWS, K1, B, query_tokens, ranked, term_weight
 
 RANGE = 32
 PROBES = 4
@@ -101,7 +101,8 @@ class PostingIndex:
         n = chunks.count()
         buckets = min(BUCKETS_MOST, max(BUCKETS_LEAST, n // BUCKET_CHUNKS))
         rows = blocks(chunks, text, size).withColumn("bucket", _bucket(buckets)).hint("rebalance", F.col("bucket"))
-        rows.sortWithinPartitions("bucket", "token", "range").write.partitionBy("bucket").parquet(f"{at}/blocks")
+        with batch_rows(self.spark, max(1, BATCH_ROWS // size) * size):  # whole ranges
+            rows.sortWithinPartitions("bucket", "token", "range").write.partitionBy("bucket").parquet(f"{at}/blocks")
         held = self.spark.read.parquet(f"{at}/blocks") if self._dirs(f"{at}/blocks") else None
         terms = held.groupBy("token").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"), F.count(F.lit(1)).alias("blocks")) if held is not None else self.spark.createDataFrame([], "token string, df long, cf long, blocks long")
         terms.write.parquet(f"{at}/tokens")
