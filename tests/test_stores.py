@@ -1,5 +1,6 @@
 """Stored indexes and tables: postings with block maxima, vector cells, snapshots."""
 
+import re
 import subprocess
 import threading
 
@@ -101,6 +102,16 @@ def test_postings_are_packed_a_few_ranges_at_a_time(spark, tmp_path, monkeypatch
     assert {(r.token, r.df, r.cf) for r in index.tokens().collect()} == {("a", 2000, 2000)} | {(f"b{i}", n, n) for i, n in ((i, len(range(i, 2000, 9))) for i in range(9))}
 
 
+def test_a_search_moves_blocks_and_not_scores(spark, tmp_path):
+    """Ranges beyond the first are scored in one task each: no exchange by question and range, nor by question and chunk."""
+    chunks = spark.range(900).select(F.col("id").alias("chunk_id"), F.col("id").alias("ordinal"), F.concat(F.lit("a b"), (F.col("id") % 9).cast("string"), F.lit(" c"), (F.col("id") % 17).cast("string")).alias("text"))
+    asked = spark.createDataFrame([(i, f"b{i % 9} a c{i}") for i in range(12)], "query_id int, text string")
+    found = postings.build(chunks, str(tmp_path / "index")).search(asked, 40, digits=6)
+    plan = found.hits._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(segment#" in plan and not re.search(r"hashpartitioning\(query_id#[0-9]+L?, (segment|range|chunk_id)", plan)
+    _same(found.hits, lexical.search(chunks, asked, 40, digits=6))
+
+
 def test_postings_of_nothing(spark, tmp_path):
     asked = spark.createDataFrame(QUESTIONS, "query_id int, text string")
     index = postings.build(spark.createDataFrame([(1, 1, "  "), (2, 2, None)], "chunk_id long, ordinal long, text string"), str(tmp_path / "p"))

@@ -12,7 +12,8 @@ first k, so the result is that of scoring everything.
 
 Scale: building shuffles blocks, not occurrences: a range lies in one task, which packs a few ranges at a time. Blocks are written by token
 bucket, balanced by size, so that a token of every range is no single file or task; searches read only
-the buckets of asked tokens and, for bounds, not the packed columns. The work of a search is in
+the buckets of asked tokens and, for bounds, not the packed columns. Asked blocks are shuffled once, by range,
+whatever the number of questions, and each range is scored where it lies. The work of a search is in
 proportion to the asked blocks, its scoring to those that are left.
 """
 
@@ -165,20 +166,23 @@ class PostingIndex:
         where = ["segment", "range"]
         met = held.select("token", *where, "most_tf", "least_dl").join(asked, "token")
         sums = written(met.groupBy("query_id", *where).agg(F.sum(weigh("most_tf", "least_dl")).alias("bound"), F.count(F.lit(1)).alias("blocks")), "range-bounds")
-        packed = held.select("token", *where, "chunk_ids", "ordinals", "tfs", "dls").join(asked, "token")
+        packed = held.select("token", *where, "chunk_ids", "ordinals", "tfs", "dls").join(asked.select("token").distinct(), "token", "left_semi")
 
-        def scored(ranges: DataFrame | None) -> DataFrame:
-            needed = packed if ranges is None else packed.join(ranges.select("query_id", *where), ["query_id", *where])
+        def scored(ranges: DataFrame, few: bool = False) -> DataFrame:
+            # blocks meet the list of a range's questions once; then all of a chunk's scores are sums within its range's task
+            asking = ranges.groupBy(*where).agg(F.collect_set("query_id").alias("asking"))
+            met = packed.join(asking if few else asking.hint("merge"), where).join(asked, "token")
+            needed = met.filter(F.array_contains("asking", F.col("query_id")))
             postings = F.inline(F.arrays_zip("chunk_ids", "ordinals", "tfs", "dls")).alias("chunk_id", "ordinal", "tf", "dl")
             score = F.sum(weigh("tf", "dl"))
-            hits = needed.select("query_id", "qtf", "df", postings).groupBy("query_id", "chunk_id", "ordinal").agg((F.round(score, digits) if digits is not None else score).alias("score"))
-            return hits.filter(F.col("score") > 0)
+            hits = needed.select("query_id", *where, "qtf", "df", postings).groupBy("query_id", *where, "chunk_id", "ordinal").agg((F.round(score, digits) if digits is not None else score).alias("score"))
+            return hits.filter(F.col("score") > 0).drop(*where)
 
         best = [F.col("score").desc(), F.col("ordinal").desc()]
         if k is None:
-            return Found(ranked(scored(None), None, *best), sums.groupBy("query_id").agg(F.sum("blocks").alias("asked"), F.sum("blocks").alias("scored")))
+            return Found(ranked(scored(sums), None, *best), sums.groupBy("query_id").agg(F.sum("blocks").alias("asked"), F.sum("blocks").alias("scored")))
         first = written(ranked(sums, probes, F.col("bound").desc(), *where).select("query_id", *where, "blocks"), "first-ranges")
-        found = written(ranked(scored(first), k, *best), "first-hits")
+        found = written(ranked(scored(first, few=True), k, *best), "first-hits")
         threshold = found.filter(F.col("rank") == k).select("query_id", F.col("score").alias("threshold"))
         rest = sums.join(first, ["query_id", *where], "left_anti").join(threshold, "query_id", "left")
         rest = written(rest.filter(F.col("threshold").isNull() | (F.col("bound") >= F.col("threshold") - SLACK)).select("query_id", *where, "blocks"), "more-ranges")
