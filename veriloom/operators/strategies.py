@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_folder, written
+from ..session import among, shared_folder, written
 from . import answers, evidence, fuse
 from .planning import asking
 from .graph import graph_retrieve
@@ -37,7 +37,9 @@ def coerced_action(value: str) -> Column:
 
 def vanilla(questions: DataFrame, hits: DataFrame, chunks: DataFrame, top_k: int = 3, min_score: float = 0.0, per_topic: int = 2, repairs: int = 1, candidate_k: int = 20, drafts: tuple | None = None, select: Callable = evidence.select_evidence) -> DataFrame:
     """Candidates to evidence to answers. drafts: (draft, repair) of a model generator; select: the evidence selector."""
-    told = hits.filter(F.col("rank") <= candidate_k).join(chunks.select("chunk_id", "topic_id", "content_hash"), "chunk_id")
+    hits = written(hits.filter(F.col("rank") <= candidate_k), "candidates")
+    chunks = among(chunks, hits, "chunk_id")
+    told = hits.join(chunks.select("chunk_id", "topic_id", "content_hash"), "chunk_id")
     chosen = select(told, top_k, min_score, per_topic, candidate_k)
     rows = answers.gathered(questions, chosen, chunks)
     return answers.finished(rows, repairs) if drafts is None else answers.finished(rows, repairs, draft=drafts[0], repair=drafts[1])
