@@ -33,7 +33,7 @@ def shuffled(spark, run) -> int:
     return total() - before
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "mock_answer", "evidence_select", "evidence_dedupe_nochain", "rerank_delta", "rerank_trace_sample", "candidate_json", "retrieval_metrics_grouped"])
+@pytest.mark.parametrize("name", ["bm25_topk", "mock_answer", "evidence_select", "evidence_dedupe_nochain", "rerank_delta", "rerank_trace_sample", "retrieval_metrics_grouped", "self_rag", "candidate_json"])
 def test_other_texts_stay(spark, tables, name):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")

@@ -132,7 +132,8 @@ class Asked:
         rows = questions.select("query_id", "text")
         shown = F.lit("")
         if hits is not None:
-            near = hits.filter(F.col("rank") <= SHOWN).join(self.chunks.select("chunk_id", F.substring("text", 1, SHOWN_CHARS).alias("shown")), "chunk_id")
+            near = written(hits.filter(F.col("rank") <= SHOWN).select("query_id", "chunk_id", "rank"), "shown-hits")
+            near = near.join(among(self.chunks, near, "chunk_id").select("chunk_id", F.substring("text", 1, SHOWN_CHARS).alias("shown")), "chunk_id")
             rows = rows.join(near.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "shown"))).alias("near")), "query_id", "left")
             shown = F.coalesce(F.array_join(F.transform("near", lambda x: F.concat(F.lit("["), x["rank"].cast("string"), F.lit("] "), x["shown"])), "\n"), F.lit(""))
         prompt = F.concat(F.lit(CONTROL[task] + "\nQuestion: "), "text", F.lit("\nEvidence:\n"), shown)

@@ -11,7 +11,7 @@ from ..functions.filters import RetrievalFilters
 from ..operators import answers, evidence, fuse, lexical, planning, rerank, strategies
 from ..operators.cells import CellIndex
 from ..operators.postings import PostingIndex
-from ..session import cleared, collecting, written
+from ..session import among, cleared, collecting, written
 from ..sources.tables import VectorTable
 from . import registry
 from .registry import Clients, require
@@ -139,7 +139,7 @@ class Engine:
         if self.rerank_score is None:
             out = rerank.noop(hits)
         else:
-            pairs = hits.join(plans.select("query_id", F.col("text").alias("query")), "query_id").join(self.chunks.select("chunk_id", "text"), "chunk_id")
+            pairs = hits.join(plans.select("query_id", F.col("text").alias("query")), "query_id").join(among(self.chunks.select("chunk_id", "text"), runs, "chunk_id"), "chunk_id")
             if capture and hasattr(self.rerank_score, "captured"):
                 pairs = written(pairs.withColumn("_told", self.rerank_score.captured(F.col("query"), F.col("text"))), "scored-pairs")
                 errors = pairs.filter(F.col("_told.error").isNotNull()).groupBy("query_id").agg(F.min("_told.error").alias("error"))
