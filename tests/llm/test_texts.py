@@ -111,6 +111,24 @@ def test_cached_words_equal_the_tokenizer():
             assert np.frombuffer(own.ids(t.encode()), "<u4").tolist() == theirs.encode(t, add_special_tokens=False).ids
 
 
+def test_words_in_use_are_kept(monkeypatch):
+    """A word that keeps coming is encoded once however many others pass; marks behind words are encoded once a run."""
+    monkeypatch.setattr(tokens, "REMEMBERED", 50)
+    own, asked = tokens.WordEncoder(tokens.vocabulary(P.VOCABULARY)), []
+
+    class Noted:
+        def encode(self, word, **options):
+            asked.append(word)
+            return theirs.encode(word, **options)
+
+    theirs, own.tokenizer = own.tokenizer, Noted()
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for i in range(400):
+        text = f"don't étés*** w{letters[i % 26]}{letters[i // 26]}###, x_y <|endoftext|>. can't***"
+        assert np.frombuffer(own.ids(text.encode()), "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids
+    assert asked.count("don't") == 1 and asked.count("***") < 400 / 10 and len(asked) < 60
+
+
 def best_fit_decreasing(lengths, capacity):
     gaps: list[int] = []
     for n in sorted(lengths, reverse=True):

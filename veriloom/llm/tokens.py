@@ -7,13 +7,16 @@ word is encoded once per worker; a text is then a join of cached byte strings.
 
 from __future__ import annotations
 
+import string
 import struct
 from functools import lru_cache
 
 from .common import hold
 
-#: Words a worker remembers; the memory starts anew beyond that.
+#: Words of a generation. A worker remembers two: words met in the younger stay when the older is let go.
 REMEMBERED = 200_000
+#: A run of these behind a word is a piece of its own (an apostrophe may begin a contraction).
+MARKS = string.punctuation.replace("'", "")
 
 
 @lru_cache(1)
@@ -40,21 +43,26 @@ class WordEncoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.roots: dict[str, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.older_roots: dict[str, bytes] = {}
 
     def _root(self, word: str) -> bytes:
         """A word of lower-case letters that the normaliser leaves as it is."""
         ids = self.roots.get(word)
         if ids is None:
-            spelled = word if word.isascii() else word.encode().decode("latin-1").translate(_byte_letters())
-            ids = _packed([t.id for t in self.model.tokenize(spelled)])
+            ids = self.older_roots.get(word)
+            if ids is None:
+                spelled = word if word.isascii() else word.encode().decode("latin-1").translate(_byte_letters())
+                ids = _packed([t.id for t in self.model.tokenize(spelled)])
             if len(self.roots) >= REMEMBERED:
-                self.roots.clear()
+                self.older_roots, self.roots = self.roots, {}
             self.roots[word] = ids
         return ids
 
-    def __missing__(self, raw: bytes) -> bytes:
+    def _encoded(self, raw: bytes) -> bytes:
         word = raw.decode("utf-8", "replace")
-        head, tail = (word[:-1], word[-1]) if word[-1] in ".,!?;:" else (word, "")
+        head = word.rstrip(MARKS)
+        tail = word[len(head) :]
         # letters below U+0130 are composed already and lower-case one by one
         if head.isalpha() and (head.isascii() or max(head) < "İ"):
             ids = self._root(head.lower())
@@ -62,15 +70,22 @@ class WordEncoder(dict):
                 ids += self.plain(tail)
         else:
             ids = _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        return ids
+
+    def __missing__(self, raw: bytes) -> bytes:
+        ids = self.older.get(raw)
+        if ids is None:
+            ids = self._encoded(raw)
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
         self[raw] = ids
         return ids
 
-    def plain(self, mark: str) -> bytes:
-        ids = self.roots.get(mark)
+    def plain(self, marks: str) -> bytes:
+        ids = self.roots.get(marks)
         if ids is None:
-            ids = self.roots[mark] = _packed(self.tokenizer.encode(mark, add_special_tokens=False).ids)
+            ids = self.roots[marks] = _packed(self.tokenizer.encode(marks, add_special_tokens=False).ids)
         return ids
 
     def ids(self, text: bytes) -> bytes:
